@@ -150,21 +150,22 @@ def write_windows(
 
     schema = f"{PROVENANCE_SCHEMA}, {partition_schema(grain)}"
     lo, hi = bounds.select(F.to_date("lo"), F.to_date(F.col("hi") - F.expr("interval 1 microsecond"))).first()
-    stored = spark.read.schema(schema).parquet(path).where(F.col("dt").between(lo, hi))
-    in_plan = stored.join(
-        spine.select(F.col("window_start").alias("_window_start")), "_window_start", "left_semi"
+    stored = (
+        spark.read.schema(schema)
+        .parquet(path)
+        .where(F.col("dt").between(lo, hi))
+        .select("_window_start", "_extracted_at", "_metadata.file_path", "_metadata.file_size")
+        .join(spine.select(F.col("window_start").alias("_window_start")), "_window_start", "left_semi")
     )
     fresh = F.col("_extracted_at") == W.instant_lit(extracted_at)
-    stale = in_plan.where(~fresh).select("_window_start").distinct().select(*partition_columns(grain).values())
+    stale = stored.where(~fresh).select("_window_start").distinct().select(*partition_columns(grain).values())
     for row in stale.collect():  # at most one row per planned window
         delete_dir(spark, "/".join([path, f"dt={row[0]}", *([f"hh={row[1]}"] if len(row) > 1 else [])]))
 
     per_file = (
-        in_plan.where(fresh)
-        .groupBy("_window_start", F.col("_metadata.file_path"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"))
-        if _has_files(spark, path)
-        else in_plan.select("_window_start", F.lit(0).alias("n"), F.lit(0).alias("size"))
+        stored.where(fresh)
+        .groupBy("_window_start", "file_path")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("file_size").alias("size"))
     )
     per_window = per_file.groupBy(F.col("_window_start").alias("window_start")).agg(
         F.sum("n").alias("n"), F.sum("size").alias("size")
@@ -191,11 +192,6 @@ def write_windows(
     )
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop_path(spark, path)
-    return fs.exists(p) and len(fs.listStatus(p)) > 0
-
-
 def ledger_path(root: str) -> str:
     return f"{root.rstrip('/')}/ledger"
 
