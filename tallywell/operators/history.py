@@ -80,11 +80,11 @@ def snapshots_over(
         versions, [*keys, "_seen_at"], [F.desc(commit_ts), *[F.desc(c) for c in tie_break or []]]
     )
     following = F.lead("_seen_at").over(Window.partitionBy(*keys).orderBy("_seen_at"))
-    ends = F.sequence(F.col("_seen_at"), F.coalesce(following - step, last_end), step)
     return (
-        versions.withColumn("_window_end", F.explode(ends))
+        versions.withColumn("_last_end", F.coalesce(following - step, last_end))
+        .withColumn("_window_end", F.explode(F.sequence("_seen_at", "_last_end", step)))
         .withColumn("_window_start", F.col("_window_end") - step)
-        .drop("_seen_at")
+        .drop("_seen_at", "_last_end")
     )
 
 

@@ -62,78 +62,97 @@ def mentions_by_pattern(texts: DataFrame, key: str, prefixes: list[str]) -> Data
     return texts.select(key, "field", F.explode(found).alias("mentioned"))
 
 
-def _tail_after(dash: Column) -> Column:
-    return F.substring(F.col("text"), dash + 1, F.length("text"))
-
-
 def mentions_by_join(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
     """The same rows without a pattern, for any number of prefixes.
 
-    Every ``-`` followed by an id body gives the candidate starts before it, up to the longest
-    prefix. Candidates meet the prefixes in a join salted on the prefix side, then each text keeps
-    its leftmost non-overlapping matches.
+    Neither a prefix nor an id body holds a ``-``, so a match at the i-th dash lies in the segments
+    around it: a suffix of one, up to the longest prefix, and the start of the next. Candidates
+    meet the prefixes in a join salted on the prefix side, then each text keeps its leftmost
+    non-overlapping matches.
     """
     longest = prefixes.select(F.coalesce(F.max(F.length("prefix")), F.lit(0))).scalar()
-    segments = texts.select(
-        F.col(key),
-        "field",
-        F.sha2("text", 256).alias("_text_id"),
-        "text",
-        F.posexplode(F.split("text", "-")).alias("_i", "_segment"),
+    segments = F.split("text", "-")
+    around = F.zip_with(
+        F.slice(segments, F.lit(1), F.size(segments) - 1),
+        F.slice(segments, F.lit(2), F.size(segments) - 1),
+        lambda left, right: F.struct(
+            left.alias("left"), F.regexp_extract(right, f"^{ID_BODY}(?!{WORD})", 0).alias("body")
+        ),
     )
-    # Position (1-based) of the dash that ends segment i: lengths of segments 0..i plus i dashes + 1.
-    dash = F.expr("length(substring_index(text, '-', _i + 1)) + 1")
-    body = F.regexp_extract(_tail_after(F.col("_dash")), f"^{ID_BODY}(?!{WORD})", 0)
-    ends = (
-        segments.withColumn("_dash", dash)
-        .where((F.col("_dash") <= F.length("text")) & (F.length("_segment") > 0))
-        .withColumn("_body", body)
-        .where("_body <> ''")
+    dashes = (
+        texts.where(F.instr("text", "-") > 0)
+        .select(key, "field", F.sha2("text", 256).alias("_text_id"), F.posexplode(around).alias("_dash", "_p"))
+        .select("*", "_p.left", "_p.body")
+        .where((F.col("left") != "") & (F.col("body") != ""))
     )
-    first_start = F.greatest(F.col("_dash") - F.length("_segment"), F.col("_dash") - longest)
-    starts = ends.where(longest > 0).withColumn("_start", F.explode(F.sequence(first_start, F.col("_dash") - 1)))
-    at = F.substring(F.col("text"), F.col("_start"), F.lit(1))
-    before = F.when(F.col("_start") > 1, F.substring(F.col("text"), F.col("_start") - 1, F.lit(1))).otherwise("")
-    candidates = (
-        starts.where(at.rlike(f"^{WORD}$") != before.rlike(f"^{WORD}$"))
-        .select(
-            key,
-            "field",
-            "_text_id",
-            "_start",
-            (F.col("_dash") + F.length("_body") + 1).alias("_end"),
-            F.substring(F.col("text"), F.col("_start"), F.col("_dash") - F.col("_start")).alias("prefix"),
-            "_body",
-        )
-        .withColumn("_salt", F.pmod(F.xxhash64("_text_id", "_start"), F.lit(SALTS)))
+    size = F.length("left")
+    starts = dashes.where(longest > 0).withColumn(
+        "_start", F.explode(F.sequence(F.greatest(size - longest, F.lit(0)), size - 1))
     )
-    salted = prefixes.select("prefix", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("_salt"))
+
+    def is_word(position: Column) -> Column:
+        return F.when(position >= 0, F.substring(F.col("left"), position + 1, F.lit(1)).rlike(WORD)).otherwise(False)
+
+    candidates = starts.where(is_word(F.col("_start")) != is_word(F.col("_start") - 1)).select(
+        key,
+        "field",
+        "_text_id",
+        "_dash",
+        "_start",
+        F.expr("substring(left, _start + 1)").alias("prefix"),
+        "body",
+        F.pmod(F.xxhash64("_text_id", "_dash"), F.lit(SALTS)).alias("_salt"),
+    )
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    salted = prefixes.select("prefix", F.explode(salts).alias("_salt"))
     known = candidates.join(salted, ["prefix", "_salt"], "left_semi")
     # Equal texts of one key give equal candidates; the count carries how often the text occurs.
-    per_match = known.groupBy(
-        key, "field", "_text_id", "_start", "_end", F.concat("prefix", F.lit("-"), "_body").alias("mentioned")
-    ).agg(F.count(F.lit(1)).alias("_copies"))
-    ordered = F.array_sort(F.collect_list(F.struct("_start", "_end", "mentioned", "_copies")))
-    kept = F.aggregate(
+    per_match = known.groupBy(key, "field", "_text_id", "_dash", "_start", "prefix", "body").agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+    ordered = F.array_sort(
+        F.collect_list(
+            F.struct(
+                "_dash",
+                "_start",
+                F.length("body").alias("used"),
+                F.concat("prefix", F.lit("-"), "body").alias("mentioned"),
+                "copies",
+            )
+        )
+    )
+    # Left to right: one match per dash, and none that starts inside the body of the match before.
+    rejected = F.aggregate(
         "_matches",
-        F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<mentioned:string,copies:bigint>>)").alias("kept")),
+        F.expr(
+            "named_struct('dash', -2, 'used', 0, 'rejected', cast(array() as array<struct<d:int,s:int>>))"
+        ),
         lambda acc, m: F.when(
-            m["_start"] >= acc["pos"],
+            (m["_dash"] == acc["dash"]) | ((m["_dash"] == acc["dash"] + 1) & (m["_start"] < acc["used"])),
             F.struct(
-                m["_end"].alias("pos"),
-                F.concat(
-                    acc["kept"],
-                    F.array(F.struct(m["mentioned"].alias("mentioned"), m["_copies"].alias("copies"))),
-                ).alias("kept"),
+                acc["dash"].alias("dash"),
+                acc["used"].alias("used"),
+                F.array_append(
+                    acc["rejected"], F.struct(m["_dash"].alias("d"), m["_start"].alias("s"))
+                ).alias("rejected"),
             ),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
+        ).otherwise(
+            F.struct(m["_dash"].alias("dash"), m["used"].alias("used"), acc["rejected"].alias("rejected"))
+        ),
+        lambda acc: acc["rejected"],
+    )
+    kept = F.filter(
+        "_matches",
+        lambda m: ~F.array_contains(
+            F.col("_rejected"), F.struct(m["_dash"].alias("d"), m["_start"].alias("s"))
+        ),
     )
     return (
         per_match.groupBy(key, "field", "_text_id")
         .agg(ordered.alias("_matches"))
+        .withColumn("_rejected", rejected)
         .select(key, "field", F.explode(kept).alias("_m"))
-        .select(key, "field", F.col("_m.mentioned").alias("mentioned"), F.col("_m.copies").alias("copies"))
+        .select(key, "field", "_m.mentioned", "_m.copies")
     )
 
 

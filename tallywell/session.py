@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 # Runtime settings every job relies on. UTC keeps date_trunc and naive<->instant casts exact; INT96
 # would lose the instant/naive distinction; forced skew handling lets AQE split a hot join key even
-# when that costs another exchange.
+# when that costs another exchange. A small coalescing floor keeps many tiny windows on all cores,
+# since a window costs a file whatever its size.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
@@ -18,6 +19,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
 }
 
 

@@ -148,27 +148,34 @@ def write_windows(
         .parquet(path)
     )
 
-    schema = f"{PROVENANCE_SCHEMA}, {partition_schema(grain)}"
+    # Read back what is stored for the planned windows: two columns, one driver row per window.
     lo, hi = bounds.select(F.to_date("lo"), F.to_date(F.col("hi") - F.expr("interval 1 microsecond"))).first()
     stored = (
-        spark.read.schema(schema)
+        spark.read.schema(f"{PROVENANCE_SCHEMA}, {partition_schema(grain)}")
         .parquet(path)
         .where(F.col("dt").between(lo, hi))
-        .select("_window_start", "_extracted_at", "_metadata.file_path", "_metadata.file_size")
-        .join(spine.select(F.col("window_start").alias("_window_start")), "_window_start", "left_semi")
-    )
-    fresh = F.col("_extracted_at") == W.instant_lit(extracted_at)
-    stale = stored.where(~fresh).select("_window_start").distinct().select(*partition_columns(grain).values())
-    for row in stale.collect():  # at most one row per planned window
-        delete_dir(spark, "/".join([path, f"dt={row[0]}", *([f"hh={row[1]}"] if len(row) > 1 else [])]))
-
-    per_file = (
-        stored.where(fresh)
-        .groupBy("_window_start", "file_path")
+        .select(
+            F.col("_window_start").alias("window_start"),
+            (F.col("_extracted_at") == W.instant_lit(extracted_at)).alias("fresh"),
+            "_metadata.file_path",
+            "_metadata.file_size",
+        )
+        .groupBy("window_start", "fresh", "file_path")
         .agg(F.count(F.lit(1)).alias("n"), F.max("file_size").alias("size"))
+        .groupBy("window_start", "fresh")
+        .agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+        .join(spine, "window_start", "left_semi")
+        .withColumns(
+            {"dt": F.date_format("window_start", "yyyy-MM-dd"), "hh": F.date_format("window_start", "HH")}
+        )
+        .collect()
     )
-    per_window = per_file.groupBy(F.col("_window_start").alias("window_start")).agg(
-        F.sum("n").alias("n"), F.sum("size").alias("size")
+    for row in stored:
+        if not row["fresh"]:
+            delete_dir(spark, f"{path}/dt={row['dt']}" + (f"/hh={row['hh']}" if "hh" in parts else ""))
+    per_window = spark.createDataFrame(
+        [(r["window_start"], r["n"], r["size"]) for r in stored if r["fresh"]],
+        "window_start timestamp, n bigint, size bigint",
     )
     source, _, table = dataset.partition("/")
     rows = spine.join(per_window, "window_start", "left").select(
