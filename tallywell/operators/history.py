@@ -105,30 +105,35 @@ def scd2(
     the previous snapshot; missing days do not break a run. ``valid_to`` is the next run's start
     and the last run is current.
     """
+    # One struct names the (key, chunk) group: structs compare null-safe, so the join at the end
+    # finds the groups where the first exchange left them, a NULL key included.
     rows = snapshots.select(
-        F.col(key),
+        F.struct(
+            F.col(key).alias("key"), (month_chunk(date_col) if chunk is None else chunk).alias("chunk")
+        ).alias("_group"),
         F.col(date_col).alias("_at"),
-        (month_chunk(date_col) if chunk is None else chunk).alias("_chunk"),
         F.struct(*tracked).alias("_state"),
     )
-    in_chunk = Window.partitionBy(key, "_chunk").orderBy("_at")
+    in_chunk = Window.partitionBy("_group").orderBy("_at")
     starts = (
         rows.withColumn("_prev", F.lag(F.struct("_state")).over(in_chunk))
         .where(F.col("_prev").isNull() | ~F.col("_prev._state").eqNullSafe(F.col("_state")))
-        .select(key, "_chunk", "_at", "_state", F.col("_prev").isNull().alias("_opens"))
+        .select("_group", "_at", "_state", F.col("_prev").isNull().alias("_opens"))
     )
 
-    # One row per (key, chunk): does its first row continue the run before it, and where does the
-    # next run after it start.
-    edges = starts.groupBy(key, "_chunk").agg(
+    # One row per group: does its first row continue the run before it, and where does the next run
+    # after it start.
+    edges = starts.groupBy("_group").agg(
         F.min_by("_state", "_at").alias("_first_state"),
         F.max_by("_state", "_at").alias("_last_state"),
         F.min("_at").alias("_first_at"),
         F.min(F.when(~F.col("_opens"), F.col("_at"))).alias("_second_at"),
     )
-    by_key = Window.partitionBy(key).orderBy("_chunk")
+    by_key = Window.partitionBy("_group.key").orderBy("_group.chunk")
     after = (
-        Window.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_group.key")
+        .orderBy(F.desc("_group.chunk"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     edges = (
         edges.withColumn("_before", F.lag(F.struct("_last_state")).over(by_key))
@@ -138,14 +143,12 @@ def scd2(
         )
         .withColumn("_start", F.when(F.col("_continues"), F.col("_second_at")).otherwise(F.col("_first_at")))
         .withColumn("_next_start", F.min("_start").over(after))
-        .select(F.col(key).alias("_key"), F.col("_chunk").alias("_edge_chunk"), "_continues", "_next_start")
-    )
-    joined = starts.withColumn("_next_in_chunk", F.lead("_at").over(in_chunk)).join(
-        edges, F.col(key).eqNullSafe(F.col("_key")) & F.col("_chunk").eqNullSafe(F.col("_edge_chunk"))
+        .select("_group", "_continues", "_next_start")
     )
+    joined = starts.withColumn("_next_in_chunk", F.lead("_at").over(in_chunk)).join(edges, "_group")
     valid_to = F.coalesce("_next_in_chunk", "_next_start")
     return joined.where(~(F.col("_opens") & F.col("_continues"))).select(
-        key,
+        F.col("_group.key").alias(key),
         *[F.col(f"_state.{c}").alias(c) for c in tracked],
         F.col("_at").alias("valid_from"),
         valid_to.alias("valid_to"),

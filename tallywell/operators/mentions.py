@@ -44,13 +44,15 @@ def prefixes_of(df: DataFrame, key: str = "issue_id") -> DataFrame:
 
 
 def _small_prefix_list(prefixes: DataFrame) -> list[str] | None:
-    """The prefixes when they fit one pattern, else None. Never holds more than the two bounds."""
-    size = prefixes.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("prefix")), F.lit(0)).alias("chars")
-    ).first()
-    if size["n"] > PATTERN_MAX_PREFIXES or size["chars"] > PATTERN_MAX_CHARS:
-        return None
-    return [r["prefix"] for r in prefixes.collect()]
+    """The prefixes when they fit one pattern, else None.
+
+    Fetches at most one row more than the bound, each cut just beyond the bound, so an oversized
+    set shows as such and is never held.
+    """
+    probe = prefixes.select(F.substring("prefix", 1, PATTERN_MAX_CHARS + 1)).take(PATTERN_MAX_PREFIXES + 1)
+    found = [r[0] for r in probe]
+    fits = len(found) <= PATTERN_MAX_PREFIXES and sum(map(len, found)) <= PATTERN_MAX_CHARS
+    return found if fits else None
 
 
 def mentions_by_pattern(texts: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
@@ -81,7 +83,8 @@ def mentions_by_join(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFra
     )
     dashes = (
         texts.where(F.instr("text", "-") > 0)
-        .select(key, "field", F.sha2("text", 256).alias("_text_id"), F.posexplode(around).alias("_dash", "_p"))
+        .select(key, "field", F.sha2("text", 256).alias("_text_id"), around.alias("_around"))
+        .select(key, "field", "_text_id", F.posexplode("_around").alias("_dash", "_p"))
         .select("*", "_p.left", "_p.body")
         .where((F.col("left") != "") & (F.col("body") != ""))
     )

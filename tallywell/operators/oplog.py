@@ -86,9 +86,9 @@ def ledger_steps(ledger: DataFrame) -> DataFrame:
     )
 
 
-def read_run_results(spark: SparkSession, path: str) -> DataFrame:
-    """Build artefacts, one JSON document per file."""
-    return spark.read.schema(RUN_RESULTS_SCHEMA).json(path, multiLine=True)
+def read_run_results(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Build artefacts: one JSON document per file, or one per line where they are kept together."""
+    return spark.read.schema(RUN_RESULTS_SCHEMA).json(path, multiLine=not one_per_line)
 
 
 def _phase(name: str) -> Column:

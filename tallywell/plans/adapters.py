@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer files than cores.
+
+    The benchmark tables are one file each, and a file of one row group is one task. A table of
+    many files is left as it is scanned.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _id(prefix: str, c: str):
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
@@ -33,7 +43,7 @@ def raw_events(events: DataFrame) -> DataFrame:
     )
     again = events.select(
         *cols, F.lit("again").alias("comment"), ts,
-        (F.col("ts") + F.expr("interval 75 minutes")).cast("timestamp").alias("_extracted_at"),
+        (F.col("ts") + F.expr("interval 75 minutes 30 seconds")).cast("timestamp").alias("_extracted_at"),
     )
     return first.unionAll(again)
 

@@ -69,7 +69,7 @@ _STAGED_EVENTS = """
          null::varchar as old_value, props as new_value,
          case when user_id > 75 then 'first' else 'again' end as comment,
          timezone('UTC', timezone('Australia/Sydney', ts)) as created_at, ts::date as created_date_local,
-         ts + to_minutes(greatest(user_id, 75)) as _extracted_at
+         case when user_id > 75 then ts + to_minutes(user_id) else ts + to_seconds(75 * 60 + 30) end as _extracted_at
   from events
 """
 

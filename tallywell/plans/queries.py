@@ -391,7 +391,7 @@ def hourly_actor_activity(spark, events):
 def mention_drift(spark, lineitem, orders):
     edges = AD.line_edges(lineitem).withColumn("dt", F.lit("2001-12-31").cast("date"))
     dim = orders.select(F.concat(F.lit("ord-"), "o_orderkey").alias("issue_id"))
-    mentions = M.issue_mentions(AD.line_texts(lineitem))
+    mentions = M.issue_mentions(AD.line_texts(AD.spread(lineitem)))
     return marts.mention_drift(mentions, staging.stg_dependency_snapshots(edges), dim)
 
 
@@ -414,28 +414,28 @@ def mart_rebuild(spark, events):
 
 @query("lineitem")
 def text_unpivot(spark, lineitem):
-    return M.unpivot_text(AD.line_texts(lineitem))
+    return M.unpivot_text(AD.line_texts(AD.spread(lineitem)))
 
 
 @query("lineitem")
 def id_prefixes(spark, lineitem):
-    return M.prefixes_of(AD.line_texts(lineitem))
+    return M.prefixes_of(AD.line_texts(AD.spread(lineitem)))
 
 
 @query("lineitem")
 def mentions_lines(spark, lineitem):
-    return M.issue_mentions(AD.line_texts(lineitem))
+    return M.issue_mentions(AD.line_texts(AD.spread(lineitem)))
 
 
 @query("documents")
 def mentions_documents(spark, documents):
-    return M.issue_mentions(AD.document_texts(documents))
+    return M.issue_mentions(AD.document_texts(AD.spread(documents)))
 
 
 @query("documents")
 def mentions_documents_join(spark, documents):
     """The way for prefix sets too large for one pattern."""
-    return M.issue_mentions(AD.document_texts(documents), by_join=True)
+    return M.issue_mentions(AD.document_texts(AD.spread(documents)), by_join=True)
 
 
 # Assertions
@@ -585,8 +585,10 @@ def duration_histogram(spark, events):
 
 
 def _nodes(lineitem):
-    docs = AD.line_build_documents(lineitem)
-    return O.explode_results(docs.select(F.from_json("json", O.RUN_RESULTS_SCHEMA).alias("d")).select("d.*"))
+    spark = lineitem.sparkSession
+    path = f"{shared_dir(spark, 'run_results')}/artefacts"
+    AD.line_build_documents(AD.spread(lineitem)).write.text(path)
+    return O.explode_results(O.read_run_results(spark, path, one_per_line=True))
 
 
 @query("lineitem")

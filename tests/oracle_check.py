@@ -48,8 +48,7 @@ def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> str | None:
     if sorted(df.columns) != sorted(want_columns):
         return f"{name}: columns {sorted(df.columns)} != {sorted(want_columns)}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:2]
-        missing = [r for r in want if r not in set(got)][:2]
+        extra, missing = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
         return f"{name}: {len(got)} rows vs {len(want)}; extra {extra}; missing {missing}"
     return None
 
