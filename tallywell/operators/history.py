@@ -129,12 +129,9 @@ def scd2(
         F.min("_at").alias("_first_at"),
         F.min(F.when(~F.col("_opens"), F.col("_at"))).alias("_second_at"),
     )
-    by_key = Window.partitionBy("_group.key").orderBy("_group.chunk")
-    after = (
-        Window.partitionBy("_group.key")
-        .orderBy(F.desc("_group.chunk"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    edges = edges.withColumns({"_key": F.col("_group.key"), "_chunk": F.col("_group.chunk")})
+    by_key = Window.partitionBy("_key").orderBy("_chunk")
+    after = Window.partitionBy("_key").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     edges = (
         edges.withColumn("_before", F.lag(F.struct("_last_state")).over(by_key))
         .withColumn(
