@@ -36,6 +36,16 @@ class IngestFailed(RuntimeError):
         self.ledger = ledger
 
 
+def _reason(e: Exception) -> str:
+    """The first line of the innermost cause; a JVM error hides it behind the failed call."""
+    cause = getattr(e, "java_exception", None)
+    if cause is None:
+        return str(e).splitlines()[0]
+    while cause.getCause() is not None:
+        cause = cause.getCause()
+    return str(cause.toString()).splitlines()[0]
+
+
 def _ingest_table(
     spark: SparkSession, source: Source, table: Table, reader: Reader, bounds: tuple[datetime, datetime],
     root: str, extracted_at: datetime, run_id: str, attempts: int,
@@ -50,7 +60,7 @@ def _ingest_table(
             )
             return written, None
         except Exception as e:  # noqa: BLE001 - one table's failure must not stop the others
-            error = f"{table.name}: {str(e).splitlines()[0]}"
+            error = f"{table.name}: {_reason(e)}"
     zero = F.lit(0).cast("bigint")
     failed = R.append_ledger(
         plan.withColumns({"rows": zero, "bytes": zero}), root, run_id=run_id, source=source.name, table=table.name,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,7 @@ LEDGER_SCHEMA = (
     "window_end timestamp, rows bigint, bytes bigint, attempt int, error string, "
     "extracted_at timestamp, duration_seconds double"
 )
+LEDGER_PARTITIONS = ("zone", "source", "table")
 
 _SEGMENT = re.compile(r"[a-z0-9_]+")
 
@@ -101,6 +103,15 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def storage_clock(spark: SparkSession, path: str) -> int:
+    """The storage's own time in milliseconds, read off a marker file."""
+    fs, p = _hadoop_path(spark, f"{path}/_clock-{uuid.uuid4().hex}")
+    fs.create(p, True).close()
+    millis = fs.getFileStatus(p).getModificationTime()
+    fs.delete(p, False)
+    return millis
+
+
 def write_windows(
     df: DataFrame,
     root: str,
@@ -119,12 +130,14 @@ def write_windows(
     ledger rows of this write. The rebalance hint gives each window one task unless it is large,
     when adaptive execution splits it, so a hot window does not meet in one task.
 
-    Windows that now have no rows lose their old partition, after the write has succeeded.
+    Windows that now have no rows lose their old partition, after the write has succeeded. Old files
+    show by their extraction time or, on a re-run of the same extraction, by their age.
     """
     spark = df.sparkSession
     began = time.monotonic()
     path = dataset_path(root, zone, dataset)
     ensure_dir(spark, path)
+    started = storage_clock(spark, path)
     bounds = spine.agg(F.min("window_start").alias("lo"), F.max("window_end").alias("hi"))
     planned = (F.col("_window_start") >= bounds.select("lo").scalar()) & (
         F.col("_window_end") <= bounds.select("hi").scalar()
@@ -156,7 +169,10 @@ def write_windows(
         .where(F.col("dt").between(lo, hi))
         .select(
             F.col("_window_start").alias("window_start"),
-            (F.col("_extracted_at") == W.instant_lit(extracted_at)).alias("fresh"),
+            (
+                (F.col("_extracted_at") == W.instant_lit(extracted_at))
+                & (F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(started)))
+            ).alias("fresh"),
             "_metadata.file_path",
             "_metadata.file_size",
         )
@@ -231,11 +247,12 @@ def append_ledger(
         "extracted_at": W.instant_lit(extracted_at),
         "duration_seconds": F.lit(float(duration_seconds)),
     }
-    fields = T.StructType.fromDDL(LEDGER_SCHEMA).fields
+    fields = [f for f in T.StructType.fromDDL(LEDGER_SCHEMA).fields if f.name not in LEDGER_PARTITIONS]
     record = rows.select(
         *[constants.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in fields]
     )
-    record.write.mode("append").parquet(ledger_path(root))
+    # A folder per table: tables append side by side, and two appends must not share one folder.
+    record.write.mode("append").parquet(f"{ledger_path(root)}/zone={zone}/source={source}/table={table}")
     return read_ledger(spark, root).where(
         (F.col("run_id") == run_id) & (F.col("table") == table) & (F.col("attempt") == attempt)
     )
@@ -243,7 +260,8 @@ def append_ledger(
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     ensure_dir(spark, ledger_path(root))
-    return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path(root))
+    stored = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path(root))
+    return stored.select(*T.StructType.fromDDL(LEDGER_SCHEMA).fieldNames())
 
 
 def read_raw(
