@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywell.functions import timezones as tz
 from tallywell.operators import windows as W
-from tallywell.operators.history import month_chunk
 
 PASS, WARN, ERROR, FAIL = "pass", "warn", "error", "fail"
 
@@ -95,45 +95,31 @@ def valid_to_null_iff_current(history: DataFrame) -> DataFrame:
     return history.where(F.col("valid_to").isNull() != F.col("is_current"))
 
 
-def no_overlap(history: DataFrame, key: str, chunk: Column | None = None) -> DataFrame:
+def no_overlap(history: DataFrame, key: str) -> DataFrame:
     """Intervals ``[valid_from, valid_to)`` that start inside an earlier interval of their key.
 
     Each is listed once, beside the earlier interval that ends last; a key passes exactly when it
-    lists none. Rows run per (key, chunk), and each chunk also gets the latest-ending interval of
-    the chunks before it, so neither a hot key nor a broken one meets in one task.
+    lists none. Intervals shrink to one row per (key, start date) before the running maximum, so a
+    key brings at most a calendar of dates to one task, however many rows it has.
     """
     open_end = F.lit("9999-12-31").cast("date")
-    rows = history.select(
-        key,
-        "valid_from",
-        F.coalesce("valid_to", open_end).alias("valid_to"),
-        (month_chunk("valid_from") if chunk is None else chunk).alias("_chunk"),
-    ).where(F.col(key).isNotNull() & F.col("valid_from").isNotNull())
-    latest_end = F.max(F.struct("valid_to", "valid_from"))
-    earlier_chunks = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        rows.groupBy(key, "_chunk")
-        .agg(latest_end.alias("_latest"))
-        .select(key, "_chunk", F.max("_latest").over(earlier_chunks).alias("_carried"))
+    rows = history.select(key, "valid_from", F.coalesce("valid_to", open_end).alias("valid_to")).where(
+        F.col(key).isNotNull() & F.col("valid_from").isNotNull()
     )
-    strictly_before = (
-        Window.partitionBy(key, "_chunk")
-        .orderBy(F.unix_date("valid_from"))
-        .rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key).orderBy("valid_from").rowsBetween(Window.unboundedPreceding, -1)
+    inside = (
+        rows.groupBy(key, "valid_from")
+        .agg(F.max("valid_to").alias("_end"))
+        .withColumn("_a", F.max(F.struct("_end", "valid_from")).over(earlier))
+        .where(F.col("_a._end") > F.col("valid_from"))
+        .select(key, "valid_from", "_a")
     )
-    witness = F.greatest(F.col("_in_chunk"), F.col("_carried"))
-    return (
-        rows.withColumn("_in_chunk", latest_end.over(strictly_before))
-        .join(carried, [key, "_chunk"])
-        .withColumn("_a", witness)
-        .where(F.col("_a.valid_to") > F.col("valid_from"))
-        .select(
-            key,
-            F.col("_a.valid_from").alias("a_valid_from"),
-            F.col("_a.valid_to").alias("a_valid_to"),
-            F.col("valid_from").alias("b_valid_from"),
-            F.col("valid_to").alias("b_valid_to"),
-        )
+    return rows.join(inside, [key, "valid_from"]).select(
+        key,
+        F.col("_a.valid_from").alias("a_valid_from"),
+        F.col("_a._end").alias("a_valid_to"),
+        F.col("valid_from").alias("b_valid_from"),
+        F.col("valid_to").alias("b_valid_to"),
     )
 
 
@@ -176,25 +162,59 @@ class Assertion:
     severity: str = ERROR
 
 
+@dataclass(frozen=True)
+class RowRule:
+    """An assertion on single rows: those where ``broken`` holds fail."""
+
+    name: str
+    table: DataFrame
+    broken: Column
+    severity: str = ERROR
+
+    @property
+    def failing(self) -> DataFrame:
+        return self.table.where(self.broken)
+
+
 RESULT_SCHEMA = "name string, severity string, failures bigint, status string"
 
 
-def run_assertions(spark: SparkSession, assertions: list[Assertion]) -> DataFrame:
-    """One row per assertion ``(name, severity, failures, status)``, all counted in one job."""
-    if not assertions:
-        return spark.createDataFrame([], RESULT_SCHEMA)
-    counts = None
-    for a in assertions:
-        row = a.failing.agg(F.count(F.lit(1)).alias("failures")).select(
-            F.lit(a.name).alias("name"), F.lit(a.severity).alias("severity"), "failures"
+def _rule_counts(rules: list[RowRule]) -> DataFrame:
+    """Counts of all rules of one table from one scan."""
+    counts = [
+        F.struct(
+            F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.count_if(r.broken).alias("failures")
         )
-        counts = row if counts is None else counts.union(row)
+        for r in rules
+    ]
+    return rules[0].table.agg(F.array(*counts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def run_assertions(spark: SparkSession, assertions: list[Assertion | RowRule]) -> DataFrame:
+    """One row per assertion ``(name, severity, failures, status)``, all counted in one job.
+
+    Row rules of the same table share one scan.
+    """
+    by_table: dict[int, list[RowRule]] = {}
+    counts: list[DataFrame] = []
+    for a in assertions:
+        if isinstance(a, RowRule):
+            by_table.setdefault(id(a.table), []).append(a)
+        else:
+            counts.append(
+                a.failing.agg(F.count(F.lit(1)).alias("failures")).select(
+                    F.lit(a.name).alias("name"), F.lit(a.severity).alias("severity"), "failures"
+                )
+            )
+    counts += [_rule_counts(rules) for rules in by_table.values()]
+    if not counts:
+        return spark.createDataFrame([], RESULT_SCHEMA)
     status = (
         F.when(F.col("failures") == 0, F.lit(PASS))
         .when(F.col("severity") == WARN, F.lit(WARN))
         .otherwise(F.lit(FAIL))
     )
-    return counts.withColumn("status", status)
+    return reduce(DataFrame.union, counts).withColumn("status", status)
 
 
 class GateFailed(RuntimeError):

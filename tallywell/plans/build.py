@@ -122,13 +122,19 @@ def backfill(
     return ingest(spark, source, reader, lambda t: W.range_bounds(from_, to), root, **options)
 
 
-def staging_views(spark: SparkSession, source: Source, root: str) -> dict[str, DataFrame]:
-    """One lazy staging DataFrame per table, also registered as a temporary view."""
+def staging_views(spark: SparkSession, source: Source, root: str, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """One lazy staging DataFrame per table, also registered as a temporary view.
+
+    Models named in ``keep`` are written once and read back. Only the event dedupe shuffles, and
+    two marts and several assertions read it.
+    """
     out = {}
     for table in source.tables:
         name, model = STAGING[table.name]
         raw = R.read_raw(spark, root, R.RAW, f"{source.name}/{table.name}", table.schema, table.grain)
         out[name] = model(raw, table.time_zone) if table.name == "events" else model(raw)
+        if name in keep:
+            out[name] = write_mart(out[name], f"{root.rstrip('/')}/staging", name)
         out[name].createOrReplaceTempView(name)
     return out
 
@@ -145,7 +151,7 @@ def build_marts(
 ) -> BuildResult:
     """Staging, five marts, gate, the mention transform, the drift mart, gate."""
     apply_defaults(spark)
-    stg = staging_views(spark, source, root)
+    stg = staging_views(spark, source, root, keep=("stg_events",))
     built: dict[str, DataFrame] = {}
     built["dim_issues"] = write_mart(marts.dim_issues(stg["stg_issue_snapshots"]), root, "dim_issues")
     built["dim_issues_scd2"] = write_mart(marts.dim_issues_scd2(stg["stg_issue_snapshots"]), root, "dim_issues_scd2")
@@ -173,7 +179,7 @@ def build_marts(
     return BuildResult(built, first.unionByName(second), mentions)
 
 
-def store_assertions(spark: SparkSession, assertions: list[A.Assertion], root: str, step: str) -> DataFrame:
+def store_assertions(spark: SparkSession, assertions: list[checks.Check], root: str, step: str) -> DataFrame:
     """Evaluate the assertions once and keep their results, so reading them runs nothing again."""
     path = f"{root.rstrip('/')}/assertions/{step}"
     A.run_assertions(spark, assertions).write.mode("overwrite").parquet(path)

@@ -317,6 +317,8 @@ ORACLES: dict[str, str] = {
         union all
         select 'scd2_valid_to', 'error', count(*) from history where (valid_to is null) <> is_current
         union all
+        select 'scd2_has_start', 'error', count(*) from history where valid_from is null
+        union all
         select 'scd2_no_overlap', 'error', count(*)
         from history a join history b on a.o_custkey = b.o_custkey and a.valid_from < b.valid_from
           and coalesce(a.valid_to, date '9999-12-31') > b.valid_from)

@@ -522,7 +522,7 @@ def dq_scd2_no_overlap(spark, lineitem):
 
 @query("orders", "lineitem", "events")
 def assertion_results(spark, orders, lineitem, events):
-    history = _scd2(orders)
+    history = mart_files.write_mart(_scd2(orders), shared_dir(spark, "assertion_results"), "history")
     return A.run_assertions(
         spark,
         [
@@ -531,7 +531,8 @@ def assertion_results(spark, orders, lineitem, events):
             A.Assertion("event_types", A.accepted_values(events, "event_type", ["view", "click"]), A.WARN),
             A.Assertion("lines_have_orders", A.relationships(lineitem, "l_orderkey", orders, "o_orderkey")),
             A.Assertion("scd2_one_current", A.one_current_row(history, "o_custkey")),
-            A.Assertion("scd2_valid_to", A.valid_to_null_iff_current(history)),
+            A.RowRule("scd2_valid_to", history, F.col("valid_to").isNull() != F.col("is_current")),
+            A.RowRule("scd2_has_start", history, F.col("valid_from").isNull()),
             A.Assertion("scd2_no_overlap", A.no_overlap(history, "o_custkey")),
         ],
     )

@@ -181,8 +181,13 @@ def write_windows(
         .groupBy("window_start", "fresh")
         .agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
         .join(spine, "window_start", "left_semi")
-        .withColumns(
-            {"dt": F.date_format("window_start", "yyyy-MM-dd"), "hh": F.date_format("window_start", "HH")}
+        .select(
+            F.date_format("window_start", "yyyy-MM-dd").alias("dt"),
+            F.date_format("window_start", "HH").alias("hh"),
+            F.unix_micros("window_start").alias("micros"),
+            "fresh",
+            "n",
+            "size",
         )
         .collect()
     )
@@ -190,9 +195,8 @@ def write_windows(
         if not row["fresh"]:
             delete_dir(spark, f"{path}/dt={row['dt']}" + (f"/hh={row['hh']}" if "hh" in parts else ""))
     per_window = spark.createDataFrame(
-        [(r["window_start"], r["n"], r["size"]) for r in stored if r["fresh"]],
-        "window_start timestamp, n bigint, size bigint",
-    )
+        [(r["micros"], r["n"], r["size"]) for r in stored if r["fresh"]], "micros bigint, n bigint, size bigint"
+    ).select(F.timestamp_micros("micros").alias("window_start"), "n", "size")
     source, _, table = dataset.partition("/")
     rows = spine.join(per_window, "window_start", "left").select(
         F.coalesce("n", F.lit(0)).alias("rows"),

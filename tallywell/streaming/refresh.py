@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,21 @@ def touched_windows(batch: DataFrame, ts: str | Column, grain: str) -> DataFrame
     )
 
 
+def merge_ranges(windows: list[tuple[datetime, datetime]]) -> list[tuple[datetime, datetime]]:
+    """Adjoining windows as few ``[start, end)`` ranges."""
+    merged: list[tuple[datetime, datetime]] = []
+    for start, end in sorted(windows):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
+
+
 def rebuild_windows(
     source: DataFrame,
-    touched: DataFrame,
-    ts: str | Column,
+    windows: list[tuple[datetime, datetime]],
+    ts: str,
     grain: str,
     root: str,
     zone: str,
@@ -35,24 +47,26 @@ def rebuild_windows(
     extracted_at: datetime,
     key: tuple[str, ...] = (),
     order: list[Column] | None = None,
-) -> DataFrame | None:
-    """Replace the ``touched`` windows with every row ``source`` has for them.
+) -> DataFrame:
+    """Replace ``windows`` with every row ``source`` has for them; ``ts`` is naive UTC or an instant.
 
     Rows come from the source, not from the batch, so a late row never displaces the rows its
-    window already had. With ``key``, one row per key is kept, first by ``order``.
+    window already had. With ``key``, one row per key is kept, first by ``order``. The windows are
+    range filters on the stored column, so one very late row does not read all time since.
     """
-    span = touched.agg(F.min("window_start"), F.max("window_end")).first()
-    if span[0] is None:
-        return None
-    instant = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp")
-    in_span = source.where((instant >= F.lit(span[0])) & (instant < F.lit(span[1])))
-    rows = W.assign_window(in_span, ts, grain).join(
-        touched.select(F.col("window_start").alias("_window_start")), "_window_start", "left_semi"
+    is_naive = dict(source.dtypes)[ts] == "timestamp_ntz"
+    lit = W.naive_lit if is_naive else W.instant_lit
+    ranges = merge_ranges(windows)
+    wanted = reduce(
+        lambda a, b: a | b, [(F.col(ts) >= lit(start)) & (F.col(ts) < lit(end)) for start, end in ranges]
     )
-    rows = rows.select(*source.columns, "_window_start", "_window_end")
+    rows = W.assign_window(source.where(wanted), ts, grain)
     if key:
-        rows = latest_per_key(rows, list(key), order or [F.lit(1)])
-    return R.write_windows(rows, root, zone, dataset, grain, touched, extracted_at, key)
+        rows = latest_per_key(rows, list(key), order or [F.asc(ts)])
+    spine = source.sparkSession.createDataFrame(
+        [(grain, *w) for w in windows], "grain string, window_start timestamp, window_end timestamp"
+    )
+    return R.write_windows(rows, root, zone, dataset, grain, spine, extracted_at, key)
 
 
 def refresh_stream(
@@ -75,13 +89,12 @@ def refresh_stream(
     """
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        # The spine is read several times below; a calendar of windows, kept as literal rows.
-        windows = [tuple(r) for r in touched_windows(batch, ts, grain).collect()]
+        # One driver row per distinct window of the batch.
+        touched = touched_windows(batch, ts, grain).where(F.col("window_start").isNotNull())
+        naive_utc = touched.select(*[F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")])
+        windows = [(W.to_utc(start), W.to_utc(end)) for start, end in naive_utc.collect()]
         if windows:
-            touched = batch.sparkSession.createDataFrame(
-                windows, "grain string, window_start timestamp, window_end timestamp"
-            )
-            rebuild_windows(read_source(), touched, ts, grain, root, zone, dataset, now(), key, order)
+            rebuild_windows(read_source(), windows, ts, grain, root, zone, dataset, now(), key, order)
 
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
 
