@@ -16,7 +16,7 @@ from tallywell.functions.text import ID_BODY, WORD, id_prefix, mention_pattern,
 # The scanned text fields.
 TEXT_FIELDS = ["title", "description", "design", "acceptance_criteria", "notes", "close_reason"]
 
-PATTERN_MAX_PREFIXES = 1_000
+PATTERN_MAX_PREFIXES = 500
 PATTERN_MAX_CHARS = 32_768
 SALTS = 16
 

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from helpers import rows
-from tallywell.functions.text import quote_regex
+from tallywell.functions.text import any_of, quote_regex
 from tallywell.operators import mentions as M
 
 
@@ -109,3 +109,9 @@ def test_quoting_survives_an_end_marker(spark):
     pattern = quote_regex("a\\Eb.c")
     df = spark.createDataFrame([("a\\Eb.c",), ("a\\EbXc",)], "t string")
     assert [r[0] for r in df.where(df.t.rlike(pattern)).collect()] == ["a\\Eb.c"]
+
+
+def test_pattern_branches_where_prefixes_differ():
+    assert any_of(["src1", "src10", "src2", "ab"]) == "(?:ab|src(?:1(?:0)?|2))"
+    deep = ["a" * n for n in range(1, M.PATTERN_MAX_PREFIXES + 1)]
+    assert re.fullmatch(any_of(deep), "a" * 37) and not re.fullmatch(any_of(deep), "")
