@@ -184,3 +184,57 @@ def line_build_documents(lineitem: DataFrame) -> DataFrame:
         F.array(model, test).alias("results"),
     )
     return lineitem.select(F.to_json(doc).alias("json"))
+
+
+def tracker_tables(events: DataFrame, conversations: DataFrame) -> dict[str, DataFrame]:
+    """All seven tracker tables: users are issues, and each event is a commit that changed its user."""
+    null = F.lit(None).cast("string")
+    user, event = F.col("user_id"), F.col("event_id").cast("string")
+    usr = _id("usr-", "user_id")
+    actor = F.concat(F.lit("actor-"), user % 7)
+    status = F.create_map(
+        *[F.lit(x) for pair in (("view", "open"), ("click", "in_progress"), ("purchase", "closed"),
+                                ("error", "blocked"), ("signup", "deferred")) for x in pair]
+    )[F.col("event_type")]
+    issue = [
+        usr.alias("id"),
+        F.concat(F.lit("user "), user).alias("title"),
+        status.alias("status"),
+        F.lit("task").alias("issue_type"),
+        (user % 5).alias("priority"),
+        actor.alias("assignee"),
+        (F.lit("2023-12-31").cast("timestamp_ntz") + F.make_interval(mins=user.cast("int"))).alias("created_at"),
+        F.col("ts").alias("updated_at"),
+        F.when(F.col("event_type") == "purchase", F.col("ts")).alias("closed_at"),
+        null.alias("close_reason"),
+        F.concat(F.lit("like usr-"), user * 2, F.lit(".")).alias("description"),
+        null.alias("design"),
+        null.alias("acceptance_criteria"),
+        F.concat(F.lit("see usr-"), user + 1).alias("notes"),
+        F.col("ts").alias("commit_date"),
+    ]
+    said = F.make_date(F.lit(2024), F.lit(1), (F.col("conv_id") % 28 + 1).cast("int")).cast("timestamp_ntz")
+    return {
+        "events": events.select(
+            event.alias("id"), usr.alias("issue_id"), F.lit("updated").alias("event_type"), actor.alias("actor"),
+            null.alias("old_value"), F.col("props").alias("new_value"), null.alias("comment"),
+            F.col("ts").alias("created_at"),
+        ),
+        "issue_history": events.select(*issue, event.alias("commit_hash"), actor.alias("committer")),
+        "commits": events.select(
+            event.alias("commit_hash"), actor.alias("committer"), F.col("ts").alias("date"),
+            F.col("event_id").alias("commit_order"),
+        ),
+        "issues": events.select(*issue),
+        "comments": conversations.select(
+            F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+            _id("conv-", "conv_id").alias("issue_id"), F.col("role").alias("author"), "text",
+            said.alias("created_at"), said.alias("commit_date"),
+        ),
+        "dependencies": events.select(
+            _id("dep-", "user_id").alias("id"), usr.alias("issue_id"), F.lit("blocks").alias("type"),
+            F.concat(F.lit("usr-"), user + 1).alias("depends_on_issue_id"), F.col("ts").alias("created_at"),
+            F.col("ts").alias("commit_date"),
+        ),
+        "labels": events.select(usr.alias("issue_id"), F.col("event_type").alias("label"), F.col("ts").alias("commit_date")),
+    }

@@ -187,6 +187,55 @@ ORACLES: dict[str, str] = {
       left join events on date_trunc('hour', ts) = h and event_type = 'purchase' group by h""",
     "raw_schema_union": """
       select event_id, ts, case when ts >= timestamp '2024-01-16' then value end as value, ts::date as dt from events""",
+    "backfill_totals": """
+      select 'events' as table_name, 720 as windows, 0 as failed_windows, count(*) as n_rows
+      from events where ts < timestamp '2024-01-31'
+      union all
+      select 'users', 30, 0, count(distinct (d, user_id))
+      from (select unnest(range(timestamp '2024-01-02', timestamp '2024-02-01', interval 1 day)) as d), events
+      where ts <= d""",
+    "refresh_rows": """
+      select 'events' as table_name, user_id, event_id, date_trunc('hour', ts) as _window_start,
+             strftime(ts, 'raw/app/events/dt=%Y-%m-%d/hh=%H.parquet') as _source_file
+      from events where ts >= timestamp '2024-01-29 13:00:00' and ts < timestamp '2024-01-30 13:00:00'
+      union all
+      select 'users', user_id, arg_max(event_id, ts), d, strftime(d, 'raw/app/users/dt=%Y-%m-%d/part-0.parquet')
+      from (values (timestamp '2024-01-29'), (timestamp '2024-01-30')) v(d), events
+      where ts <= d + interval 1 day group by user_id, d""",
+    "derived_mentions": f"""
+      select *, date '2024-01-31' as dt, 'derived/issue_mentions/dt=2024-01-31/part-0.parquet' as _source_file
+      from ({_LINE_MENTIONS})""",
+    "tracker_build": """
+      with e as (
+        select *, timezone('UTC', timezone('Australia/Sydney', ts)) as utc_at from events
+        where ts >= timestamp '2024-01-01 11:00:00' and ts < timestamp '2024-01-31 11:00:00'),
+      commits as (select * from events where ts < timestamp '2024-01-31'),
+      daily as (
+        select user_id, d, arg_max(event_type, ts) as status
+        from (select unnest(range(timestamp '2024-01-02', timestamp '2024-02-01', interval 1 day)) as d), events
+        where ts <= d group by user_id, d),
+      changes as (
+        select status is distinct from lag(status) over (partition by user_id order by d) as opens from daily),
+      dim as (select user_id, bool_or(ts = last and event_type = 'purchase') as closed, max(last) as last
+              from (select *, max(ts) over (partition by user_id) as last from events where ts <= timestamp '2024-01-31')
+              group by user_id)
+      select 'dim_issues' as mart, count(*) as n_rows from dim
+      union all select 'dim_issues_scd2', count(*) from changes where opens
+      union all select 'fct_issue_events', count(*) from e
+      union all
+      select 'mart_daily_throughput', count(*) from (
+        select timezone('Australia/Sydney', timezone('UTC', timestamp '2023-12-31' + to_minutes(user_id)))::date from dim
+        union
+        select timezone('Australia/Sydney', timezone('UTC', last))::date from dim where closed
+        union
+        select ts::date from e)
+      union all
+      select 'mart_actor_activity_hourly', count(*) from (
+        select date_trunc('hour', utc_at), user_id % 7 from e
+        union
+        select date_trunc('hour', ts), user_id % 7 from commits)
+      union all select 'mart_issue_mention_drift', count(*) from dim where user_id >= 2
+      union all select 'passed assertions', 49""",
     "content_diff": """
       select *, 'left_only' as side from (select l_orderkey as order_key from lineitem except all select o_orderkey from orders)
       union all

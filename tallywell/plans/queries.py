@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,10 @@ from tallywell.operators import mentions as M
 from tallywell.operators import oplog as O
 from tallywell.operators import windows as W
 from tallywell.plans import adapters as AD
-from tallywell.plans import marts, staging
+from tallywell.plans import build, marts, staging
 from tallywell.session import apply_defaults, shared_dir
 from tallywell.sources import mart_files, raw_layer as R
+from tallywell.sources.declarations import EVENT_LOG, SNAPSHOT, Source, Table, tracker_source
 from tallywell.sources.extract import conform, event_log_between
 from tallywell.streaming.refresh import dedupe_stream, refresh_stream
 
@@ -210,6 +212,68 @@ def raw_schema_union(spark, events):
     return R.read_raw(spark, root, R.RAW, "app/grown").select("event_id", "ts", "value", "dt")
 
 
+APP = Source(
+    "app",
+    timedelta(minutes=15),
+    (
+        Table("events", W.HOUR, 24, EVENT_LOG, "ts", ("event_id",), "event_id bigint, ts timestamp_ntz, user_id bigint"),
+        Table("users", W.DAY, 2, SNAPSHOT, "ts", ("user_id",), "user_id bigint, event_id bigint, event_type string"),
+    ),
+)
+
+
+@query("events")
+def backfill_totals(spark, events):
+    """Both shapes of table over every window of a month, as run totals."""
+    root = shared_dir(spark, "backfill")
+    ledger = build.backfill(
+        spark, APP, lambda name: events, FIRST_DAY, datetime(2024, 1, 30), root, extracted_at=EXTRACTED
+    )
+    return O.ledger_summary(ledger).select(
+        F.col("table").alias("table_name"), "windows", "failed_windows", F.col("rows").alias("n_rows")
+    )
+
+
+@query("events")
+def refresh_rows(spark, events):
+    """The raw rows a lookback pass leaves: 24 hours of the log and two daily snapshots."""
+    root = shared_dir(spark, "refresh")
+    build.refresh(spark, APP, lambda name: events, datetime(2024, 1, 30, 12, 30), root, extracted_at=EXTRACTED)
+    parts = [
+        R.read_raw(spark, root, R.RAW, f"app/{t.name}", t.schema, t.grain).select(
+            F.lit(t.name).alias("table_name"), "user_id", "event_id", "_window_start", "_source_file"
+        )
+        for t in APP.tables
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("lineitem")
+def derived_mentions(spark, lineitem):
+    """The mention transform written to the derived zone and read back."""
+    root = shared_dir(spark, "derived")
+    mentions = M.issue_mentions(AD.line_texts(AD.spread(lineitem)))
+    build.materialise(mentions, root, build.MENTIONS, (LAST_DAY, LAST_DAY + timedelta(days=1)), EXTRACTED)
+    return R.read_raw(spark, root, R.DERIVED, build.MENTIONS, build.MENTIONS_SCHEMA, W.DAY).select(
+        "issue_id", "mentioned_issue_id", "field", "mention_count", "dt", "_source_file"
+    )
+
+
+@query("events", "conversations")
+def tracker_build(spark, events, conversations):
+    """Backfill of all seven tables, staging, marts, assertions and transform: rows per mart."""
+    root, source = shared_dir(spark, "tracker"), tracker_source()
+    tables = AD.tracker_tables(events, conversations)
+    build.backfill(spark, source, tables.__getitem__, FIRST_DAY, datetime(2024, 1, 30), root, extracted_at=EXTRACTED)
+    result = build.build_marts(spark, source, root, EXTRACTED)
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("mart"), "n_rows")
+        for name, df in result.marts.items()
+    ]
+    passed = result.assertions.agg(F.count_if(F.col("status") == "pass").alias("n_rows"))
+    return reduce(DataFrame.unionAll, counts).unionAll(passed.select(F.lit("passed assertions").alias("mart"), "n_rows"))
+
+
 @query("lineitem", "orders")
 def content_diff(spark, lineitem, orders):
     return A.content_diff(
