@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -14,6 +14,21 @@ from tallywell.operators import windows as W
 from tallywell.operators.history import latest_per_key
 from tallywell.sources import raw_layer as R
 
+# The envelope of a landed message. The body stays an opaque string.
+LANDING_SCHEMA = (
+    "MessageId string, Timestamp timestamp, TopicArn string, MessageAttributes string, Message string, "
+    "dt date, hh int"
+)
+
+
+def read_landing(spark: SparkSession, path: str) -> DataFrame:
+    """Landed messages, gzipped JSON lines under ``dt=``/``hh=`` folders of their arrival."""
+    return spark.read.schema(LANDING_SCHEMA).json(path).drop("dt", "hh")
+
+
+def landing_stream(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(LANDING_SCHEMA).json(path).drop("dt", "hh")
+
 
 def touched_windows(batch: DataFrame, ts: str | Column, grain: str) -> DataFrame:
     """A spine of the distinct windows that hold the batch's rows."""

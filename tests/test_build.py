@@ -27,9 +27,9 @@ def tracker_tables(spark):
 
     issues = spark.createDataFrame(
         [
-            issue("trk-a", day(14, 2), "open", "first", day(14, 1)),
-            issue("trk-a", day(14, 20), "closed", "first", day(14, 1), day(14, 20), notes="see trk-b, trk-b and trk-zz."),
-            issue("trk-b", day(15, 3), "open", "after trk-a", day(15, 3)),
+            issue("tsk-a", day(14, 2), "open", "first", day(14, 1)),
+            issue("tsk-a", day(14, 20), "closed", "first", day(14, 1), day(14, 20), notes="see tsk-b, tsk-b and tsk-zz."),
+            issue("tsk-b", day(15, 3), "open", "after tsk-a", day(15, 3)),
         ],
         "id string, commit_date timestamp_ntz, title string, status string, issue_type string, priority bigint, "
         "assignee string, created_at timestamp_ntz, updated_at timestamp_ntz, closed_at timestamp_ntz, "
@@ -38,10 +38,10 @@ def tracker_tables(spark):
     # Sydney wall clock is ten hours ahead of UTC on these days.
     events = spark.createDataFrame(
         [
-            ("e1", "trk-a", "created", "ann", datetime(2026, 9, 14, 11, 0, 30)),
-            ("e2", "trk-a", "closed", "bob", datetime(2026, 9, 15, 6)),
-            ("e3", "trk-b", "created", None, datetime(2026, 9, 15, 13)),
-            ("e4", "trk-b", "strange", "ann", datetime(2026, 9, 15, 13, 30)),
+            ("e1", "tsk-a", "created", "ann", datetime(2026, 9, 14, 11, 0, 30)),
+            ("e2", "tsk-a", "closed", "bob", datetime(2026, 9, 15, 6)),
+            ("e3", "tsk-b", "created", None, datetime(2026, 9, 15, 13)),
+            ("e4", "tsk-b", "strange", "ann", datetime(2026, 9, 15, 13, 30)),
         ],
         "id string, issue_id string, event_type string, actor string, created_at timestamp_ntz",
     ).withColumns({c: F.lit(None).cast("string") for c in ("old_value", "new_value", "comment")})
@@ -57,15 +57,15 @@ def tracker_tables(spark):
         "commits": commits,
         "issues": issues,
         "comments": spark.createDataFrame(
-            [(day(14, 3), "m1", "trk-a", "ann", "hello", day(14, 3))],
+            [(day(14, 3), "m1", "tsk-a", "ann", "hello", day(14, 3))],
             f"{other}, author string, text string, created_at timestamp_ntz",
         ),
         "dependencies": spark.createDataFrame(
-            [(day(14, 3), "d1", "trk-a", "blocks", "trk-b", day(14, 3))],
+            [(day(14, 3), "d1", "tsk-a", "blocks", "tsk-b", day(14, 3))],
             f"{other}, type string, depends_on_issue_id string, created_at timestamp_ntz",
         ),
         "labels": spark.createDataFrame(
-            [(day(14, 3), "trk-a", "x")], "commit_date timestamp_ntz, issue_id string, label string"
+            [(day(14, 3), "tsk-a", "x")], "commit_date timestamp_ntz, issue_id string, label string"
         ),
     }
 
@@ -90,11 +90,11 @@ def test_ledger_covers_every_lookback_window(built):
 def test_marts(built):
     m = built[4].marts
     assert rows(m["dim_issues"], "issue_id", "status", "cycle_time_hours") == [
-        ("trk-a", "closed", 19.0), ("trk-b", "open", None),
+        ("tsk-a", "closed", 19.0), ("tsk-b", "open", None),
     ]
     assert rows(m["dim_issues_scd2"], "issue_id", "status", "valid_from", "valid_to", "is_current") == [
-        ("trk-a", "closed", date(2026, 9, 14), None, True),
-        ("trk-b", "open", date(2026, 9, 15), None, True),
+        ("tsk-a", "closed", date(2026, 9, 14), None, True),
+        ("tsk-b", "open", date(2026, 9, 15), None, True),
     ]
     assert rows(m["fct_issue_events"], "event_id", "issue_type", "dt") == [
         ("e2", "task", date(2026, 9, 15)), ("e3", "task", date(2026, 9, 15)), ("e4", "task", date(2026, 9, 15)),
@@ -106,8 +106,8 @@ def test_marts(built):
     assert (datetime(2026, 9, 15, 3), None, 0, 0, date(2026, 9, 15)) in activity
     assert (datetime(2026, 9, 15, 3), "ann", 1, 1, date(2026, 9, 15)) in activity
     assert (datetime(2026, 9, 14, 20), "bob", 1, 1, date(2026, 9, 15)) in activity and len(activity) == 3
-    # trk-a and trk-b have a declared edge; trk-zz is nobody.
-    assert rows(m["mart_issue_mention_drift"]) == [("trk-a", "trk-zz", 1, 1, False)]
+    # tsk-a and tsk-b have a declared edge; tsk-zz is nobody.
+    assert rows(m["mart_issue_mention_drift"]) == [("tsk-a", "tsk-zz", 1, 1, False)]
 
 
 def test_assertions_ran_and_warned(built):

@@ -8,7 +8,7 @@ from tallywell.functions.text import any_of, quote_regex
 from tallywell.operators import mentions as M
 
 
-def found(spark, text, prefixes, self_id="trk-self", by_join=False):
+def found(spark, text, prefixes, self_id="tsk-self", by_join=False):
     dim = spark.createDataFrame(
         [(self_id, text)] + [(f"{p}-0seed", None) for p in prefixes], "issue_id string, title string"
     )
@@ -17,27 +17,27 @@ def found(spark, text, prefixes, self_id="trk-self", by_join=False):
 
 
 CASES = [
-    ("see (trk-abc) for context", ["trk"], {"trk-abc": 1}),
-    ("trk-abc, then trk-def", ["trk"], {"trk-abc": 1, "trk-def": 1}),
-    ("this closes trk-bam.1.", ["trk"], {"trk-bam.1": 1}),
-    ("see trk-bam.1 for the parent", ["trk"], {"trk-bam.1": 1}),
-    ("trk-bam.1a", ["trk"], {"trk-bam": 1}),
-    ("see trk-7gx-health for detail", ["trk"], {"trk-7gx": 1}),
-    ("trk-abc appears, and trk-abc appears again", ["trk"], {"trk-abc": 2}),
-    ("trk-self refers to itself and to trk-other", ["trk"], {"trk-other": 1}),
-    ("see claw-99 and trk-abc", ["trk"], {"trk-abc": 1}),
-    ("see TRK-abc", ["trk"], {}),
-    ("relates to trk-1 and bam-2", ["trk", "bam"], {"trk-1": 1, "bam-2": 1}),
-    ("", ["trk"], {}),
-    ("nothing to see here", ["trk"], {}),
-    ("étrk-z", ["trk"], {"trk-z": 1}),
-    ("claw-trk-abc", ["claw", "trk"], {"claw-trk": 1}),
-    ("claw-trk-abc", ["trk"], {"trk-abc": 1}),
-    ("trk-abC trk--x -trk-y trk-", ["trk"], {"trk-y": 1}),
-    ("my.trk-1 and xtrk-2 _trk-3", ["trk", "my.trk"], {"my.trk-1": 1}),
-    ("a+b-1 aab-1 xa+b-2", ["trk", "a+b"], {"a+b-1": 1}),
-    ("x.p-1 .p-2", ["trk", ".p"], {".p-1": 1}),
-    ("q\\Ez-1", ["trk", "q\\Ez"], {"q\\Ez-1": 1}),
+    ("look at (tsk-abc), please", ["tsk"], {"tsk-abc": 1}),
+    ("tsk-a1,tsk-b2;tsk-c3", ["tsk"], {"tsk-a1": 1, "tsk-b2": 1, "tsk-c3": 1}),
+    ("done with tsk-sub.1.", ["tsk"], {"tsk-sub.1": 1}),
+    ("part tsk-sub.1.22 of it", ["tsk"], {"tsk-sub.1.22": 1}),
+    ("tsk-sub.1a", ["tsk"], {"tsk-sub": 1}),
+    ("the tsk-9xy-tail branch", ["tsk"], {"tsk-9xy": 1}),
+    ("tsk-abc, tsk-abc and once more tsk-abc", ["tsk"], {"tsk-abc": 3}),
+    ("tsk-self, or tsk-other", ["tsk"], {"tsk-other": 1}),
+    ("job-99 before tsk-abc", ["tsk"], {"tsk-abc": 1}),
+    ("TSK-abc Tsk-abc", ["tsk"], {}),
+    ("tsk-1 with sub-2", ["tsk", "sub"], {"tsk-1": 1, "sub-2": 1}),
+    ("", ["tsk"], {}),
+    ("no ids in this one", ["tsk"], {}),
+    ("étsk-z", ["tsk"], {"tsk-z": 1}),
+    ("job-tsk-abc", ["job", "tsk"], {"job-tsk": 1}),
+    ("job-tsk-abc", ["tsk"], {"tsk-abc": 1}),
+    ("tsk-abC tsk--x -tsk-y tsk-", ["tsk"], {"tsk-y": 1}),
+    ("my.tsk-1 and xtsk-2 _tsk-3", ["tsk", "my.tsk"], {"my.tsk-1": 1}),
+    ("a+b-1 aab-1 xa+b-2", ["tsk", "a+b"], {"a+b-1": 1}),
+    ("x.p-1 .p-2", ["tsk", ".p"], {".p-1": 1}),
+    ("q\\Ez-1", ["tsk", "q\\Ez"], {"q\\Ez-1": 1}),
 ]
 
 
@@ -46,7 +46,7 @@ def test_mention_cases(spark, by_join):
     wrong = [
         (text, prefixes, got, want)
         for text, prefixes, want in CASES
-        if (got := found(spark, text, prefixes if "trk" in prefixes else ["trk", *prefixes], by_join=by_join)) != want
+        if (got := found(spark, text, prefixes if "tsk" in prefixes else ["tsk", *prefixes], by_join=by_join)) != want
     ]
     assert not wrong
 
@@ -68,12 +68,12 @@ def brute_force(data, fields):
 @pytest.mark.parametrize("seed", range(4))
 def test_both_ways_equal_brute_force(spark, seed):
     rng = random.Random(seed)
-    pieces = ["trk", "claw", "c", "my.p", ".q", "é", "-", "-", "-", ".", " ", "1", "ab", "A", "_", "trk-1", "claw-trk-x.2"]
+    pieces = ["tsk", "job", "c", "my.p", ".q", "é", "-", "-", "-", ".", " ", "1", "ab", "A", "_", "tsk-1", "job-tsk-x.2"]
 
     def text():
         return None if rng.random() < 0.1 else "".join(rng.choice(pieces) for _ in range(rng.randrange(60)))
 
-    ids = ["trk-1", "claw-2", "c-3", "my.p-4", ".q-5", "plain", "-odd", "trk-1", "trk-ab"]
+    ids = ["tsk-1", "job-2", "c-3", "my.p-4", ".q-5", "plain", "-odd", "tsk-1", "tsk-ab"]
     data = [(rng.choice(ids), text(), text()) for _ in range(60)]
     data += data[:5]  # equal rows count twice
     dim = spark.createDataFrame(data, "issue_id string, title string, notes string")

@@ -1,3 +1,5 @@
+import gzip
+import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -5,7 +7,9 @@ from pyspark.sql import functions as F
 from helpers import rows
 from tallywell.operators import windows as W
 from tallywell.sources import raw_layer as R
-from tallywell.streaming.refresh import dedupe_stream, late_windows, refresh_stream, touched_windows
+from tallywell.streaming.refresh import (
+    dedupe_stream, landing_stream, late_windows, merge_ranges, read_landing, refresh_stream, touched_windows,
+)
 
 SCHEMA = "id string, ts timestamp_ntz, body string"
 T0 = datetime(2026, 9, 14, 10)
@@ -53,3 +57,36 @@ def test_stream_drops_redeliveries(spark, tmp_path):
     )
     writer.trigger(availableNow=True).start(out, format="parquet").awaitTermination()
     assert rows(spark.read.parquet(out), "id") == [("a",), ("b",)]
+
+
+def test_landed_messages_reach_the_window_of_their_publish_time(spark, tmp_path):
+    root, landing = str(tmp_path / "root"), tmp_path / "landing"
+
+    def land(folder, name, *messages):
+        (landing / folder).mkdir(parents=True, exist_ok=True)
+        lines = [
+            json.dumps({"MessageId": i, "Timestamp": f"2026-09-14T{t}:00Z", "TopicArn": "t", "Message": '{"a": 1}'})
+            for i, t in messages
+        ]
+        with gzip.open(landing / folder / f"{name}.jsonl.gz", "wt") as f:
+            f.write("\n".join(lines))
+
+    def run():
+        refresh_stream(
+            landing_stream(spark, str(landing)), lambda: read_landing(spark, str(landing)), "Timestamp", W.HOUR, root,
+            "push/topic", str(tmp_path / "checkpoint"), key=("MessageId",), now=lambda: datetime(2026, 9, 15),
+        ).trigger(availableNow=True).start().awaitTermination()
+        return rows(R.read_raw(spark, root, R.RAW, "push/topic"), "MessageId", "hh", "Message")
+
+    land("dt=2026-09-14/hh=10", "b1", ("m1", "10:05"), ("m2", "10:50"))
+    assert run() == [("m1", 10, '{"a": 1}'), ("m2", 10, '{"a": 1}')]
+    # Arrives five hours later: one redelivery, one late message of the first hour.
+    land("dt=2026-09-14/hh=15", "b2", ("m2", "10:50"), ("m3", "10:59"), ("m4", "15:00"))
+    assert [(i, h) for i, h, _ in run()] == [("m1", 10), ("m2", 10), ("m3", 10), ("m4", 15)]
+
+
+def test_adjoining_windows_merge():
+    hour = lambda h: (T0 + timedelta(hours=h), T0 + timedelta(hours=h + 1))
+    assert merge_ranges([hour(5), hour(0), hour(1), hour(9)]) == [
+        (T0, T0 + timedelta(hours=2)), hour(5), hour(9),
+    ]
