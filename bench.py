@@ -6,11 +6,15 @@ import json
 import os
 import sys
 import time
+from datetime import datetime
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from tallywell.plans import adapters as AD  # noqa: E402
+from tallywell.plans import build  # noqa: E402
 from tallywell.plans.queries import QUERIES  # noqa: E402
-from tallywell.session import build_session  # noqa: E402
+from tallywell.session import build_session, shared_dir  # noqa: E402
+from tallywell.sources.declarations import tracker_source  # noqa: E402
 
 HEADLINE = [
     "hourly_actor_activity",
@@ -35,6 +39,27 @@ HEADLINE = [
 ]
 
 
+def tracker_steps(spark, sf_dir: str) -> dict[str, float]:
+    """The operational passes: backfill of 2,280 windows, lookback of 80, all marts with assertions."""
+    events, conversations = (AD.table(spark, sf_dir, n) for n in ("events", "conversations"))
+    source, tables = tracker_source(), AD.tracker_tables(events, conversations)
+    root, reader = shared_dir(spark, "bench"), tables.__getitem__
+    now = datetime(2024, 1, 30, 23, 30)
+    first, last = datetime(2024, 1, 1), datetime(2024, 1, 30)
+    steps = {
+        "tracker_backfill": lambda: build.backfill(spark, source, reader, first, last, root),
+        "tracker_lookback": lambda: build.refresh(spark, source, reader, now, root),
+        "tracker_marts": lambda: build.build_marts(spark, source, root, now),
+        "tracker_freshness": lambda: build.freshness(spark, source, root, now).collect(),
+    }
+    seconds = {}
+    for name, step in steps.items():
+        began = time.perf_counter()
+        step()
+        seconds[name] = round(time.perf_counter() - began, 3)
+    return seconds
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -55,6 +80,7 @@ def main() -> None:
             began = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - began, 3)
+    seconds.update(tracker_steps(spark, sf_dir))
     print(
         json.dumps(
             {

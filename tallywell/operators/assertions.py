@@ -190,30 +190,40 @@ def _rule_counts(rules: list[RowRule]) -> DataFrame:
     return rules[0].table.agg(F.array(*counts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def run_assertions(spark: SparkSession, assertions: list[Assertion | RowRule]) -> DataFrame:
-    """One row per assertion ``(name, severity, failures, status)``, all counted in one job.
-
-    Row rules of the same table share one scan.
-    """
-    by_table: dict[int, list[RowRule]] = {}
-    counts: list[DataFrame] = []
+def one_scan_groups(assertions: list[Assertion | RowRule]) -> list[list[Assertion | RowRule]]:
+    """Row rules of the same table together, every other assertion alone."""
+    by_table: dict[int, list] = {}
+    alone = []
     for a in assertions:
         if isinstance(a, RowRule):
             by_table.setdefault(id(a.table), []).append(a)
         else:
-            counts.append(
-                a.failing.agg(F.count(F.lit(1)).alias("failures")).select(
-                    F.lit(a.name).alias("name"), F.lit(a.severity).alias("severity"), "failures"
-                )
-            )
-    counts += [_rule_counts(rules) for rules in by_table.values()]
-    if not counts:
+            alone.append([a])
+    return [*alone, *by_table.values()]
+
+
+def _counts(group: list[Assertion | RowRule]) -> DataFrame:
+    if isinstance(group[0], RowRule):
+        return _rule_counts(group)
+    a = group[0]
+    return a.failing.agg(F.count(F.lit(1)).alias("failures")).select(
+        F.lit(a.name).alias("name"), F.lit(a.severity).alias("severity"), "failures"
+    )
+
+
+def run_assertions(spark: SparkSession, assertions: list[Assertion | RowRule]) -> DataFrame:
+    """One row per assertion ``(name, severity, failures, status)``; nothing runs until it is read.
+
+    Row rules of the same table share one scan.
+    """
+    if not assertions:
         return spark.createDataFrame([], RESULT_SCHEMA)
     status = (
         F.when(F.col("failures") == 0, F.lit(PASS))
         .when(F.col("severity") == WARN, F.lit(WARN))
         .otherwise(F.lit(FAIL))
     )
+    counts = [_counts(group) for group in one_scan_groups(assertions)]
     return reduce(DataFrame.union, counts).withColumn("status", status)
 
 

@@ -77,7 +77,7 @@ def ingest(
     root: str,
     extracted_at: datetime | None = None,
     attempts: int = 3,
-    parallel_tables: int = 4,
+    parallel_tables: int = 8,
 ) -> DataFrame:
     """One range scan and one write per table; returns the run's ledger records.
 
@@ -152,20 +152,30 @@ def build_marts(
     """Staging, five marts, gate, the mention transform, the drift mart, gate."""
     apply_defaults(spark)
     stg = staging_views(spark, source, root, keep=("stg_events",))
-    built: dict[str, DataFrame] = {}
-    built["dim_issues"] = write_mart(marts.dim_issues(stg["stg_issue_snapshots"]), root, "dim_issues")
-    built["dim_issues_scd2"] = write_mart(marts.dim_issues_scd2(stg["stg_issue_snapshots"]), root, "dim_issues_scd2")
-    built["fct_issue_events"] = write_mart(
-        marts.fct_events(stg["stg_events"], built["dim_issues"]), root, "fct_issue_events", "dt"
-    )
-    built["mart_daily_throughput"] = write_mart(
-        marts.daily_throughput(built["dim_issues"], built["fct_issue_events"], local_zone),
-        root, "mart_daily_throughput", "dt",
-    )
-    built["mart_actor_activity_hourly"] = write_mart(
-        marts.hourly_actor_activity(stg["stg_events"], stg["stg_commits"], local_zone),
-        root, "mart_actor_activity_hourly", "dt",
-    )
+
+    def mart(name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        return write_mart(df, root, name, partition_by)
+
+    snapshots, events = stg["stg_issue_snapshots"], stg["stg_events"]
+    with ThreadPoolExecutor(3) as pool:  # marts that do not read each other are written side by side
+        scd2 = pool.submit(lambda: mart("dim_issues_scd2", marts.dim_issues_scd2(snapshots)))
+        activity = pool.submit(
+            lambda: mart(
+                "mart_actor_activity_hourly",
+                marts.hourly_actor_activity(events, stg["stg_commits"], local_zone),
+                "dt",
+            )
+        )
+        dim = mart("dim_issues", marts.dim_issues(snapshots))
+        fact = mart("fct_issue_events", marts.fct_events(events, dim), "dt")
+        throughput = mart("mart_daily_throughput", marts.daily_throughput(dim, fact, local_zone), "dt")
+    built = {
+        "dim_issues": dim,
+        "dim_issues_scd2": scd2.result(),
+        "fct_issue_events": fact,
+        "mart_daily_throughput": throughput,
+        "mart_actor_activity_hourly": activity.result(),
+    }
     first = A.gate(store_assertions(spark, [*checks.staging_checks(stg), *checks.mart_checks(stg, built)], root, "first"))
 
     day = W.lookback_bounds(now, W.DAY, 1)
@@ -180,9 +190,15 @@ def build_marts(
 
 
 def store_assertions(spark: SparkSession, assertions: list[checks.Check], root: str, step: str) -> DataFrame:
-    """Evaluate the assertions once and keep their results, so reading them runs nothing again."""
+    """Evaluate every assertion once and keep the results, so reading them runs nothing again.
+
+    One scan is one job and several run side by side; each brings back a row per assertion.
+    """
+    with ThreadPoolExecutor(8) as pool:
+        groups = pool.map(lambda g: A.run_assertions(spark, g).collect(), A.one_scan_groups(assertions))
+        results = [row for group in groups for row in group]
     path = f"{root.rstrip('/')}/assertions/{step}"
-    A.run_assertions(spark, assertions).write.mode("overwrite").parquet(path)
+    spark.createDataFrame(results, A.RESULT_SCHEMA).write.mode("overwrite").parquet(path)
     return spark.read.schema(A.RESULT_SCHEMA).parquet(path)
 
 
