@@ -188,7 +188,7 @@ ORACLES: dict[str, str] = {
     "raw_schema_union": """
       select event_id, ts, case when ts >= timestamp '2024-01-16' then value end as value, ts::date as dt from events""",
     "backfill_totals": """
-      select 'events' as table_name, 720 as windows, 0 as failed_windows, count(*) as n_rows
+      select 'events' as table_name, 720::bigint as windows, 0::bigint as failed_windows, count(*) as n_rows
       from events where ts < timestamp '2024-01-31'
       union all
       select 'users', 30, 0, count(distinct (d, user_id))
@@ -235,7 +235,7 @@ ORACLES: dict[str, str] = {
         union
         select date_trunc('hour', ts), user_id % 7 from commits)
       union all select 'mart_issue_mention_drift', count(*) from dim where user_id >= 2
-      union all select 'passed assertions', 49""",
+      union all select 'passed assertions', 49::bigint""",
     "content_diff": """
       select *, 'left_only' as side from (select l_orderkey as order_key from lineitem except all select o_orderkey from orders)
       union all
