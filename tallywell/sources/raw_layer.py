@@ -138,7 +138,7 @@ def write_windows(
     path = dataset_path(root, zone, dataset)
     ensure_dir(spark, path)
     started = storage_clock(spark, path)
-    bounds = spine.agg(F.min("window_start").alias("lo"), F.max("window_end").alias("hi"))
+    bounds = spine.agg(F.min("window_start").alias("lo"), F.max("window_end").alias("hi"), F.count(F.lit(1)).alias("n"))
     planned = (F.col("_window_start") >= bounds.select("lo").scalar()) & (
         F.col("_window_end") <= bounds.select("hi").scalar()
     )
@@ -152,8 +152,14 @@ def write_windows(
             )
         ),
     )
+    lo, hi, n_windows = bounds.select(
+        F.to_date("lo"), F.to_date(F.col("hi") - F.expr("interval 1 microsecond")), "n"
+    ).first()
+    # About one shuffle partition per window, so that only a large window is ever split.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(partitions, min(n_windows, 16 * partitions))
     (
-        stamped.hint("rebalance", *parts)
+        stamped.hint("rebalance", partitions, *parts)
         .sortWithinPartitions(*parts, *sort_key)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -162,7 +168,6 @@ def write_windows(
     )
 
     # Read back what is stored for the planned windows: two columns, one driver row per window.
-    lo, hi = bounds.select(F.to_date("lo"), F.to_date(F.col("hi") - F.expr("interval 1 microsecond"))).first()
     stored = (
         spark.read.schema(f"{PROVENANCE_SCHEMA}, {partition_schema(grain)}")
         .parquet(path)
