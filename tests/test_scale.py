@@ -7,16 +7,16 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from helpers import rows
 from tallywell.operators import windows as W
 from tallywell.plans import marts
+from tallywell.plans.queries import QUERIES
 from tallywell.sources import raw_layer as R
 
 SF = "/root/testdata/sf0.001"
 WRITERS = ("raw_", "stream_", "content_hash", "mart_rebuild", "run_results", "build_totals", "backfill", "refresh",
            "derived", "tracker", "assertion_results")
-PLANNED = sorted(n for n in entry.queries() if not n.startswith(WRITERS))
+PLANNED = sorted(n for n in QUERIES if not n.startswith(WRITERS))
 
 
 def plan_of(df):
@@ -38,18 +38,18 @@ def conf(spark, **values):
 
 @pytest.mark.parametrize("name", PLANNED)
 def test_no_nested_loops_and_no_python(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SF))
+    plan = plan_of(QUERIES[name](spark, SF))
     for operator in ("NestedLoop", "CartesianProduct", "EvalPython", "InPandas"):
         assert operator not in plan
 
 
 @pytest.mark.parametrize("name, most", [("daily_throughput", 2), ("hourly_actor_activity", 1), ("window_assign", 2)])
 def test_exchanges(spark, name, most):
-    assert plan_of(entry.queries()[name](spark, SF)).count("Exchange hashpartitioning") <= most
+    assert plan_of(QUERIES[name](spark, SF)).count("Exchange hashpartitioning") <= most
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = plan_of(entry.queries()["event_log_window"](spark, SF))
+    plan = plan_of(QUERIES["event_log_window"](spark, SF))
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan and "props" not in plan.split("ReadSchema")[1]
 
 
