@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import bpe
+from tallywell.llm import bpe, lines, simhash, warc
 from tallywell.llm.common import table
 
 
@@ -24,8 +24,67 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_payload=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.as_hex(F.col("fp")).alias("fingerprint"),
+        simhash.as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_byte_bpe": _op1,
+    "op2_warc": _op2,
+    "op3_simhash": _op3,
+    "op9_line_dedup": _op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": """
+        with lines as (
+            select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+            from documents),
+        keyed as (
+            select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from lines),
+        frequent as (
+            select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+        select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.key is null), '')) as kept_sha256
+        from keyed k left join frequent f on k.key = f.key
+        group by doc_id""",
+    "op2_warc": """
+        with sized as (
+            select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes
+            from pages),
+        firsts as (select html, min(page_id) as first_id from sized group by html),
+        digests as (
+            select *, sha1(html) as digest,
+                   array_to_string(list_transform(range(0, 40), lambda i: lpad(bin(instr('0123456789abcdef', sha1(html)[i + 1]) - 1), 4, '0')), '') as bits
+            from sized join firsts using (html))
+        select page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i:
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(0, 5), lambda j:
+                       cast(bits[5 * i + j + 1] as int) * (16 >> j)))::int]), '') as payload_digest,
+               case when page_id = first_id then 'response' else 'revisit' end as record_type,
+               case when page_id = first_id then null else first_id end as refers_to
+        from digests""",
+}
