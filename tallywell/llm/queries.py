@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import bpe, lines, simhash, warc
+from tallywell.llm import bpe, jaccard, lines, simhash, warc
 from tallywell.llm.common import table
 
 
@@ -43,6 +43,11 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -52,6 +57,7 @@ QUERIES = {
     "op1_byte_bpe": _op1,
     "op2_warc": _op2,
     "op3_simhash": _op3,
+    "op6_jaccard_join": _op6,
     "op9_line_dedup": _op9,
 }
 
