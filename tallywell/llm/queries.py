@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import bpe, jaccard, lines, simhash, warc
+from tallywell.llm import bpe, jaccard, lines, packing, simhash, vectors, warc
 from tallywell.llm.common import table
 
 
@@ -18,8 +18,8 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return encoded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2("ids_bytes", 256).alias("ids_sha256"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
@@ -48,17 +48,34 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+        size=2048,
+        end_id=0,
+    )
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 QUERIES = {
     "op1_byte_bpe": _op1,
     "op2_warc": _op2,
     "op3_simhash": _op3,
     "op6_jaccard_join": _op6,
+    "op8_best_fit_packing": _op8,
     "op9_line_dedup": _op9,
+    "op10_vector_graph": _op10,
 }
 
 ORACLES: dict[str, str] = {
