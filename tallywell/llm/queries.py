@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import bpe, jaccard, lines, packing, simhash, vectors, warc
+from tallywell.llm import bpe, jaccard, lines, packing, simhash, suffixes, toxicity, vectors, warc
 from tallywell.llm.common import table
 
 
@@ -43,6 +43,22 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -72,6 +88,8 @@ QUERIES = {
     "op1_byte_bpe": _op1,
     "op2_warc": _op2,
     "op3_simhash": _op3,
+    "op4_suffix_dedup": _op4,
+    "op5_toxicity": _op5,
     "op6_jaccard_join": _op6,
     "op8_best_fit_packing": _op8,
     "op9_line_dedup": _op9,
