@@ -22,13 +22,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only ``(doc_id, text)``; a null text is empty. Columns of other names never reach an operator."""
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Only ``(doc_id, text)``; a null text is empty. Columns of other names never reach an operator.
+
+    With ``carry`` a struct ``row`` of all columns but the text goes along, for ``unpacked``.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *([row] if carry else []),
     )
 
 
+def unpacked(rows: DataFrame, docs: DataFrame, text: str = "text", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` from ``rows`` with their carried ``row`` and a text, whose length ``n_chars`` is."""
+    new = {text_col: F.col(text), "n_chars": F.length(text).cast("long")}
+    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)

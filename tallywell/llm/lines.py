@@ -19,19 +19,19 @@ def line_key(line: Column) -> Column:
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``(doc_id, text, kept, n_lines, n_dropped)``, one row per row of ``docs``.
+    """``(doc_id, text, row, kept, n_lines, n_dropped)``, one row per row of ``docs``; ``row`` carries its other columns.
 
     A line goes if its key has at least ``min_chars`` code points and is found in at least
     ``min_docs`` documents. Documents are counted by distinct doc_id, among which null is one. A null
     or empty text is one empty line. Repeated rows stay repeated and lose the same lines; rows of one
-    doc_id with different texts are edited apart. Other columns are ignored.
+    doc_id with different texts are edited apart. An empty table gives an empty result.
 
     Lines travel as 128-bit hashes of their keys. A hash that many documents share is summed before
     it is shuffled, and its rows meet it in a join that adaptive execution can split. Texts are
     shuffled once, to meet the positions to drop.
     """
     lines = F.split("text", "\n")
-    texts = documents(docs).withColumn("digest", F.xxhash64("text"))
+    texts = documents(docs, carry=True).withColumn("digest", F.xxhash64("text"))
     keyed = stage(
         texts.select(*ROW, F.posexplode(F.transform(lines, line_key)).alias("pos", "key"))
         .where(F.length("key") >= min_chars)
@@ -45,12 +45,13 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
         keyed.join(frequent, ["h1", "h2"], "left_semi").groupBy(*ROW).agg(F.collect_set("pos").alias("dropped"))
     )
     with_dropped = texts.join(dropped, all_same(texts, dropped, ROW), "left").select(
-        texts["doc_id"], "text", lines.alias("lines"), "dropped"
+        texts["doc_id"], "text", "row", lines.alias("lines"), "dropped"
     )
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "dropped")
     return with_dropped.select(
         "doc_id",
         "text",
+        "row",
         F.when(F.col("dropped").isNull(), F.col("text"))
         .otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
         .alias("kept"),

@@ -27,6 +27,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywell.llm.common import all_same, documents, stage
 
@@ -318,17 +319,18 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``(doc_id, kept, n_bytes, spans)``, one row per row of ``docs``.
+    """``(doc_id, row, kept, text, n_bytes, spans)``, one row per row of ``docs``; ``row`` carries its other columns.
 
     Texts are UTF-8 bytes, a null text none. Each byte covered by a string of ``length`` bytes that
     also starts anywhere else, in any document or the same, is removed; matches never cross
-    documents and are judged on the input. ``kept`` is the remaining bytes, ``spans`` the maximal
-    removed ranges ``(start, stop)``. Repeated rows are copies of each other. Other columns are ignored.
+    documents and are judged on the input. ``kept`` is the remaining bytes, ``text`` the same as a
+    string without characters that were cut, ``spans`` the maximal removed ranges ``(start, stop)``.
+    Repeated rows are copies of each other. An empty table gives an empty result.
     """
-    texts = documents(docs).withColumn("digest", F.xxhash64("text"))
+    texts = documents(docs, carry=True).withColumn("digest", F.xxhash64("text"))
     ranges = repeated_ranges(texts, length)
     by_row = ranges.groupBy(*ROW).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    joined = texts.join(by_row, all_same(texts, by_row, ROW), "left").select(texts["doc_id"], "text", "ranges")
+    joined = texts.join(by_row, all_same(texts, by_row, ROW), "left").select(texts["doc_id"], "row", "text", "ranges")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -345,9 +347,16 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 sizes.append(len(raw))
                 spans.append([{"start": a, "stop": b} for a, b in merged])
-            yield pa.record_batch(
-                [batch["doc_id"], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(spans, spans_type)],
-                names=["doc_id", "kept", "n_bytes", "spans"],
-            )
-
-    return joined.mapInArrow(remove, "doc_id long, kept binary, n_bytes long, spans array<struct<start: long, stop: long>>")
+            columns = [
+                batch["doc_id"],
+                batch["row"],
+                pa.array(kept, pa.binary()),
+                pa.array([k.decode(errors="ignore") for k in kept], pa.string()),
+                pa.array(sizes, pa.int64()),
+                pa.array(spans, spans_type),
+            ]
+            yield pa.record_batch(columns, names=["doc_id", "row", "kept", "text", "n_bytes", "spans"])
+
+    out = T.StructType([joined.schema["doc_id"], joined.schema["row"]])
+    out = out.add("kept", "binary").add("text", "string").add("n_bytes", "long")
+    return joined.mapInArrow(remove, out.add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))))

@@ -12,12 +12,15 @@ votes, at most ``max_marked`` rows, and at most ``max_entries`` lexicon entries.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ MAX_MARKED = 12_000
 MAX_ENTRIES = 400
 MIN_SUPPORT = 8
 BEGINNINGS = (4, 5, 6)
+MEMO_WORDS = 1 << 19
 FOLDS = 5
 MOST = 4  # a voter's count beyond this says no more
 # Patterns of writing that may go with abuse.
@@ -58,7 +62,7 @@ def entries_of(text: str, words=re.compile(r"[^\W\d_]+").findall) -> Counter:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Weights over the voters; ``score`` is a probability."""
+    """Weights over the voters: entries, then patterns."""
 
     entries: tuple[str, ...]
     weights: np.ndarray
@@ -71,13 +75,10 @@ class Classifier:
         for entry, n in entries_of(text).items():
             if entry in at:
                 out[at[entry]] = min(n, MOST)
-        for i, pattern in enumerate(PATTERNS.values()):
-            out[len(at) + i] = sum(1 for _, _ in zip(range(MOST), re.finditer(pattern, text), strict=False))
+        for i, pattern in enumerate(PATTERNS.values(), len(at)):
+            out[i] = sum(1 for _ in islice(re.finditer(pattern, text), MOST))
         return out
 
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.votes(text) @ self.weights + self.bias, -30, 30))))
-
 
 def marked_sample(docs: DataFrame, labels: DataFrame, max_marked: int) -> DataFrame:
     """``(text, mark)`` of marked rows outside the held-out fold, at most ``max_marked``, chosen by a hash of doc_id."""
@@ -193,41 +194,40 @@ def train(
     return Classifier(entries, weights, bias)
 
 
-def score_documents(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``(doc_id, text, score)``, one row per row of ``docs``; a null text is scored as an empty one."""
+def scorer(classifier: Classifier) -> Callable[[Column], Column]:
+    """A function of text columns that gives the score; a null text is scored as an empty one."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at = {e: i for i, e in enumerate(classifier.entries)}
         patterns = [re.compile(p) for p in PATTERNS.values()]
         words = re.compile(r"[^\W\d_]+").findall
         weights = classifier.weights.tolist()
-        # the entries that a word stands for, once per distinct word seen
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, tuple[int, ...]] = {}  # the entries that a word stands for
 
         def hits(word: str) -> tuple[int, ...]:
             names = ([word] if len(word) > 2 else []) + [word[:k] + "*" for k in BEGINNINGS if len(word) > k]
             return tuple(at[e] for e in names if e in at)
 
-        for batch in batches:
-            out = []
-            for text in batch["text"].to_pylist():
-                counts: dict[int, int] = {}
-                for word in words(text.lower()):
-                    found = known.get(word)
-                    if found is None:
-                        if len(known) > 1_000_000:
-                            known.clear()
-                        found = known[word] = hits(word)
-                    for i in found:
-                        counts[i] = counts.get(i, 0) + 1
-                total = classifier.bias + sum(weights[i] * min(n, MOST) for i, n in counts.items())
-                for i, pattern in enumerate(patterns):
-                    n = sum(1 for _, _ in zip(range(MOST), pattern.finditer(text), strict=False))
-                    total += weights[len(at) + i] * n
-                out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, total)))))
-            yield pa.record_batch([batch["doc_id"], batch["text"], pa.array(out, pa.float64())], names=["doc_id", "text", "score"])
-
-    return documents(docs).mapInArrow(score, "doc_id long, text string, score double")
+        def score_of(text: str) -> float:
+            counts: dict[int, int] = {}
+            for word in words(text.lower()):
+                found = known.get(word)
+                if found is None:
+                    if len(known) >= MEMO_WORDS:
+                        known.clear()
+                    found = known[word] = hits(word)
+                for i in found:
+                    counts[i] = counts.get(i, 0) + 1
+            total = classifier.bias + sum(weights[i] * min(n, MOST) for i, n in sorted(counts.items()))
+            for i, pattern in enumerate(patterns, len(at)):
+                total += weights[i] * sum(1 for _ in islice(pattern.finditer(text), MOST))
+            return 1 / (1 + math.exp(-min(30.0, max(-30.0, total))))
+
+        for batch in texts:
+            yield batch.map(score_of)
+
+    return lambda text: score(F.coalesce(text, F.lit("")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
@@ -237,7 +237,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     is scored and is not held out; labels of unknown documents are not used, and of repeated labels a
     toxic one counts. Other columns are ignored.
     """
-    scored = score_documents(docs, train(docs, labels, **options))
+    score = scorer(train(docs, labels, **options))
+    scored = documents(docs).withColumn("score", score(F.col("text")))
     return scored.select(
         "doc_id",
         "text",
