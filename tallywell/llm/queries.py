@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import bpe, jaccard, lines, packing, simhash, suffixes, toxicity, vectors, warc
+from tallywell.llm import bpe, jaccard, lines, packing, resampling, simhash, suffixes, toxicity, vectors, warc
 from tallywell.llm.common import table
 
 
@@ -64,6 +64,11 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.select("doc_id", "log_weight", "draw")
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(
         table(spark, sf_dir, "documents"),
@@ -91,6 +96,7 @@ QUERIES = {
     "op4_suffix_dedup": _op4,
     "op5_toxicity": _op5,
     "op6_jaccard_join": _op6,
+    "op7_importance_resampling": _op7,
     "op8_best_fit_packing": _op8,
     "op9_line_dedup": _op9,
     "op10_vector_graph": _op10,
