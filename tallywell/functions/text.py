@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ASCII word characters, as the mention pattern defines a word boundary.
 WORD = "[0-9A-Za-z_]"
-ID_BODY = r"[0-9a-z]+(?:\.[0-9]+)*"
+# An id body up to a word border. Possessive, so that neither length nor depth costs stack or time.
+ID_BODY = rf"[0-9a-z]++(?!{WORD})(?:\.[0-9]++(?!{WORD}))*+"
 
 
 def id_prefix(c: Column) -> Column:
@@ -35,44 +34,3 @@ def first_segment(c: Column) -> Column:
 
 def last_segment(c: Column) -> Column:
     return F.substring_index(c, ".", -1)
-
-
-def quote_regex(literal: str) -> str:
-    """A Java pattern matching ``literal`` exactly."""
-    if literal.isascii() and literal.replace("_", "a").isalnum():
-        return literal
-    return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
-def is_word_char(ch: str) -> bool:
-    return ch.isascii() and (ch.isalnum() or ch == "_")
-
-
-def any_of(words: list[str], depth: int = 50) -> str:
-    """A Java pattern for one of ``words`` that branches where they differ, not once per word."""
-    if depth == 0:
-        return f"(?:{'|'.join(quote_regex(w) for w in sorted(words))})"
-    shared = os.path.commonprefix(words)
-    tails: dict[str, list[str]] = {}
-    for w in sorted(words):
-        tail = w[len(shared) :]
-        tails.setdefault(tail[:1], []).append(tail)
-    optional = tails.pop("", None) is not None
-    if not tails:
-        return quote_regex(shared) if shared else ""
-    branches = "|".join(any_of(group, depth - 1) for group in tails.values())
-    return (quote_regex(shared) if shared else "") + f"(?:{branches})" + ("?" if optional else "")
-
-
-def mention_pattern(prefixes: list[str]) -> str:
-    """One pattern over all prefixes with ASCII word boundaries on both ends.
-
-    A boundary needs the two neighbours to differ in kind, so a prefix that starts with a non-word
-    character must follow a word character.
-    """
-    starts = {
-        f"(?<!{WORD})": [p for p in prefixes if is_word_char(p[0])],
-        f"(?<={WORD})": [p for p in prefixes if not is_word_char(p[0])],
-    }
-    known = "|".join(edge + any_of(group) for edge, group in starts.items() if group)
-    return f"(?:{known})-{ID_BODY}(?!{WORD})"

@@ -25,6 +25,17 @@ def naive_local_to_instant(c: Column, tz: str, overlap: str = "1 hour") -> Colum
     return naive_local_to_utc(c, tz, overlap).cast("timestamp")
 
 
+def window_instant(c: Column, tz: str) -> Column:
+    """An instant inside the window whose local bounds hold the wall clock ``c``.
+
+    It is the instant of ``c``, but for a reading that the clocks skipped: that lies before the change,
+    as far from it as the reading is from the end of the gap.
+    """
+    utc = naive_local_to_utc(c, tz)
+    skipped = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc) - c
+    return (utc - skipped).cast("timestamp")
+
+
 def naive_utc_to_instant(c: Column) -> Column:
     return c.cast("timestamp")
 

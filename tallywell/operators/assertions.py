@@ -240,14 +240,20 @@ def gate(results: DataFrame) -> DataFrame:
 
 
 def content_diff(a: DataFrame, b: DataFrame, ignore: Iterable[str] = ("_extracted_at",)) -> DataFrame:
-    """Rows of one side missing from the other, duplicates counted; zero rows means same content."""
-    cols = [c for c in a.columns if c not in set(ignore)]
-    left, right = a.select(*cols), b.select(*cols)
-    return (
-        left.exceptAll(right)
-        .withColumn("side", F.lit("left_only"))
-        .unionByName(right.exceptAll(left).withColumn("side", F.lit("right_only")))
-    )
+    """Rows of one side missing from the other, duplicates counted; zero rows means same content.
+
+    Columns other than ``ignore`` must be the same on both sides, in any order. Both sides are summed
+    in one aggregation, copies before the shuffle.
+    """
+    skip = set(ignore)
+    cols = [c for c in a.columns if c not in skip]
+    if set(cols) != {c for c in b.columns if c not in skip}:
+        raise ValueError(f"columns differ: {sorted(set(cols) ^ {c for c in b.columns if c not in skip})}")
+    signed = a.select(*cols, F.lit(1).alias("_sign")).unionByName(b.select(*cols, F.lit(-1).alias("_sign")))
+    left = signed.groupBy(*cols).agg(F.sum("_sign").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "left_only").otherwise("right_only")
+    copies = F.explode(F.array_repeat(side, F.abs("_n").cast("int")))
+    return left.select(*cols, copies.alias("side"))
 
 
 def content_hash(df: DataFrame, ignore: Iterable[str] = ("_extracted_at",)) -> DataFrame:

@@ -36,10 +36,16 @@ class NotYetCreated(ValueError):
 
 
 def snapshot_as_of(
-    history: DataFrame, key: str | list[str], commit_ts: str, as_of: datetime, tie_break: list[str] | None = None
+    history: DataFrame,
+    key: str | list[str],
+    commit_ts: str,
+    as_of: datetime,
+    tie_break: list[str] | None = None,
+    removed: str | None = None,
 ) -> DataFrame:
     """State of every key at instant ``as_of``: its latest version with ``commit_ts <= as_of``.
 
+    A key whose latest version has the flag ``removed`` is not part of the state.
     An instant before the first commit raises; a history without rows is an empty snapshot.
     """
     keys = [key] if isinstance(key, str) else key
@@ -48,7 +54,13 @@ def snapshot_as_of(
     if first.where(F.col("t") > bound).take(1):
         raise NotYetCreated(f"no commit at or before {W.to_utc(as_of):%Y-%m-%d %H:%M:%S} UTC")
     order = [F.desc(commit_ts), *[F.desc(c) for c in tie_break or []]]
-    return latest_per_key(history.where(F.col(commit_ts).cast("timestamp") <= bound), keys, order)
+    state = latest_per_key(history.where(F.col(commit_ts).cast("timestamp") <= bound), keys, order)
+    return state.where(present(removed))
+
+
+def present(removed: str | None) -> Column:
+    """Whether a version is not a removal; a null flag is none."""
+    return F.lit(True) if removed is None else ~F.coalesce(F.col(removed).cast("boolean"), F.lit(False))
 
 
 def snapshots_over(
@@ -59,9 +71,11 @@ def snapshots_over(
     end: datetime,
     grain: str = W.DAY,
     tie_break: list[str] | None = None,
+    removed: str | None = None,
 ) -> DataFrame:
     """The as-of state at the end of every window in ``[start, end)``, one pass over the history.
 
+    A version with the flag ``removed`` ends the one before it and is in no snapshot itself.
     Adds ``_window_start`` and ``_window_end``. Only a key's last version inside each window can be
     seen at a window end, so versions shrink to one per (key, window) before they are chained.
     """
@@ -82,6 +96,7 @@ def snapshots_over(
     following = F.lead("_seen_at").over(Window.partitionBy(*keys).orderBy("_seen_at"))
     return (
         versions.withColumn("_last_end", F.coalesce(following - step, last_end))
+        .where(present(removed))
         .withColumn("_window_end", F.explode(F.sequence("_seen_at", "_last_end", step)))
         .withColumn("_window_start", F.col("_window_end") - step)
         .drop("_seen_at", "_last_end")

@@ -1,9 +1,9 @@
 """Mentions of other ids in free text.
 
-The known prefixes come from the ids themselves. A prefix holds no ``-``, so at any start position
-at most one prefix can match, and scanning left to right gives the matches. While the prefixes are
-few, one alternation pattern scans the text in place. Beyond a checked size the candidates of each
-text are exploded and joined with the prefixes instead; both ways give the same rows.
+The known prefixes come from the ids themselves. Neither a prefix nor an id body holds a ``-``, so a
+match at a dash lies in the segments around it: a suffix of one and the start of the next. Suffixes
+that begin at a word border are the candidates; they meet the prefixes in a join, and each text keeps
+its leftmost matches that do not overlap. The way is the same for any number of prefixes.
 """
 
 from __future__ import annotations
@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.functions.text import ID_BODY, WORD, id_prefix, mention_pattern, text_or_empty
+from tallywell.functions.text import ID_BODY, WORD, id_prefix, text_or_empty
 
 # The scanned text fields.
 TEXT_FIELDS = ["title", "description", "design", "acceptance_criteria", "notes", "close_reason"]
 
-PATTERN_MAX_PREFIXES = 500
-PATTERN_MAX_CHARS = 32_768
 SALTS = 16
 
 
@@ -43,60 +41,38 @@ def prefixes_of(df: DataFrame, key: str = "issue_id") -> DataFrame:
     return df.select(id_prefix(F.col(key)).alias("prefix")).where("prefix <> ''").distinct()
 
 
-def _small_prefix_list(prefixes: DataFrame) -> list[str] | None:
-    """The prefixes when they fit one pattern, else None.
+def find_mentions(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
+    """One row per match ``(key, field, mentioned, copies)`` in ``texts``.
 
-    Fetches at most one row more than the bound, each cut just beyond the bound, so an oversized
-    set shows as such and is never held.
+    Only suffixes up to the longest prefix are looked at, and only from word borders: these are
+    picked in place, before any row is made. The join is salted on the prefix side.
     """
-    probe = prefixes.select(F.substring("prefix", 1, PATTERN_MAX_CHARS + 1)).take(PATTERN_MAX_PREFIXES + 1)
-    found = [r[0] for r in probe]
-    fits = len(found) <= PATTERN_MAX_PREFIXES and sum(map(len, found)) <= PATTERN_MAX_CHARS
-    return found if fits else None
-
-
-def mentions_by_pattern(texts: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
-    """One row per match ``(key, field, mentioned)`` from a single pattern over all prefixes."""
-    if not prefixes:
-        found = F.array().cast("array<string>")
-    else:
-        found = F.regexp_extract_all("text", F.lit(mention_pattern(prefixes)), F.lit(0))
-    return texts.select(key, "field", F.explode(found).alias("mentioned"))
+    longest = prefixes.select(F.coalesce(F.max(F.length("prefix")), F.lit(0))).first()[0]
+    segments = F.split("text", "-")
 
+    def is_word(left: Column, position: Column) -> Column:
+        inside = F.substring(left, position + 1, F.lit(1)).rlike(WORD)
+        return F.when(position >= 0, inside).otherwise(False)
 
-def mentions_by_join(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
-    """The same rows without a pattern, for any number of prefixes.
+    def borders(left: Column) -> Column:
+        size = F.length(left)
+        places = F.sequence(F.greatest(size - longest, F.lit(0)), F.greatest(size - 1, F.lit(0)))
+        return F.filter(places, lambda i: (i < size) & (is_word(left, i) != is_word(left, i - 1)))
 
-    Neither a prefix nor an id body holds a ``-``, so a match at the i-th dash lies in the segments
-    around it: a suffix of one, up to the longest prefix, and the start of the next. Candidates
-    meet the prefixes in a join salted on the prefix side, then each text keeps its leftmost
-    non-overlapping matches.
-    """
-    longest = prefixes.select(F.coalesce(F.max(F.length("prefix")), F.lit(0))).scalar()
-    segments = F.split("text", "-")
     around = F.zip_with(
         F.slice(segments, F.lit(1), F.size(segments) - 1),
         F.slice(segments, F.lit(2), F.size(segments) - 1),
-        lambda left, right: F.struct(
-            left.alias("left"), F.regexp_extract(right, f"^{ID_BODY}(?!{WORD})", 0).alias("body")
-        ),
+        lambda left, right: F.struct(left.alias("left"), F.regexp_extract(right, f"^{ID_BODY}", 0).alias("body")),
     )
     dashes = (
         texts.where(F.instr("text", "-") > 0)
         .select(key, "field", F.sha2("text", 256).alias("_text_id"), around.alias("_around"))
         .select(key, "field", "_text_id", F.posexplode("_around").alias("_dash", "_p"))
-        .select("*", "_p.left", "_p.body")
+        .select(key, "field", "_text_id", "_dash", F.col("_p.left").alias("left"), F.col("_p.body").alias("body"))
         .where((F.col("left") != "") & (F.col("body") != ""))
     )
-    size = F.length("left")
-    starts = dashes.where(longest > 0).withColumn(
-        "_start", F.explode(F.sequence(F.greatest(size - longest, F.lit(0)), size - 1))
-    )
-
-    def is_word(position: Column) -> Column:
-        return F.when(position >= 0, F.substring(F.col("left"), position + 1, F.lit(1)).rlike(WORD)).otherwise(False)
-
-    candidates = starts.where(is_word(F.col("_start")) != is_word(F.col("_start") - 1)).select(
+    starts = dashes.withColumn("_start", F.explode(borders(F.col("left"))))
+    candidates = starts.select(
         key,
         "field",
         "_text_id",
@@ -159,25 +135,10 @@ def mentions_by_join(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFra
     )
 
 
-def issue_mentions(
-    dim: DataFrame,
-    fields: list[str] = TEXT_FIELDS,
-    key: str = "issue_id",
-    by_join: bool | None = None,
-) -> DataFrame:
-    """``(key, mentioned_<key>, field, mention_count)`` over all text fields, self-mentions excluded.
-
-    ``by_join`` forces one way; by default the size of the prefix set decides.
-    """
-    prefixes = prefixes_of(dim, key)
+def issue_mentions(dim: DataFrame, fields: list[str] = TEXT_FIELDS, key: str = "issue_id") -> DataFrame:
+    """``(key, mentioned_<key>, field, mention_count)`` over all text fields, self-mentions excluded."""
     texts = unpivot_text(dim, key, fields).where("text <> ''")
-    small = None if by_join else _small_prefix_list(prefixes)
-    if by_join is False and small is None:
-        raise ValueError("too many prefixes for one pattern")
-    if small is None:
-        found = mentions_by_join(texts, key, prefixes)
-    else:
-        found = mentions_by_pattern(texts, key, small).withColumn("copies", F.lit(1).cast("bigint"))
+    found = find_mentions(texts, key, prefixes_of(dim, key))
     return (
         found.where(F.col("mentioned") != F.col(key))
         .groupBy(key, F.col("mentioned").alias(f"mentioned_{key}"), "field")

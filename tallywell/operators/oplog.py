@@ -87,8 +87,11 @@ def ledger_steps(ledger: DataFrame) -> DataFrame:
 
 
 def read_run_results(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """Build artefacts: one JSON document per file, or one per line where they are kept together."""
-    return spark.read.schema(RUN_RESULTS_SCHEMA).json(path, multiLine=not one_per_line)
+    """Build artefacts: one JSON document per file, or one per line where they are kept together.
+
+    An artefact that is broken or cut short raises when it is read.
+    """
+    return spark.read.schema(RUN_RESULTS_SCHEMA).json(path, multiLine=not one_per_line, mode="FAILFAST")
 
 
 def _phase(name: str) -> Column:

@@ -110,13 +110,15 @@ def window_violations(df: DataFrame, grain: str, event_ts: str | Column | None =
 
 
 def window_coverage(spine_df: DataFrame, df: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows per planned window: 0 for a quiet one, ``written`` false for one never written.
+    """Rows per planned window: 0 for a quiet one, ``written`` false for one never or not well written.
 
-    ``df`` and ``ledger`` carry ``_window_start`` and ``window_start``. Both are reduced to one row
-    per window before the join.
+    ``df`` carries ``_window_start``; ``ledger`` holds one table's attempts ``(window_start,
+    extracted_at, attempt, error)``, of which the last counts. Both are reduced to one row per window
+    before the join.
     """
     counts = df.groupBy(F.col("_window_start").alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
-    written = ledger.select("window_start").distinct().withColumn("hit", F.lit(True))
+    last = F.max_by(F.col("error").isNull(), F.struct("extracted_at", "attempt"))
+    written = ledger.groupBy("window_start").agg(last.alias("hit"))
     return (
         spine_df.join(counts, "window_start", "left")
         .join(written, "window_start", "left")

@@ -12,16 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer splits than cores.
-
-    The benchmark tables are one file each, and a file of one row group is one task. A table of
-    many splits is left as it is scanned.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _id(prefix: str, c: str):
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 

@@ -128,7 +128,7 @@ _NODES = """
 
 _COVERAGE = """
   select 'hour' as grain, h as window_start, h + interval 1 hour as window_end, count(ts) as row_count,
-         coalesce(bool_or(event_type = 'purchase'), false) as written
+         coalesce(bool_or(event_type = 'purchase'), false) and not coalesce(bool_or(user_id % 50 = 0), false) as written
   from ({hours}) left join events on date_trunc('hour', ts) = h group by h
 """
 
@@ -168,6 +168,31 @@ ORACLES: dict[str, str] = {
              arg_max(event_type, (ts, event_id)) as event_type
       from (select unnest(range(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day)) as d), events
       where ts <= d + interval 1 day group by all""",
+    "as_of_with_removals": """
+      select * from (
+        select o_custkey, o_orderkey, o_orderstatus, o_orderdate from orders where o_orderdate <= timestamp '1998-01-01'
+        qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1)
+      where o_orderstatus <> 'F'""",
+    "daily_snapshots_with_removals": """
+      select user_id, d as window_start, arg_max(event_id, (ts, event_id)) as event_id,
+             arg_max(event_type, (ts, event_id)) as event_type
+      from (select unnest(range(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day)) as d), events
+      where ts <= d + interval 1 day group by all having arg_max(event_type, (ts, event_id)) <> 'error'""",
+    "as_of_too_early": """
+      select o_orderstatus, count(*) as n_orders, 'no commit at or before 1900-01-01 00:00:00 UTC' as message
+      from orders group by 1""",
+    "late_windows": """
+      select distinct 'hour' as grain, date_trunc('hour', ts) as window_start,
+             date_trunc('hour', ts) + interval 1 hour as window_end
+      from events where ts < timestamp '2024-01-29 13:00:00'""",
+    "gate_failure": """
+      select o_orderstatus, count(*) as n_orders,
+             (select 'no_open_orders: ' || count(*) || ' failing rows' from orders where o_orderstatus = 'O') as message
+      from orders group by 1""",
+    "stream_late": "select event_id, ts, user_id from events",
+    "stream_quarantine": """
+      select event_id::varchar as id, case when event_type in ('error', 'click') then 'quarantine' else 'stored' end as place
+      from events""",
     "conform_columns": """
       select l_orderkey, l_linenumber::bigint as l_linenumber, l_discount, l_partkey::varchar as l_partkey, l_shipdate
       from lineitem""",
@@ -208,7 +233,7 @@ ORACLES: dict[str, str] = {
     "tracker_build": """
       with e as (
         select *, timezone('UTC', timezone('Australia/Sydney', ts)) as utc_at from events
-        where ts >= timestamp '2024-01-01 11:00:00' and ts < timestamp '2024-01-31 11:00:00'),
+        where ts < timestamp '2024-01-31 11:00:00'),
       commits as (select * from events where ts < timestamp '2024-01-31'),
       daily as (
         select user_id, d, arg_max(event_type, ts) as status
@@ -313,7 +338,14 @@ ORACLES: dict[str, str] = {
     "id_prefixes": "select distinct split_part('ord-' || l_orderkey, '-', 1) as prefix from lineitem",
     "mentions_lines": _LINE_MENTIONS,
     "mentions_documents": _DOCUMENT_MENTIONS,
-    "mentions_documents_join": _DOCUMENT_MENTIONS,
+    "mentions_many_prefixes": """
+      select 'p' || doc_id || '-x' as issue_id, 'p' || (doc_id + 1) || '-y' as mentioned_issue_id, 'title' as field,
+             1 as mention_count
+      from documents where doc_id + 1 in (select doc_id from documents)""",
+    "mentions_deep_ids": """
+      select 'sup-' || s_suppkey as issue_id, 'sup-' || (s_suppkey + 1) || repeat('.1', 20000) as mentioned_issue_id,
+             'title' as field, 1 as mention_count
+      from supplier""",
     "dq_unique": """
       select l_orderkey || '|' || l_linenumber as unique_field, count(*) as n_records from lineitem
       group by 1 having count(*) > 1""",

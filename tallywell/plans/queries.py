@@ -22,7 +22,8 @@ from tallywell.session import apply_defaults, shared_dir
 from tallywell.sources import mart_files, raw_layer as R
 from tallywell.sources.declarations import EVENT_LOG, SNAPSHOT, Source, Table, tracker_source
 from tallywell.sources.extract import conform, event_log_between
-from tallywell.streaming.refresh import dedupe_stream, refresh_stream
+from tallywell.streaming import refresh as ST
+from tallywell.streaming.refresh import dedupe_stream, landing_stream, read_deduped, refresh_stream
 
 SYDNEY = marts.SYDNEY
 FIRST_DAY, LAST_DAY = datetime(2024, 1, 1), datetime(2024, 1, 31)
@@ -73,8 +74,14 @@ def window_assign(spark, events):
 
 def _coverage(spine, events):
     stamped = W.assign_window(events, "ts", W.HOUR)
-    written = stamped.where("event_type = 'purchase'").select(F.col("_window_start").alias("window_start"))
-    return W.window_coverage(spine, stamped, written)
+    # every purchase is a good second attempt at its hour, and some events failed third ones
+    attempts = stamped.where("event_type = 'purchase' or user_id % 50 = 0").select(
+        F.col("_window_start").alias("window_start"),
+        W.instant_lit(EXTRACTED).alias("extracted_at"),
+        F.when(F.col("user_id") % 50 == 0, 3).otherwise(2).alias("attempt"),
+        F.when(F.col("user_id") % 50 == 0, F.lit("timed out")).alias("error"),
+    )
+    return W.window_coverage(spine, stamped, attempts)
 
 
 @query("events")
@@ -137,6 +144,39 @@ def daily_snapshots(spark, events):
     return days.select("user_id", F.col("_window_start").alias("window_start"), "event_id", "event_type")
 
 
+@query("orders")
+def as_of_with_removals(spark, orders):
+    """A customer whose latest order is finished counts as removed."""
+    flagged = orders.withColumn("gone", F.col("o_orderstatus") == "F")
+    state = H.snapshot_as_of(flagged, "o_custkey", "o_orderdate", datetime(1998, 1, 1), ["o_orderkey"], removed="gone")
+    return state.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+@query("events")
+def daily_snapshots_with_removals(spark, events):
+    """A user is out of the snapshots from an error to the next event of another type."""
+    flagged = events.withColumn("gone", F.col("event_type") == "error")
+    days = H.snapshots_over(flagged, "user_id", "ts", FIRST_DAY, LAST_DAY, W.DAY, ["event_id"], removed="gone")
+    return days.select("user_id", F.col("_window_start").alias("window_start"), "event_id", "event_type")
+
+
+@query("orders")
+def as_of_too_early(spark, orders):
+    """What a reader is told who asks for a state before the first commit, for each status."""
+    try:
+        H.snapshot_as_of(orders, "o_custkey", "o_orderdate", datetime(1900, 1, 1))
+        message = "no error"
+    except H.NotYetCreated as e:
+        message = str(e)
+    return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders")).withColumn("message", F.lit(message))
+
+
+@query("events")
+def late_windows(spark, events):
+    """Touched hours that a lookback pass no longer visits."""
+    return ST.late_windows(ST.touched_windows(events, "ts", W.HOUR), datetime(2024, 1, 30, 12, 30), W.HOUR, 24)
+
+
 @query("lineitem")
 def conform_columns(spark, lineitem):
     narrow = lineitem.select(
@@ -252,7 +292,7 @@ def refresh_rows(spark, events):
 def derived_mentions(spark, lineitem):
     """The mention transform written to the derived zone and read back."""
     root = shared_dir(spark, "derived")
-    mentions = M.issue_mentions(AD.line_texts(AD.spread(lineitem)))
+    mentions = M.issue_mentions(AD.line_texts(lineitem))
     build.materialise(mentions, root, build.MENTIONS, (LAST_DAY, LAST_DAY + timedelta(days=1)), EXTRACTED)
     return R.read_raw(spark, root, R.DERIVED, build.MENTIONS, build.MENTIONS_SCHEMA, W.DAY).select(
         "issue_id", "mentioned_issue_id", "field", "mention_count", "dt", "_source_file"
@@ -264,7 +304,9 @@ def tracker_build(spark, events, conversations):
     """Backfill of all seven tables, staging, marts, assertions and transform: rows per mart."""
     root, source = shared_dir(spark, "tracker"), tracker_source()
     tables = AD.tracker_tables(events, conversations)
-    build.backfill(spark, source, tables.__getitem__, FIRST_DAY, datetime(2024, 1, 30), root, extracted_at=EXTRACTED)
+    # the events' clock is ahead of UTC, so their first hours belong to the day before
+    bounds = lambda t: W.range_bounds(FIRST_DAY - timedelta(days=t.name == "events"), datetime(2024, 1, 30))
+    build.ingest(spark, source, tables.__getitem__, bounds, root, extracted_at=EXTRACTED)
     result = build.build_marts(spark, source, root, EXTRACTED)
     counts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("mart"), "n_rows")
@@ -274,6 +316,17 @@ def tracker_build(spark, events, conversations):
     return reduce(DataFrame.unionAll, counts).unionAll(passed.select(F.lit("passed assertions").alias("mart"), "n_rows"))
 
 
+@query("orders")
+def gate_failure(spark, orders):
+    """What the gate says of a failing assertion."""
+    try:
+        A.gate(A.run_assertions(spark, [A.Assertion("no_open_orders", orders.where("o_orderstatus = 'O'"))]))
+        message = "passed"
+    except A.GateFailed as e:
+        message = str(e)
+    return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders")).withColumn("message", F.lit(message))
+
+
 @query("lineitem", "orders")
 def content_diff(spark, lineitem, orders):
     return A.content_diff(
@@ -319,10 +372,47 @@ def stream_dedupe(spark, events):
     timed = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
     timed.unionAll(timed).repartition("event_id").write.parquet(landing)
     stream = spark.readStream.schema(timed.schema).parquet(landing)
-    dedupe_stream(stream, "event_id", "ts", timedelta(days=40)).writeStream.option(
-        "checkpointLocation", f"{root}/checkpoint"
-    ).trigger(availableNow=True).start(f"{root}/out", format="parquet").awaitTermination()
-    return spark.read.schema(timed.schema).parquet(f"{root}/out")
+    writer = dedupe_stream(stream, "event_id", "ts", f"{root}/out", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return read_deduped(spark, f"{root}/out", timed.schema)
+
+
+@query("events")
+def stream_late(spark, events):
+    """First deliveries in reverse order of time, each batch with the one before it once more: none is lost."""
+    root = shared_dir(spark, "stream_late")
+    landing = f"{root}/landing"
+    timed = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    by_day = timed.withColumn("part", F.dayofmonth("ts") % 3)
+    for part in (2, 1, 0):
+        by_day.where(F.col("part").isin(part, part + 1)).drop("part").coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    writer = dedupe_stream(stream, "event_id", "ts", f"{root}/out", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return read_deduped(spark, f"{root}/out", timed.schema)
+
+
+@query("events")
+def stream_quarantine(spark, events):
+    """Landed lines of errors are cut short and those of clicks lack a time: both are kept aside."""
+    root = shared_dir(spark, "stream_quarantine")
+    landing = f"{root}/landing"
+    message = F.to_json(F.struct(
+        F.col("event_id").cast("string").alias("MessageId"),
+        F.when(F.col("event_type") != "click", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("Timestamp"),
+        F.col("props").alias("Message"),
+    ))
+    cut = F.when(F.col("event_type") == "error", F.concat(F.lit('{"MessageId": "'), "event_id")).otherwise(message)
+    events.select(cut.alias("value")).write.text(landing)
+    refresh_stream(
+        landing_stream(spark, landing), lambda: ST.read_landing(spark, landing), "Timestamp", W.HOUR, root, "app/push",
+        f"{root}/checkpoint", key=("MessageId",), now=lambda: EXTRACTED,
+    ).trigger(availableNow=True).start().awaitTermination()
+    stored = R.read_raw(spark, root, R.RAW, "app/push", grain=W.HOUR).select(F.col("MessageId").alias("id"), F.lit("stored").alias("place"))
+    aside = ST.read_quarantine(spark, root, "app/push").select(
+        F.coalesce("MessageId", F.regexp_extract("_corrupt_record", "[0-9]+", 0)).alias("id"), F.lit("quarantine").alias("place")
+    )
+    return stored.unionByName(aside)
 
 
 # Staging
@@ -455,7 +545,7 @@ def hourly_actor_activity(spark, events):
 def mention_drift(spark, lineitem, orders):
     edges = AD.line_edges(lineitem).withColumn("dt", F.lit("2001-12-31").cast("date"))
     dim = orders.select(F.concat(F.lit("ord-"), "o_orderkey").alias("issue_id"))
-    mentions = M.issue_mentions(AD.line_texts(AD.spread(lineitem)))
+    mentions = M.issue_mentions(AD.line_texts(lineitem))
     return marts.mention_drift(mentions, staging.stg_dependency_snapshots(edges), dim)
 
 
@@ -478,28 +568,43 @@ def mart_rebuild(spark, events):
 
 @query("lineitem")
 def text_unpivot(spark, lineitem):
-    return M.unpivot_text(AD.line_texts(AD.spread(lineitem)))
+    return M.unpivot_text(AD.line_texts(lineitem))
 
 
 @query("lineitem")
 def id_prefixes(spark, lineitem):
-    return M.prefixes_of(AD.line_texts(AD.spread(lineitem)))
+    return M.prefixes_of(AD.line_texts(lineitem))
 
 
 @query("lineitem")
 def mentions_lines(spark, lineitem):
-    return M.issue_mentions(AD.line_texts(AD.spread(lineitem)))
+    return M.issue_mentions(AD.line_texts(lineitem))
 
 
 @query("documents")
 def mentions_documents(spark, documents):
-    return M.issue_mentions(AD.document_texts(AD.spread(documents)))
+    return M.issue_mentions(AD.document_texts(documents))
 
 
 @query("documents")
-def mentions_documents_join(spark, documents):
-    """The way for prefix sets too large for one pattern."""
-    return M.issue_mentions(AD.document_texts(AD.spread(documents)), by_join=True)
+def mentions_many_prefixes(spark, documents):
+    """As many prefixes as documents; each text names the next document and its own."""
+    own, following = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    issues = documents.select(
+        F.concat(F.lit("p"), own, F.lit("-x")).alias("issue_id"),
+        F.concat(F.lit("see p"), following, F.lit("-y and p"), own, F.lit("-x")).alias("title"),
+    )
+    return M.issue_mentions(issues)
+
+
+@query("supplier")
+def mentions_deep_ids(spark, supplier):
+    """Ids of 20,000 dotted levels."""
+    issues = supplier.select(
+        F.concat(F.lit("sup-"), "s_suppkey").alias("issue_id"),
+        F.concat(F.lit("see sup-"), F.col("s_suppkey") + 1, F.repeat(F.lit(".1"), 20_000), F.lit(", please")).alias("title"),
+    )
+    return M.issue_mentions(issues)
 
 
 # Assertions
@@ -652,7 +757,7 @@ def duration_histogram(spark, events):
 def _nodes(lineitem):
     spark = lineitem.sparkSession
     path = f"{shared_dir(spark, 'run_results')}/artefacts"
-    AD.line_build_documents(AD.spread(lineitem)).write.text(path)
+    AD.line_build_documents(lineitem).write.text(path)
     return O.explode_results(O.read_run_results(spark, path, one_per_line=True))
 
 

@@ -32,10 +32,10 @@ _SEGMENT = re.compile(r"[a-z0-9_]+")
 
 def check_dataset(zone: str, dataset: str) -> str:
     if zone not in (RAW, DERIVED):
-        raise ValueError(f"unknown zone {zone!r}, want {RAW!r} or {DERIVED!r}")
+        raise ValueError(f"{zone!r} is neither the {RAW!r} nor the {DERIVED!r} zone")
     for segment in dataset.split("/"):
         if not _SEGMENT.fullmatch(segment):
-            raise ValueError(f"dataset {dataset!r} has segment {segment!r}, want {_SEGMENT.pattern}")
+            raise ValueError(f"{segment!r} in dataset {dataset!r} may hold only lower-case letters, digits and _")
     return dataset
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from tallywell.operators import windows as W
@@ -17,16 +18,18 @@ from tallywell.sources import raw_layer as R
 # The envelope of a landed message. The body stays an opaque string.
 LANDING_SCHEMA = (
     "MessageId string, Timestamp timestamp, TopicArn string, MessageAttributes string, Message string, "
-    "dt date, hh int"
+    "dt date, hh int, _corrupt_record string"
 )
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """Landed messages, gzipped JSON lines under ``dt=``/``hh=`` folders of their arrival."""
-    return spark.read.schema(LANDING_SCHEMA).json(path).drop("dt", "hh")
+    """Whole landed messages, gzipped JSON lines under ``dt=``/``hh=`` folders of their arrival."""
+    landed = spark.read.schema(LANDING_SCHEMA).json(path)
+    return landed.where("Timestamp is not null").drop("dt", "hh", "_corrupt_record")
 
 
 def landing_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Every landed line; one that is not whole is in ``_corrupt_record``."""
     return spark.readStream.schema(LANDING_SCHEMA).json(path).drop("dt", "hh")
 
 
@@ -66,8 +69,9 @@ def rebuild_windows(
     """Replace ``windows`` with every row ``source`` has for them; ``ts`` is naive UTC or an instant.
 
     Rows come from the source, not from the batch, so a late row never displaces the rows its
-    window already had. With ``key``, one row per key is kept, first by ``order``. The windows are
-    range filters on the stored column, so one very late row does not read all time since.
+    window already had. With ``key``, one row per key and window is kept, first by ``order``; which
+    windows are rebuilt together makes no difference. The windows are range filters on the stored
+    column, so one very late row does not read all time since.
     """
     is_naive = dict(source.dtypes)[ts] == "timestamp_ntz"
     lit = W.naive_lit if is_naive else W.instant_lit
@@ -77,7 +81,7 @@ def rebuild_windows(
     )
     rows = W.assign_window(source.where(wanted), ts, grain)
     if key:
-        rows = latest_per_key(rows, list(key), order or [F.asc(ts)])
+        rows = latest_per_key(rows, [*key, "_window_start"], order or [F.asc(ts)])
     spine = source.sparkSession.createDataFrame(
         [(grain, *w) for w in windows], "grain string, window_start timestamp, window_end timestamp"
     )
@@ -100,10 +104,14 @@ def refresh_stream(
     """A stream that rebuilds the windows each micro-batch touches; the caller adds the trigger.
 
     Rows older than any lookback are handled the same way: their window is rebuilt, never dropped.
-    A batch that runs again after a failure replaces the same windows with the same rows.
+    A batch that runs again after a failure replaces the same windows with the same rows. Rows without
+    a time, such as lines that could not be read, are kept aside for ``read_quarantine``.
     """
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
+        aside = batch.where(F.col(ts).isNull())
+        if not aside.isEmpty():
+            aside.write.mode("overwrite").parquet(f"{_quarantine(root, dataset)}/batch={epoch}")
         # One driver row per distinct window of the batch.
         touched = touched_windows(batch, ts, grain).where(F.col("window_start").isNotNull())
         naive_utc = touched.select(*[F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")])
@@ -120,6 +128,43 @@ def late_windows(touched: DataFrame, now: datetime, grain: str, lookback: int) -
     return touched.where(F.col("window_start") < W.instant_lit(horizon))
 
 
-def dedupe_stream(stream: DataFrame, message_id: str, ts: str, delay: timedelta) -> DataFrame:
-    """First delivery of each message id; a redelivery is dropped while within ``delay``."""
-    return stream.withWatermark(ts, f"{int(delay.total_seconds())} seconds").dropDuplicatesWithinWatermark([message_id])
+def _quarantine(root: str, dataset: str) -> str:
+    return f"{root.rstrip('/')}/quarantine/{dataset}"
+
+
+def read_quarantine(spark: SparkSession, root: str, dataset: str) -> DataFrame:
+    """Rows that ``refresh_stream`` kept aside, with the ``batch`` they came in."""
+    return spark.read.option("mergeSchema", "true").parquet(_quarantine(root, dataset))
+
+
+def dedupe_stream(stream: DataFrame, message_id: str, ts: str, path: str, checkpoint: str) -> DataStreamWriter:
+    """Keeps the first delivery of each message id under ``path``, however late it comes.
+
+    A redelivery has its message's time, so each batch is compared with the stored messages of its own
+    days only. A batch that runs again replaces what it wrote.
+    """
+    spark = stream.sparkSession
+    stored_as = stream.withColumn("_day", F.to_date(ts)).schema
+    empty = spark.createDataFrame([], stored_as).withColumn("_batch", F.lit(-1).cast("bigint"))
+    empty.write.mode("ignore").partitionBy("_batch", "_day").parquet(path)
+
+    def on_batch(batch: DataFrame, epoch: int) -> None:
+        first = latest_per_key(batch, [message_id], [F.asc(ts)]).withColumn("_day", F.to_date(ts))
+        days = first.select(F.col("_day").alias("_touched")).distinct()
+        stored = _stored(spark, path, stream.schema).where(F.col("_batch") != epoch)
+        known = stored.join(days, stored["_day"].eqNullSafe(days["_touched"]), "left_semi")
+        known = known.select(F.col(message_id).alias("_known"))
+        fresh = first.join(known, first[message_id] == known["_known"], "left_anti")
+        out = fresh.withColumn("_batch", F.lit(epoch).cast("bigint")).write.mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").partitionBy("_batch", "_day").parquet(path)
+
+    return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields]).add("_batch", "long").add("_day", "date")).parquet(path)
+
+
+def read_deduped(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The messages that ``dedupe_stream`` kept."""
+    return _stored(spark, path, schema).drop("_batch", "_day")

@@ -116,6 +116,9 @@ def test_content_diff_counts_duplicates_and_hash_sees_nulls(spark):
     b = a.limit(1).unionAll(a.where("x = 2")).unionAll(a.where("x = 2"))
     assert rows(A.content_diff(a, b), "side", "x") == [("left_only", 1), ("right_only", 2)]
     assert A.content_diff(a, a.withColumn("_extracted_at", F.lit(0).cast("timestamp"))).count() == 0
+    for wider, narrower in ((a, a.drop("y")), (a.drop("y"), a)):
+        with pytest.raises(ValueError, match="columns differ"):
+            A.content_diff(wider, narrower)
     swapped = a.select(F.lit(None).cast("string").alias("y"), "x", "_extracted_at")
     assert A.content_hash(a).first() == A.content_hash(a.orderBy(F.desc("x")).select("y", "x", "_extracted_at")).first()
     assert A.content_hash(a).first() != A.content_hash(swapped).first()

@@ -136,3 +136,17 @@ def test_no_overlap_against_brute_force(spark, seed):
             want.append((k, max(over)[1], max(over)[0], start, end or far))
     got = A.no_overlap(spark.createDataFrame(data, "k string, valid_from date, valid_to date"), "k")
     assert rows(got) == sorted(want, key=repr) and want
+
+
+def test_removed_keys_leave_later_snapshots(spark):
+    history = spark.sql("""select * from values
+        ('a', timestamp'2026-01-01 10:00:00', 1, false), ('a', timestamp'2026-01-02 10:00:00', 2, true),
+        ('a', timestamp'2026-01-04 10:00:00', 3, null), ('b', timestamp'2026-01-01 11:00:00', 9, null)
+        t(k, at, v, gone)""")
+    many = H.snapshots_over(history, "k", "at", datetime(2026, 1, 1), datetime(2026, 1, 6), removed="gone")
+    got = {}
+    for k, v, start in rows(many, "k", "v", "_window_start"):
+        got.setdefault(start.day, []).append((k, v))
+    assert got == {1: [("a", 1), ("b", 9)], 2: [("b", 9)], 3: [("b", 9)], 4: [("a", 3), ("b", 9)], 5: [("a", 3), ("b", 9)]}
+    state = H.snapshot_as_of(history, "k", "at", datetime(2026, 1, 3), removed="gone")
+    assert rows(state, "k", "v") == [("b", 9)]

@@ -4,32 +4,18 @@ import re
 import pytest
 
 from helpers import rows
-from tallywell.functions.text import any_of, quote_regex
 from tallywell.operators import mentions as M
 
 
-def found(spark, text, prefixes, self_id="tsk-self", by_join=False):
+def found(spark, text, prefixes, self_id="tsk-self"):
     dim = spark.createDataFrame(
         [(self_id, text)] + [(f"{p}-0seed", None) for p in prefixes], "issue_id string, title string"
     )
-    out = M.issue_mentions(dim, ["title"], by_join=by_join)
+    out = M.issue_mentions(dim, ["title"])
     return {r["mentioned_issue_id"]: r["mention_count"] for r in out.where("issue_id = '%s'" % self_id).collect()}
 
 
 CASES = [
-    ("look at (tsk-abc), please", ["tsk"], {"tsk-abc": 1}),
-    ("tsk-a1,tsk-b2;tsk-c3", ["tsk"], {"tsk-a1": 1, "tsk-b2": 1, "tsk-c3": 1}),
-    ("done with tsk-sub.1.", ["tsk"], {"tsk-sub.1": 1}),
-    ("part tsk-sub.1.22 of it", ["tsk"], {"tsk-sub.1.22": 1}),
-    ("tsk-sub.1a", ["tsk"], {"tsk-sub": 1}),
-    ("the tsk-9xy-tail branch", ["tsk"], {"tsk-9xy": 1}),
-    ("tsk-abc, tsk-abc and once more tsk-abc", ["tsk"], {"tsk-abc": 3}),
-    ("tsk-self, or tsk-other", ["tsk"], {"tsk-other": 1}),
-    ("job-99 before tsk-abc", ["tsk"], {"tsk-abc": 1}),
-    ("TSK-abc Tsk-abc", ["tsk"], {}),
-    ("tsk-1 with sub-2", ["tsk", "sub"], {"tsk-1": 1, "sub-2": 1}),
-    ("", ["tsk"], {}),
-    ("no ids in this one", ["tsk"], {}),
     ("étsk-z", ["tsk"], {"tsk-z": 1}),
     ("job-tsk-abc", ["job", "tsk"], {"job-tsk": 1}),
     ("job-tsk-abc", ["tsk"], {"tsk-abc": 1}),
@@ -41,16 +27,20 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("by_join", [False, True])
-def test_mention_cases(spark, by_join):
+def test_mention_cases(spark):
     wrong = [
         (text, prefixes, got, want)
         for text, prefixes, want in CASES
-        if (got := found(spark, text, prefixes if "tsk" in prefixes else ["tsk", *prefixes], by_join=by_join)) != want
+        if (got := found(spark, text, prefixes if "tsk" in prefixes else ["tsk", *prefixes])) != want
     ]
     assert not wrong
 
 
+def test_an_id_of_any_depth(spark):
+    deep = "tsk-1" + ".1" * 20_000
+    assert found(spark, f"see {deep}, and {deep}x", ["tsk"]) == {deep: 1, deep[:-2]: 1}
+
+
 def brute_force(data, fields):
     prefixes = sorted({i.split("-", 1)[0] for i, *_ in data if "-" in i} - {""})
     pattern = re.compile(
@@ -65,8 +55,8 @@ def brute_force(data, fields):
     return sorted(((*k, n) for k, n in counts.items()), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_both_ways_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed", range(6))
+def test_equals_brute_force(spark, seed):
     rng = random.Random(seed)
     pieces = ["tsk", "job", "c", "my.p", ".q", "é", "-", "-", "-", ".", " ", "1", "ab", "A", "_", "tsk-1", "job-tsk-x.2"]
 
@@ -78,17 +68,15 @@ def test_both_ways_equal_brute_force(spark, seed):
     data += data[:5]  # equal rows count twice
     dim = spark.createDataFrame(data, "issue_id string, title string, notes string")
     want = brute_force(data, ["title", "notes"])
-    for by_join in (False, True):
-        assert rows(M.issue_mentions(dim, ["title", "notes"], by_join=by_join)) == want
+    assert rows(M.issue_mentions(dim, ["title", "notes"])) == want
 
 
-def test_many_prefixes_take_the_join(spark, monkeypatch):
-    dim = spark.sql("select concat('p', id, '-x') issue_id, concat('see p', id + 1, '-y p', id, '-x') title from range(50)")
-    want = rows(M.issue_mentions(dim, ["title"], by_join=False))
-    monkeypatch.setattr(M, "PATTERN_MAX_PREFIXES", 10)
-    with pytest.raises(ValueError):
-        M.issue_mentions(dim, ["title"], by_join=False)
-    assert rows(M.issue_mentions(dim, ["title"])) == want and len(want) == 49
+def test_many_prefixes(spark):
+    dim = spark.sql(
+        "select concat('p', id, '-x') issue_id, concat('see p', id + 1, '-y p', id, '-x') title from range(1500)"
+    )
+    want = [(f"p{i}-x", f"p{i + 1}-y", "title", 1) for i in range(1499)]
+    assert rows(M.issue_mentions(dim, ["title"])) == sorted(want, key=repr)
 
 
 def test_reads_by_name_and_tolerates_columns(spark):
@@ -103,15 +91,3 @@ def test_reads_by_name_and_tolerates_columns(spark):
 def test_prefixes(spark):
     dim = spark.sql("select explode(array('a-1', 'a-2-3', 'b-1', 'none', '-x')) issue_id")
     assert rows(M.prefixes_of(dim)) == [("a",), ("b",)]
-
-
-def test_quoting_survives_an_end_marker(spark):
-    pattern = quote_regex("a\\Eb.c")
-    df = spark.createDataFrame([("a\\Eb.c",), ("a\\EbXc",)], "t string")
-    assert [r[0] for r in df.where(df.t.rlike(pattern)).collect()] == ["a\\Eb.c"]
-
-
-def test_pattern_branches_where_prefixes_differ():
-    assert any_of(["src1", "src10", "src2", "ab"]) == "(?:ab|src(?:1(?:0)?|2))"
-    deep = ["a" * n for n in range(1, M.PATTERN_MAX_PREFIXES + 1)]
-    assert re.fullmatch(any_of(deep), "a" * 37) and not re.fullmatch(any_of(deep), "")

@@ -8,7 +8,8 @@ from helpers import rows
 from tallywell.operators import windows as W
 from tallywell.sources import raw_layer as R
 from tallywell.streaming.refresh import (
-    dedupe_stream, landing_stream, late_windows, merge_ranges, read_landing, refresh_stream, touched_windows,
+    dedupe_stream, landing_stream, late_windows, merge_ranges, read_deduped, read_landing, read_quarantine,
+    refresh_stream, touched_windows,
 )
 
 SCHEMA = "id string, ts timestamp_ntz, body string"
@@ -47,16 +48,57 @@ def test_windows_beyond_the_lookback_are_named(spark):
     assert late_windows(touched, T0 + timedelta(hours=23), W.HOUR, 24).count() == 0
 
 
-def test_stream_drops_redeliveries(spark, tmp_path):
+def test_stream_drops_redeliveries_and_keeps_late_first_deliveries(spark, tmp_path):
     landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
-    timed = batch(spark, ("a", 1, ""), ("a", 1, ""), ("b", 2, "")).withColumn("ts", F.col("ts").cast("timestamp"))
-    timed.write.parquet(landing)
-    stream = spark.readStream.schema(timed.schema).parquet(landing)
-    writer = dedupe_stream(stream, "id", "ts", timedelta(hours=1)).writeStream.option(
-        "checkpointLocation", str(tmp_path / "checkpoint")
+
+    def deliver(*data):
+        timed = batch(spark, *data).withColumn("ts", F.col("ts").cast("timestamp"))
+        timed.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(timed.schema).parquet(landing)
+        writer = dedupe_stream(stream, "id", "ts", out, str(tmp_path / "checkpoint"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return [r[0] for r in rows(read_deduped(spark, out, timed.schema), "id")]
+
+    assert deliver(("a", 1, ""), ("a", 1, ""), ("b", 9 * 60, "")) == ["a", "b"]
+    assert deliver(("late", 120, ""), ("a", 1, ""), ("b", 9 * 60, "")) == ["a", "b", "late"]
+    assert deliver(("older", -3 * 24 * 60, "")) == ["a", "b", "late", "older"]
+
+
+def test_batch_borders_make_no_difference(spark, tmp_path):
+    data = [("a", 5, "x"), ("a", 70, "y"), ("a", 5, "z"), ("b", 65, "x")]
+    results = []
+    for name, split in (("one", [4]), ("two", [1, 3]), ("each", [1, 1, 1, 1]), ("late", [2, 2])):
+        root, landing = str(tmp_path / name / "root"), str(tmp_path / name / "landing")
+        order = data if name != "late" else data[2:] + data[:2]
+        for n in split:
+            batch(spark, *order[:n]).coalesce(1).write.mode("append").parquet(landing)
+            order = order[n:]
+            stream = spark.readStream.schema(SCHEMA).parquet(landing)
+            refresh_stream(
+                stream, lambda landing=landing: spark.read.schema(SCHEMA).parquet(landing), "ts", W.HOUR, root,
+                "push/topic", str(tmp_path / name / "checkpoint"), key=("id",), order=[F.desc("body")],
+                now=lambda: datetime(2026, 9, 15),
+            ).trigger(availableNow=True).start().awaitTermination()
+        results.append(rows(R.read_raw(spark, root, R.RAW, "push/topic", SCHEMA, W.HOUR), "id", "body", "_window_start"))
+    assert all(r == results[0] for r in results) and len(results[0]) == 3
+
+
+def test_lines_that_cannot_be_placed_are_kept_aside(spark, tmp_path):
+    landing = tmp_path / "landing" / "dt=2026-09-14" / "hh=10"
+    landing.mkdir(parents=True)
+    good = {"MessageId": "m1", "Timestamp": "2026-09-14T10:05:00Z", "Message": "x"}
+    (landing / "b.jsonl").write_text("\n".join([json.dumps(good), json.dumps(good)[:30], '{"MessageId": "m2"}']))
+    root = str(tmp_path / "root")
+    refresh_stream(
+        landing_stream(spark, str(tmp_path / "landing")), lambda: read_landing(spark, str(tmp_path / "landing")),
+        "Timestamp", W.HOUR, root, "push/topic", str(tmp_path / "checkpoint"), key=("MessageId",),
+        now=lambda: datetime(2026, 9, 15),
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert rows(R.read_raw(spark, root, R.RAW, "push/topic"), "MessageId") == [("m1",)]
+    aside = read_quarantine(spark, root, "push/topic")
+    assert rows(aside, "MessageId", "_corrupt_record") == sorted(
+        [("m2", None), (None, json.dumps(good)[:30])], key=repr
     )
-    writer.trigger(availableNow=True).start(out, format="parquet").awaitTermination()
-    assert rows(spark.read.parquet(out), "id") == [("a",), ("b",)]
 
 
 def test_landed_messages_reach_the_window_of_their_publish_time(spark, tmp_path):

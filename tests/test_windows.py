@@ -70,6 +70,13 @@ def test_violations_name_the_first_broken_rule(spark):
 def test_coverage_tells_quiet_from_never_written(spark):
     spine = W.range_spine(spark, date(2026, 9, 14), date(2026, 9, 16), W.DAY)
     df = W.assign_window(spark.sql("select timestamp'2026-09-14 10:00:00' ts from range(3)"), "ts", W.DAY)
-    ledger = spark.sql("select explode(array(timestamp'2026-09-14', timestamp'2026-09-15')) window_start")
+    ledger = spark.sql("""select *, timestamp'2026-09-17' extracted_at from values
+        (timestamp'2026-09-14', 1, 'timeout'), (timestamp'2026-09-14', 2, null), (timestamp'2026-09-15', 1, null)
+        t(window_start, attempt, error)""")
     out = W.window_coverage(spine, df, ledger).orderBy("window_start").select("row_count", "written").collect()
     assert [tuple(r) for r in out] == [(3, True), (0, True), (0, False)]
+    failed = ledger.unionAll(
+        spark.sql("select timestamp'2026-09-15', a, 'timeout', timestamp'2026-09-18' from range(1, 4) t(a)")
+    )
+    out = W.window_coverage(spine, df, failed).orderBy("window_start").select("row_count", "written").collect()
+    assert [tuple(r) for r in out] == [(3, True), (0, False), (0, False)]
