@@ -212,12 +212,12 @@ def materialise(
 
 
 def freshness(spark: SparkSession, source: Source, root: str, now: datetime) -> DataFrame:
-    """Freshness of every raw table and of the derived mentions."""
-    tables = {
-        t.name: R.read_raw(spark, root, R.RAW, f"{source.name}/{t.name}", t.schema, t.grain) for t in source.tables
-    }
-    tables[MENTIONS] = R.read_raw(spark, root, R.DERIVED, MENTIONS, MENTIONS_SCHEMA, W.DAY)
-    return A.freshness(tables, checks.FRESHNESS, now)
+    """Freshness of every raw table and of the derived mentions, from the ledger of good writes alone."""
+    good = R.read_ledger(spark, root).where("error is null and rows > 0")
+    raw = good.where((F.col("zone") == R.RAW) & (F.col("source") == source.name))
+    tables = {t.name: raw.where(F.col("table") == t.name) for t in source.tables}
+    tables[MENTIONS] = good.where((F.col("zone") == R.DERIVED) & (F.col("table") == MENTIONS))
+    return A.freshness(tables, checks.FRESHNESS, now, loaded_at="extracted_at")
 
 
 def run(

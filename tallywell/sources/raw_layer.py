@@ -155,9 +155,8 @@ def write_windows(
     lo, hi, n_windows = bounds.select(
         F.to_date("lo"), F.to_date(F.col("hi") - F.expr("interval 1 microsecond")), "n"
     ).first()
-    # About one shuffle partition per window, so that only a large window is ever split.
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(partitions, min(n_windows, 16 * partitions))
+    # One shuffle partition per window, so that only a large window is ever split; small ones are coalesced.
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_windows)
     (
         stamped.hint("rebalance", partitions, *parts)
         .sortWithinPartitions(*parts, *sort_key)
