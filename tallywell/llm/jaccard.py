@@ -10,10 +10,10 @@ sets link when ``intersection / union >= percent / 100``.
    longer set looks with its long prefix among the short prefixes of sets not longer than itself.
 3. Sets with the same size and prefix are one group. Groups meet on a shingle, under the size and
    position filters.
-4. Each group's members are verified against the group's first member, and first members of group
-   pairs against each other. Members whose components differ after that are expanded and verified.
-   Groups that are already one component are never expanded, so a large group of near copies does
-   not become all its pairs.
+4. Each group's members are verified against the group's first member. Then, a few times over, one
+   of the group pairs of each group that still lies between two components is verified. At last the
+   members of all pairs whose components still differ are expanded and verified. What is one
+   component already is never expanded, so a large group of near copies does not become all its pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from tallywell.llm.components import components
 from tallywell.llm.simhash import shingle_hashes
 
 NODE = ["doc_id", "digest"]
-BAND = 0.2
 GROUP = ["n", "g1", "g2"]
+TRIES = 3
 
 
 def least_overlap(total: Column, percent: int) -> Column:
@@ -37,6 +37,11 @@ def least_overlap(total: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * total / F.lit(100 + percent)).cast("int")
 
 
+def band_share(percent: int) -> float:
+    """Share of the hash space to look at for loners: half as much again as a link leaves unshared, and a margin."""
+    return min(1.0, 0.05 + 1.5 * (1 - percent / 100))
+
+
 def _tokens(docs: DataFrame, words: int) -> DataFrame:
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     return docs.select(*NODE, F.array_distinct(shingle_hashes(lower, words)).alias("tokens"))
@@ -44,7 +49,7 @@ def _tokens(docs: DataFrame, words: int) -> DataFrame:
 
 def _loners(sets: DataFrame, percent: int, band: float) -> DataFrame:
     """Rows with more shingles of their own, in the band alone, than a link allows: ``NODE`` and ``n``."""
-    top = int(-(2**63) + band * 2**64)
+    top = min(int(-(2**63) + band * 2**64), 2**63 - 1)
     in_band = F.filter("tokens", lambda t: t < top)
     rows = sets.select(*NODE, F.size("tokens").alias("n"), F.explode(in_band).alias("token"))
     alone = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), *[F.min(c).alias(c) for c in [*NODE, "n"]])
@@ -103,6 +108,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b")
 
 
+def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are not yet in one component."""
+    for end, label in (("long", "l1"), ("short", "l2")):
+        pairs = pairs.join(labels.select(F.col("id").alias(end), F.col("label").alias(label)), end, "left").withColumn(
+            label, F.coalesce(label, end)
+        )
+    return pairs.where("l1 <> l2").select("long", "short")
+
+
+def _one_each(pairs: DataFrame, turn: int) -> DataFrame:
+    """One of the pairs of every id, as first of each side by a hash that differs from turn to turn: ``(a, b)``."""
+    ordered = pairs.withColumn("o", F.xxhash64(F.lit(turn), "long", "short"))
+    by_long = ordered.groupBy("long").agg(F.min_by("short", "o").alias("short"))
+    by_short = ordered.groupBy("short").agg(F.min_by("long", "o").alias("long"))
+    both = by_long.unionByName(by_short).distinct()
+    return both.select(F.col("long").alias("a"), F.col("short").alias("b"))
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes that connect every component: ``(a, b)``."""
     members = stage(
@@ -121,10 +144,12 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = stage(_group_pairs(heads, percent), "group-pairs")
 
     stars = groups.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    between = pairs.select(F.col("long").alias("a"), F.col("short").alias("b"))
-    first = stage(_verified(stars.unionByName(between), sets, percent), "first-links")
-
-    labels = components(first)
+    links = stage(_verified(stars, sets, percent), "links")
+    for turn in range(TRIES):
+        labels = stage(components(links), "labels")
+        tried = _one_each(_still_apart(pairs, labels), turn)
+        links = links.unionByName(stage(_verified(tried, sets, percent), "links"))
+    labels = components(links)
     labelled = stage(
         groups.join(labels, "id", "left").select(
             "centre", "id", F.coalesce("label", "id").alias("label")
@@ -142,10 +167,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     left = labelled.select(F.col("centre").alias("long"), F.col("label").alias("lx"), F.col("id").alias("a"))
     right = labelled.select(F.col("centre").alias("short"), F.col("label").alias("ly"), F.col("id").alias("b"))
     expanded = apart.join(left, ["long", "lx"]).join(right, ["short", "ly"]).select("a", "b")
-    return first.unionByName(_verified(expanded.distinct(), sets, percent))
+    return links.unionByName(_verified(expanded.distinct(), sets, percent))
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, band: float = BAND) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """``(doc_id, digest, n_shingles, component_id)``, one row per distinct row of ``docs``.
 
     Words are runs of characters other than blanks, A-Z in lower case; a text of fewer than
@@ -155,7 +180,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, band:
     component has no other. Other columns are ignored.
     """
     texts = documents(docs).withColumn("digest", F.xxhash64("text"))
-    loners = stage(_loners(_tokens(texts, words), percent, band), "loners")
+    loners = stage(_loners(_tokens(texts, words), percent, band_share(percent)), "loners")
     rest = texts.join(loners, all_same(texts, loners, NODE), "left_anti")
     # distinct rows of the rest, with their sets
     sets = stage(
