@@ -9,7 +9,8 @@ sets link when ``intersection / union >= percent / 100``.
    with another must share one among its first ``n - o + 1``, where ``o`` is the least overlap: the
    longer set looks with its long prefix among the short prefixes of sets not longer than itself.
 3. Sets with the same size and prefix are one group. Groups meet on a shingle, under the size and
-   position filters.
+   position filters and a signature: 256 parity bits of a set, of which no more can differ between two
+   sets than shingles do. A group adds how far its members' bits lie from its first member's.
 4. Each group's members are verified against the group's first member. Then, a few times over, one
    of the group pairs of each group that still lies between two components is verified. At last the
    members of all pairs whose components still differ are expanded and verified. What is one
@@ -30,6 +31,7 @@ from tallywell.llm.simhash import shingle_hashes
 NODE = ["doc_id", "digest"]
 GROUP = ["n", "g1", "g2"]
 TRIES = 3
+WORDS = range(4)  # of the parity bits
 
 
 def least_overlap(total: Column, percent: int) -> Column:
@@ -58,8 +60,21 @@ def _loners(sets: DataFrame, percent: int, band: float) -> DataFrame:
     return own.where(F.col("own") > F.col("n") - F.ceil(F.col("n") * percent / 100)).select(*NODE, "n")
 
 
+def _parity(tokens: DataFrame) -> DataFrame:
+    """``(id, b0, ...)``: for each bit whether an odd number of the set's shingles has it for hash."""
+    token = F.col("token")
+    word = F.shiftrightunsigned(token, 6).bitwiseAND(F.lit(len(WORDS) - 1))
+    bit = F.expr("shiftleft(1L, cast(token & 63 as int))")
+    return tokens.groupBy("id").agg(*[F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0))).alias(f"b{w}") for w in WORDS])
+
+
+def _apart(a: str, b: str) -> Column:
+    """How many parity bits differ between the columns named from ``a`` and from ``b``."""
+    return sum((F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in WORDS), F.lit(0))
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``(id, n, prefix)``: the shared shingles of the long prefix with their positions, rarest first."""
+    """``(id, n, prefix, b0, ...)``: the shared shingles of the long prefix with their positions, rarest first."""
     tokens = sets.select("id", "n", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     found = tokens.join(shared, "token").groupBy("id", "n").agg(
@@ -74,19 +89,24 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             F.slice("shared", F.lit(1), F.greatest(long_prefix - own, F.lit(0))),
             lambda s, i: F.struct(s["token"].alias("token"), (own + i + 1).alias("pos")),
         ).alias("prefix"),
-    ).where(F.size("prefix") > 0)
+    ).where(F.size("prefix") > 0).join(_parity(tokens), "id")
 
 
 def _group_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of group centres that the filters leave, each pair once: ``(long, short)``."""
-    entries = groups.select(F.col("centre").alias("id"), "n", F.explode("prefix").alias("p")).select(
-        "id", "n", "p.token", "p.pos"
+    bits = [f"b{w}" for w in WORDS]
+    entries = groups.select(F.col("centre").alias("id"), "n", "radius", *bits, F.explode("prefix").alias("p")).select(
+        "id", "n", "radius", *bits, "p.token", "p.pos"
     )
-    long_side = entries.select(F.col("id").alias("long"), F.col("n").alias("n1"), F.col("pos").alias("p1"), "token")
+    long_side = entries.select(
+        F.col("id").alias("long"), F.col("n").alias("n1"), F.col("pos").alias("p1"), "token",
+        F.col("radius").alias("r1"), *[F.col(b).alias(f"l{b}") for b in bits],
+    )
     short_prefix = F.col("n") - least_overlap(2 * F.col("n"), percent) + 1
     short_side = entries.where(F.col("pos") <= short_prefix).select(
-        F.col("id").alias("short"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("token").alias("t2")
-    )
+        F.col("id").alias("short"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("token").alias("t2"),
+        F.col("radius").alias("r2"), *[F.col(b).alias(f"s{b}") for b in bits],
+    )
     n1, n2 = F.col("n1"), F.col("n2")
     bound = 1 + F.least(n1 - F.col("p1"), n2 - F.col("p2"))
     met = long_side.join(
@@ -94,7 +114,8 @@ def _group_pairs(groups: DataFrame, percent: int) -> DataFrame:
         (F.col("token") == F.col("t2"))
         & ((n2 < n1) | ((n2 == n1) & (F.col("long") < F.col("short"))))
         & (n2 * 100 >= n1 * percent)
-        & (bound >= least_overlap(n1 + n2, percent)),
+        & (bound >= least_overlap(n1 + n2, percent))
+        & (_apart("lb", "sb") <= n1 + n2 - 2 * least_overlap(n1 + n2, percent) + F.col("r1") + F.col("r2")),
     )
     return met.select("long", "short").distinct()
 
@@ -133,14 +154,18 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             "id",
             "n",
             "prefix",
+            *[f"b{w}" for w in WORDS],
             F.xxhash64("prefix").alias("g1"),
             F.xxhash64(F.lit(1), "prefix").alias("g2"),
         ),
         "prefixes",
     )
     centres = members.groupBy(*GROUP).agg(F.min("id").alias("centre"))
-    groups = stage(members.select("id", *GROUP).join(centres, GROUP), "groups")
-    heads = members.join(groups.where("id = centre").select("id", "centre"), "id")
+    bits = [f"b{w}" for w in WORDS]
+    groups = stage(members.select("id", *GROUP, *bits).join(centres, GROUP), "groups")
+    first_bits = groups.where("id = centre").select("centre", *[F.col(b).alias(f"c{b}") for b in bits])
+    radius = groups.join(first_bits, "centre").groupBy("centre").agg(F.max(_apart("b", "cb")).alias("radius"))
+    heads = members.join(radius.withColumn("id", F.col("centre")), "id")
     pairs = stage(_group_pairs(heads, percent), "group-pairs")
 
     stars = groups.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
