@@ -7,12 +7,14 @@ anchors, about one in ``length / 2.4`` bytes, each with the bytes before it that
 1. A scan finds the anchors. Those whose leading bytes occur once in the corpus end here. Anchors
    whose windows all repeat, in equal surroundings, are settled by counting a digest, which is
    summed before it is shuffled: copies, however many, leave one suffix.
-2. Sampled splitters range-partition the remaining suffixes by their leading bytes. A hot lead is
-   spread over several buckets by a hash.
-3. A bucket sorts its suffixes by multikey quicksort over 8-byte characters. The longest common
-   prefixes of neighbours bound which windows can repeat; those are compared by two hashes.
-4. Leads at a bucket's ends may go on in other buckets: their windows, once per bucket, are
-   compared across boundaries in one aggregation.
+2. Sampled splitters range-partition the remaining suffixes by their bytes. Equal ones are spread over
+   several buckets by a hash.
+3. A bucket sorts its suffixes by multikey quicksort over 8-byte characters. What a suffix has in
+   common with its neighbours bounds the windows that can repeat. This is done twice, for the bytes
+   before the anchors, read backwards, and for those from the anchors on, so that only windows that
+   agree with others on both sides are left; those are compared by two hashes.
+4. A window that lies in what a suffix shares with the ends of its bucket may repeat in another
+   bucket: such windows, once per bucket, are compared across boundaries in one aggregation.
 
 Everything is judged on the input, and every repeated window is found.
 """
@@ -39,7 +41,7 @@ BUCKET_ROWS = 16_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ROW = ["doc_id", "digest"]
 ANCHOR_SCHEMA = "doc_id long, digest long, start long, width int, anchor int, key long, s1 long, s2 long"
-SUFFIX_SCHEMA = "doc_id long, digest long, start long, width int, anchor int, settled boolean, lead binary, body binary"
+SUFFIX_SCHEMA = "doc_id long, digest long, start long, width int, anchor int, settled boolean, left binary, tail binary"
 FOUND_SCHEMA = "doc_id long, digest long, start long, stop long, h1 long, h2 long, bucket int"
 
 
@@ -197,8 +199,8 @@ def _anchors(texts: DataFrame, length: int, lead: int) -> DataFrame:
 _ANCHOR_NAMES = [f.split()[0] for f in ANCHOR_SCHEMA.split(", ")]
 
 
-def _suffixes(texts: DataFrame, wanted: DataFrame, length: int, lead: int) -> DataFrame:
-    """The suffixes at ``wanted`` anchors, with the windows' bytes, cut from the texts."""
+def _suffixes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The suffixes at ``wanted`` anchors, as far as their windows go, and the bytes before them, backwards."""
     by_row = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("start", "width", "anchor", "settled")).alias("anchors"))
     by_row = by_row.select(F.col("doc_id").alias("a_id"), F.col("digest").alias("a_digest"), "anchors")
     joined = texts.join(
@@ -213,8 +215,9 @@ def _suffixes(texts: DataFrame, wanted: DataFrame, length: int, lead: int) -> Da
             for doc_id, digest, text, anchors in zip(*(batch[c].to_pylist() for c in (*ROW, "text", "anchors")), strict=True):
                 raw = text.encode()
                 for x in anchors:
-                    body = raw[x["start"] : x["start"] + x["width"] + length - 1]
-                    values = (doc_id, digest, x["start"], x["width"], x["anchor"], x["settled"], body[x["anchor"] : x["anchor"] + lead], body)
+                    at = x["start"] + x["anchor"]
+                    left, tail = raw[x["start"] : at][::-1], raw[at : x["start"] + x["width"] + length - 1]
+                    values = (doc_id, digest, x["start"], x["width"], x["anchor"], x["settled"], left, tail)
                     for column, value in zip(rows, values, strict=True):
                         column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
@@ -222,32 +225,69 @@ def _suffixes(texts: DataFrame, wanted: DataFrame, length: int, lead: int) -> Da
     return joined.mapInArrow(cut, SUFFIX_SCHEMA)
 
 
-def _bucket_windows(suffixes: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Repeated windows found in each bucket, and the windows of its border leads: ``FOUND_SCHEMA``.
+def _agreement(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted order of a bucket's keys; what each shares with the one before, with a neighbour, and with an end."""
+    order, common = multikey_order(keys)
+    reach = np.maximum(common, np.append(common[1:], 0))
+    whole = len(keys[order[0]]), len(keys[order[-1]])
+    with_first = np.minimum.accumulate(np.append(whole[0], common[1:]))
+    with_last = np.minimum.accumulate(np.append(whole[1], common[:0:-1]))[::-1]
+    return order, common, reach, np.maximum(with_first, with_last)
 
-    Rows with hashes are border windows (``start`` is null if they are known to repeat); rows
-    without are ranges of window starts that repeat.
+
+def _with_left_reach(suffixes: DataFrame, buckets: int, lead: int) -> DataFrame:
+    """``suffixes`` with ``left_reach``: how many bytes before the anchor agree with another suffix of that lead.
+
+    At the ends of a bucket, where the neighbour is in another, it is the most that is possible.
+    """
+    sides = (F.substring("tail", 1, lead), F.col("left"), F.xxhash64(*ROW, "start"))
+    dealt = suffixes.withColumns(dict(zip(("k1", "k2", "k3"), sides, strict=True)))
+    dealt = dealt.repartitionByRange(buckets, "k1", "k2", "k3").drop("k1", "k2", "k3")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows).combine_chunks()
+        keys = [t[:lead] + x for t, x in zip(table["tail"].to_pylist(), table["left"].to_pylist(), strict=True)]
+        order, _, reach, _ = _agreement(keys)
+        left = np.empty(len(keys), np.int64)
+        left[order] = reach
+        left[order[[0, -1]]] = 1 << 30
+        short = np.array([min(lead, len(t)) for t in table["tail"].to_pylist()])
+        left = np.clip(left - short, 0, 1 << 30).astype(np.int32)
+        yield from table.append_column("left_reach", pa.array(left)).to_batches()
+
+    return stage(dealt.mapInArrow(measure, SUFFIX_SCHEMA + ", left_reach int"), "left-reach")
+
+
+def _bucket_windows(suffixes: DataFrame, buckets: int, length: int, lead: int) -> DataFrame:
+    """Repeated windows found in each bucket, and those to compare across boundaries: ``FOUND_SCHEMA``.
+
+    Rows with hashes are windows to compare (``start`` is null if they are known to repeat); rows
+    without are ranges of bytes that repeated windows cover.
     """
     salted = suffixes.withColumn("salt", F.xxhash64(*ROW, "start"))
-    dealt = salted.repartitionByRange(buckets, "lead", "salt").drop("salt")
+    dealt = salted.repartitionByRange(buckets, "tail", "salt").drop("salt")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
+        filled = [b for b in batches if b.num_rows]
+        if not filled:
             return
+        table = pa.Table.from_batches(filled)
         bucket, rollings = TaskContext.get().partitionId(), [Rolling(b) for b in BASES]
-        leads, bodies = table["lead"].to_pylist(), table["body"].to_pylist()
-        anchors, widths, starts = (table[c].to_numpy() for c in ("anchor", "width", "start"))
+        tails = table["tail"].to_pylist()
+        bodies = [x[::-1] + t for x, t in zip(table["left"].to_pylist(), tails, strict=True)]
+        anchors, widths, starts, left = (table[c].to_numpy() for c in ("anchor", "width", "start", "left_reach"))
         ids, digests, settled = table["doc_id"].to_pylist(), table["digest"].to_pylist(), table["settled"].to_numpy()
-        order, common = multikey_order([b[a:] for b, a in zip(bodies, anchors.tolist(), strict=True)])
-        ends = {min(leads), max(leads)}
+        order, common, reach, edge_reach = _agreement(tails)
         n = len(order)
-        at_end = np.array([leads[i] in ends for i in order])
-        opens = np.array([True] + [leads[order[i]] != leads[order[i - 1]] for i in range(1, n)])
-        common[opens] = 0
-        reach = np.maximum(common, np.append(common[1:], 0))  # longest common prefix with a neighbour
-        # a window repeats only if its suffix agrees with another up to the window's end
-        possible = np.where(at_end, widths[order], np.clip(anchors[order] + reach - length + 1, 0, widths[order]))
+        # windows from low on have bytes before the anchor that agree with another suffix; those before
+        # high, or high_edge, have bytes after it that agree with a neighbour, or with an end of the bucket
+        low = np.clip(anchors[order] - left[order], 0, widths[order])
+        high, high_edge = (np.clip(anchors[order] + r - length + 1, 0, widths[order]) for r in (reach, edge_reach))
+        possible = np.maximum(high, high_edge)
+        opens = np.append(True, common[1:] < lead)
         sizes = np.array([len(bodies[i]) for i in order])
         out: list[list] = [[] for _ in range(7)]
 
@@ -260,11 +300,15 @@ def _bucket_windows(suffixes: DataFrame, buckets: int, length: int) -> DataFrame
         for end in np.append(np.flatnonzero(opens)[1:], n).tolist():
             if end < n and sizes[begin:end].sum() < COMPARED_BYTES:
                 continue
-            rows, width, edge = order[begin:end], possible[begin:end], at_end[begin:end]
+            rows, first_at, before, edge_before = (c[begin:end] for c in (order, low, possible, high_edge))
             begin = end
-            if not width.sum():
+            if not (first_at < before).any():
                 continue
-            row, offset, h1, h2, repeats = repeated_windows([bodies[i] for i in rows], width, length, rollings)
+            cut = [bodies[i][a : max(a, b) + length - 1] for i, a, b in zip(rows, first_at, before, strict=True)]
+            width = np.maximum(before - first_at, 0)
+            row, offset, h1, h2, repeats = repeated_windows(cut, width, length, rollings)
+            offset += first_at[row]
+            edge = offset < edge_before[row]
             h1, h2, known = h1.view(np.int64), h2.view(np.int64), settled[rows][row]
             found = repeats & ~known
             if found.any():
@@ -272,12 +316,12 @@ def _bucket_windows(suffixes: DataFrame, buckets: int, length: int) -> DataFrame
                 i = rows[r]
                 none = [None] * len(i)
                 put(i, (starts[i] + first).tolist(), (starts[i] + last + length).tolist(), none, none)
-            single = edge[row] & ~repeats & ~known
+            single = edge & ~repeats & ~known
             if single.any():
                 i = rows[row[single]]
                 start = starts[i] + offset[single]
                 put(i, start.tolist(), (start + length).tolist(), h1[single].tolist(), h2[single].tolist())
-            shown = edge[row] & (repeats | known)
+            shown = edge & (repeats | known)
             if shown.any():
                 pairs = np.unique(np.column_stack([h1[shown], h2[shown]]), axis=0)
                 for column, values in zip(out, ([None] * len(pairs),) * 4 + (pairs[:, 0].tolist(), pairs[:, 1].tolist(), [bucket] * len(pairs)), strict=True):
@@ -306,9 +350,9 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     # anchors that are alone with their key after copies have been settled need no comparison
     several = spans.groupBy("key").count().where("count > 1").select("key")
     wanted = spans.join(several, "key", "left_semi").select("one.*", (F.col("n") > 1).alias("settled"))
-    suffixes = stage(_suffixes(texts, wanted, length, lead), "suffixes")
+    suffixes = stage(_suffixes(texts, wanted, length), "suffixes")
     buckets = max(1, -(-suffixes.count() // BUCKET_ROWS))
-    windows = _bucket_windows(suffixes, buckets, length)
+    windows = _bucket_windows(_with_left_reach(suffixes, buckets, lead), buckets, length, lead)
     inside = windows.where("h1 is null").select(*ROW, "start", "stop")
     border = windows.where("h1 is not null")
     across = (
