@@ -34,7 +34,7 @@ def _votes(hash_col: Column, bits: int) -> list[Column]:
     """Sums that count, for every bit, the hashes in which it is set. Each occurrence of a term votes once."""
     words = [hash_col]
     while len(words) < bits // 64:
-        words.append(F.xxhash64(words[-1]))
+        words.append(F.when(hash_col.isNotNull(), F.xxhash64(words[-1])))
     return [
         F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES))).alias(f"v{w}_{k}")
         for w, h in enumerate(words)
@@ -139,8 +139,7 @@ def next_documents(texts: DataFrame) -> DataFrame:
     Only ids are ordered: a range partition sorts its own, and one row per partition links the ends.
     """
     ids = stage(
-        texts.where("doc_id is not null")
-        .groupBy("doc_id")
+        texts.groupBy("doc_id")
         .agg((F.max(F.length("text")) / 2).cast("int").alias("need"))
         .repartitionByRange(F.desc("doc_id"))
         .withColumn("part", F.spark_partition_id()),
@@ -170,15 +169,20 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS) -> DataFrame:
     next document: its edited text is its first half and ``next_fp`` is null. Other columns are ignored.
     """
     texts = documents(docs)
-    follow = next_documents(texts)
+    # both joins below take the texts by doc_id, so that one exchange serves them
+    named, unnamed = texts.where("doc_id is not null"), texts.where("doc_id is null")
+    follow = next_documents(named)
     by_next = follow.select(F.col("next_id"), F.col("doc_id").alias("for_id"), "need")
     borrowed = (
-        texts.join(by_next, texts["doc_id"] == by_next["next_id"])
+        named.join(by_next, named["doc_id"] == by_next["next_id"])
         .select("for_id", F.substring("text", F.lit(1), F.col("need")).alias("prefix"), "next_id")
         .groupBy("for_id", "next_id")
         .agg(F.min("prefix").alias("prefix"))
     )
-    joined = texts.join(borrowed, texts["doc_id"] == borrowed["for_id"], "left")
+    joined = named.join(borrowed, named["doc_id"] == borrowed["for_id"], "left").select("doc_id", "next_id", "text", "prefix")
+    none = F.lit(None)
+    alone = unnamed.select("doc_id", none.cast("long").alias("next_id"), "text", none.cast("string").alias("prefix"))
+    joined = alone.unionByName(joined)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(
