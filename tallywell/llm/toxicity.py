@@ -134,20 +134,20 @@ def label_model(votes: np.ndarray, marks: np.ndarray, rounds: int = 15) -> np.nd
     marks. Correlations of the voters within the classes, estimated from the same posteriors, weigh
     down voters that repeat each other, each group of repeaters counting about as one.
     """
-    fired = np.column_stack([votes > 0, marks > 0]).astype(float)
-    posterior = np.where(marks > 0, 0.95, 0.05)
+    fired = np.column_stack([votes > 0, marks > 0]).astype(np.float32)
+    posterior = np.where(marks > 0, 0.95, 0.05).astype(np.float32)
     for _ in range(rounds):
         prior = float(np.clip(posterior.mean(), 1e-3, 1 - 1e-3))
         rate1 = (posterior @ fired + 0.5) / (posterior.sum() + 1)
         rate0 = ((1 - posterior) @ fired + 0.5) / ((1 - posterior).sum() + 1)
-        expected = np.outer(posterior, rate1) + np.outer(1 - posterior, rate0)
-        residual = fired - expected
-        residual /= np.sqrt((residual**2).mean(0)) + 1e-9
+        residual = fired - np.outer(posterior, rate1 - rate0) - rate0
+        residual /= np.sqrt(np.einsum("ij,ij->j", residual, residual) / len(fired)) + 1e-6
         correlation = np.clip(residual.T @ residual / len(fired), 0, 1)
         weight = 1 / (correlation**2).sum(0).clip(1)
-        evidence = fired * np.log(rate1 / rate0) + (1 - fired) * np.log((1 - rate1) / (1 - rate0))
-        logit = np.log(prior / (1 - prior)) + evidence @ weight
-        posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        absent = np.log((1 - rate1) / (1 - rate0))
+        evidence = fired @ (weight * (np.log(rate1 / rate0) - absent)) + weight @ absent
+        logit = np.log(prior / (1 - prior)) + evidence
+        posterior = (1 / (1 + np.exp(-np.clip(logit, -30, 30)))).astype(np.float32)
     return posterior
 
 
@@ -182,13 +182,13 @@ def train(
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [empty.votes(t) for t in batch["text"].to_pylist()]
-            yield pa.record_batch([pa.array(votes, pa.list_(pa.float64())), batch["mark"]], names=["votes", "mark"])
+            votes = [empty.votes(t).astype(np.int8) for t in batch["text"].to_pylist()]
+            yield pa.record_batch([pa.array(votes, pa.list_(pa.int8())), batch["mark"]], names=["votes", "mark"])
 
     if not entries:
         return empty
-    rows = marked.mapInArrow(vote, "votes array<double>, mark int").toArrow()
-    votes = np.array(rows["votes"].combine_chunks().values.to_numpy()).reshape(len(rows), -1)
+    rows = marked.mapInArrow(vote, "votes array<tinyint>, mark int").toArrow()
+    votes = rows["votes"].combine_chunks().values.to_numpy().reshape(len(rows), -1)
     marks = rows["mark"].to_numpy()
     weights, bias = linear_fit(votes, label_model(votes, marks))
     return Classifier(entries, weights, bias)
