@@ -1,12 +1,14 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-A word is an array of byte strings. A fold merges, one pair at a time, the leftmost adjacent pair
-of lowest rank until no pair is ranked. Ranks come from one constant: an array of small maps,
-addressed by a hash of the bytes, so that a lookup costs the same for any vocabulary.
+A word is an array of byte strings. Spark's higher-order functions fold it: one pair at a time, the
+leftmost adjacent pair of lowest rank is merged until no pair is ranked. Ranks come from one literal,
+an array of small maps addressed by a hash of the bytes, so that a lookup costs the same for any
+vocabulary.
 
-Words repeat, so the ``memo_words`` most frequent distinct words of the corpus are folded once and
-kept in a constant of the same shape, whose size the parameter bounds. Any other word is folded
-where it stands. Results do not depend on which words the memo holds; documents are never shuffled.
+Words repeat, so distinct words are folded rather than occurrences: the ``memo_words`` most frequent
+ones of the corpus once, into a broadcast table whose size the parameter bounds, and any other word
+where it stands. Results do not depend on which words the memo holds. Documents are never shuffled:
+a task splits a text and looks its words up, folds what is left, and puts the ids in their places.
 """
 
 from __future__ import annotations
@@ -14,15 +16,20 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywell.llm.common import documents, let, stage
 
-MEMO_WORDS = 131_072
+MEMO_WORDS = 1 << 19
 MEMO_MAX_CHARS = 48
 NO_RANK = 2**31 - 1
+SLICE_ROWS = 256  # documents handled at once in a task
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -164,69 +171,118 @@ def byte_chars(text: Column) -> Column:
 
 
 class BytePairEncoder:
-    """Encodes and decodes columns by a rank file and a splitting pattern.
+    """Encodes and decodes texts by a rank file and a splitting pattern. Special tokens are ordinary text.
 
-    ``encode`` gives ``array<int>``: an empty text has no ids, a null text has null. Special tokens
-    are ordinary text. ``decode`` gives the bytes as ``binary``.
+    Ids are binary: unsigned 32-bit little-endian numbers.
     """
 
     def __init__(self, ranks_path: str, pattern: str):
         ranks = read_ranks(ranks_path)
         self.pattern = pattern
         self.rank = HashedConstant({token.decode("latin-1"): rank for token, rank in ranks.items()}, "int")
-        self.memo = HashedConstant({}, "array<int>")
-        tokens = [""] * (max(ranks.values()) + 1)
+        self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            tokens[rank] = token.hex().upper()
-        self.tokens = F.split(F.lit(",".join(tokens)), ",")
-        self.ids = F.split(F.lit(",".join(i.to_bytes(4, "little").hex().upper() for i in range(len(tokens)))), ",")
+            self.tokens[rank] = token
 
-    def learn(self, texts: DataFrame, memo_words: int = MEMO_WORDS) -> BytePairEncoder:
-        """Folds the most frequent distinct words of ``texts`` once. At most ``memo_words`` rows reach the driver."""
+    def fold_words(self, words: Column) -> Column:
+        """Ids (``array<int>``) of every word of an array of words."""
+        return let(
+            self.rank.literal, lambda ranks: F.transform(words, lambda w: fold(byte_chars(w), self.rank, ranks))
+        )
+
+    def memo(self, texts: DataFrame, memo_words: int) -> dict[str, bytes]:
+        """Ids of the most frequent distinct words of ``texts``; at most ``memo_words`` rows reach the driver."""
         words = frequent_words(texts, self.pattern, memo_words)
-        ids = let(self.rank.literal, lambda ranks: fold(byte_chars(F.col("word")), self.rank, ranks))
-        folded = words.select("word", ids.alias("ids")).toArrow()
-        entries = dict(zip(folded["word"].to_pylist(), folded["ids"].to_pylist(), strict=True))
-        self.memo = HashedConstant(entries, "array<int>")
-        return self
+        folded = words.select("word", F.get(self.fold_words(F.array("word")), F.lit(0)).alias("ids")).toArrow()
+        memo: dict[str, bytes] = {}
+        for batch in folded.to_batches():
+            ids, ends = batch["ids"], batch["ids"].offsets.to_numpy() * 4
+            raw = ids.values.to_numpy().astype("<u4").tobytes()
+            memo.update(
+                (w, raw[a:b]) for w, a, b in zip(batch["word"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            )
+        return memo
+
+    def encode(self, texts: DataFrame, memo_words: int = MEMO_WORDS, decode: bool = False) -> DataFrame:
+        """``(doc_id, ids)`` of ``(doc_id, text)``; with ``decode`` also ``decoded``, from the ids."""
+        memo = texts.sparkSession.sparkContext.broadcast(self.memo(texts, memo_words))
+        pattern, decoded = self.pattern, self._decoded
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find, ids_of = regex.compile(pattern).findall, memo.value.get
+            for batch in slices(batches):
+                known, cuts, rare = [], [], []
+                for text in batch["text"].to_pylist():
+                    words = find(text)
+                    parts = list(map(ids_of, words))
+                    missing = [i for i, p in enumerate(parts) if p is None]
+                    rare.append([words[i] for i in missing])
+                    for i in missing:
+                        parts[i] = b""
+                    sizes = np.fromiter(map(len, parts), "int64", len(parts))
+                    cuts.append((np.cumsum(sizes) - sizes)[missing].astype("int32"))
+                    known.append(b"".join(parts))
+                yield pa.record_batch(
+                    [batch["doc_id"], pa.array(known, pa.binary()), pa.array(cuts, pa.list_(pa.int32())),
+                     pa.array(rare, pa.list_(pa.string()))],
+                    names=["doc_id", "known", "cuts", "rare"],
+                )
+
+        def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                out = []
+                columns = (batch[c].to_pylist() for c in ("known", "cuts", "folded"))
+                for known, cuts, folded in zip(*columns, strict=True):
+                    parts, at = [], 0
+                    for cut, ids in zip(cuts, folded, strict=True):
+                        parts += [known[at:cut], np.array(ids, "<u4").tobytes()]
+                        at = cut
+                    out.append(b"".join([*parts, known[at:]]))
+                ids = pa.record_batch([batch["doc_id"], pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                yield decoded(ids) if decode else ids
+
+        looked_up = texts.select("doc_id", "text").mapInArrow(
+            look_up, "doc_id long, known binary, cuts array<int>, rare array<string>"
+        )
+        folded = looked_up.select("doc_id", "known", "cuts", self.fold_words(F.col("rare")).alias("folded"))
+        return folded.mapInArrow(put_in, "doc_id long, ids binary" + ", decoded binary" * decode)
 
-    def encode(self, text: Column) -> Column:
-        def with_memo(memo: Column) -> Column:
-            def with_ranks(ranks: Column) -> Column:
-                return F.transform(
-                    pieces(text, self.pattern),
-                    lambda word: F.coalesce(self.memo.get(memo, word), fold(byte_chars(word), self.rank, ranks)),
-                )
+    @property
+    def _decoded(self):
+        tokens = self.tokens
 
-            return let(self.rank.literal, with_ranks)
+        def decoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """The bytes of the tokens, concatenated."""
+            texts = [
+                b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in batch["ids"].to_pylist()
+            ]
+            names = ["doc_id", "ids", "decoded"]
+            return pa.record_batch([batch["doc_id"], batch["ids"], pa.array(texts, pa.binary())], names=names)
 
-        return F.flatten(let(self.memo.literal, with_memo))
+        return decoded
 
-    def little_endian(self, ids: Column) -> Column:
-        """Ids as unsigned 32-bit little-endian bytes."""
-        return self._joined(self.ids, ids)
+    def decode(self, encoded: DataFrame) -> DataFrame:
+        """``(doc_id, ids, decoded)`` of ``(doc_id, ids)``."""
+        decoded = self._decoded
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of the tokens, concatenated; joined as hexadecimal text, which is linear in their number."""
-        return self._joined(self.tokens, ids)
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from map(decoded, slices(batches))
 
-    @staticmethod
-    def _joined(table: Column, ids: Column) -> Column:
-        return F.unhex(F.array_join(let(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), ""))
+        return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids binary, decoded binary")
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``SLICE_ROWS``, which bounds what a task holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, memo_words: int = MEMO_WORDS) -> DataFrame:
-    """``(doc_id, ids, ids_bytes, decoded)``, one row per row of ``docs``.
+    """``(doc_id, ids, decoded)``, one row per row of ``docs``.
 
     A null text counts as empty, and an empty text has no ids; repeated rows stay repeated; a null
     doc_id is kept; other columns are ignored. An empty table gives an empty result.
     """
-    texts = documents(docs)
-    encoder = BytePairEncoder(ranks_path, pattern).learn(texts, memo_words)
-    encoded = texts.select("doc_id", encoder.encode(F.col("text")).alias("ids"))
-    return encoded.select(
-        "doc_id",
-        "ids",
-        encoder.little_endian(F.col("ids")).alias("ids_bytes"),
-        encoder.decode(F.col("ids")).alias("decoded"),
-    )
+    encoder = BytePairEncoder(ranks_path, pattern)
+    return encoder.encode(documents(docs), memo_words, decode=True)
