@@ -25,8 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that ten documents or more share; ``n_chars`` is of the new text."""
-    return unpacked(lines.drop_frequent_lines(docs, LINE_DOCUMENTS), docs, "kept")
+    """Every document without the lines that ten groups or more share; ``n_chars`` is of the new text.
+
+    Documents that link by likeness, as in ``drop_near_duplicates``, are one group, so that copies
+    keep their text until that stage chooses one of them. Rows without doc_id that link with no named
+    document are one group together.
+    """
+    alike = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    groups = stage(alike.select(*lines.ROW, F.col("component_id").alias("group")), "line-groups")
+    return unpacked(lines.drop_frequent_lines(docs, LINE_DOCUMENTS, groups=groups), docs, "kept")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,9 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def drop_frequent_lines(
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, groups: DataFrame | None = None
+) -> DataFrame:
     """``(doc_id, text, row, kept, n_lines, n_dropped)``, one row per row of ``docs``; ``row`` carries its other columns.
 
     A line goes if its key has at least ``min_chars`` code points and is found in at least
@@ -26,6 +28,10 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
     or empty text is one empty line. Repeated rows stay repeated and lose the same lines; rows of one
     doc_id with different texts are edited apart. An empty table gives an empty result.
 
+    With ``groups (doc_id, digest, group)``, one row per distinct row of ``docs`` and ``digest`` the
+    ``xxhash64`` of its text, distinct groups are counted in place of doc_ids: what only the copies of
+    one text share is not frequent.
+
     Lines travel as 128-bit hashes of their keys. A hash that many documents share is summed before
     it is shuffled, and its rows meet it in a join that adaptive execution can split. Texts are
     shuffled once, to meet the positions to drop.
@@ -38,8 +44,11 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
         .select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
         "lines",
     )
+    holders = keyed.select("h1", "h2", "doc_id")
+    if groups is not None:
+        holders = keyed.join(groups, all_same(keyed, groups, ROW)).select("h1", "h2", "group")
     frequent = (
-        keyed.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_docs)
+        holders.distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_docs)
     ).select("h1", "h2")
     dropped = (
         keyed.join(frequent, ["h1", "h2"], "left_semi").groupBy(*ROW).agg(F.collect_set("pos").alias("dropped"))

@@ -50,6 +50,24 @@ def test_line_stage_equals_brute_force(spark):
     assert got == sorted(((i, kept) for i, _, _, kept in lines_brute_force(data, 10, 1)), key=repr)
 
 
+def test_a_large_group_of_copies_keeps_one_text(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+
+    def text():
+        return "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(12))
+
+    exact, near = text(), text().split("\n")
+    data = [(i, exact) for i in range(12)]
+    data += [(100 + i, "\n".join([*near[:11], f"own{i} " + near[11]])) for i in range(12)]
+    data += [(200 + i, text() + "\nRead more") for i in range(12)]
+    lines = C.drop_shared_lines(spark, frame(spark, data), SF).localCheckpoint()
+    want = {(i, t.removesuffix("\nRead more")) for i, t in data}
+    assert {(r["doc_id"], r["text"]) for r in lines.collect()} == want
+    out = {(r["doc_id"], r["text"]) for r in C.drop_near_duplicates(spark, lines, SF).collect()}
+    assert out == {(i, t) for i, t in want if i in (0, 100) or i >= 200}
+
+
 def test_one_document_of_each_group_stays(spark):
     rng = random.Random(4)
     data = pairs(rng) + [(900, "null id copy " * 10), (None, "null id copy " * 10)]
