@@ -56,7 +56,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of ``SEQUENCE`` tokens."""
+    """Pieces of all documents with their ids and places in sequences of ``SEQUENCE`` tokens."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(docs, tokenizer, public_tokenizers.PATTERN, SEQUENCE).drop("copy")
 

@@ -5,14 +5,14 @@ sequence are cut. Each partition packs its pieces by best-fit decreasing and com
 of its bin count from dual feasible functions. Where both agree the packing is optimal and done.
 Partitions with a gap keep the bins that are full and exchange the pieces of the others with each
 other and pack again. Of a certified partition only the emptiest bin takes part, since its room is
-the only loss against a packing of all pieces at once.
+the only loss against a packing of all pieces at once. The ids of the pieces stay out of the rounds and
+meet their places at the end.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import documents, stage
+from tallywell.llm.common import all_same, documents, stage
 
 SEQUENCE = 2048
 PARTITION_PIECES = 50_000
 ROUNDS = 4
 MEMO_ENTRIES = 1 << 20
-PIECE_SCHEMA = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
+PIECE = ["doc_id", "copy", "piece"]
+PLACED_SCHEMA = "doc_id long, copy long, piece int, length long"
+PIECE_SCHEMA = "doc_id long, copy long, piece int, start long, length long, ids binary"
 
 
 def tokenizer_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
@@ -60,9 +62,9 @@ def chunks(text: str) -> list[str]:
 def cut_documents(
     docs: DataFrame, tokenizer_path: str, pattern: str, size: int = SEQUENCE, end_id: int = 0
 ) -> DataFrame:
-    """Pieces ``(doc_id, copy, piece, start, length, ids_crc32)`` of every row of ``docs``.
+    """Pieces ``(doc_id, copy, piece, start, length, ids)`` of every row of ``docs``.
 
-    A document is its ids and ``end_id``. One longer than ``size`` is cut so that only its first
+    A document is its ids and ``end_id``, ``ids`` those of the piece as unsigned 32-bit integers, low byte first. One longer than ``size`` is cut so that only its first
     piece may be shorter. ``copy`` tells repeated rows apart. The same chunk of text has the same ids
     wherever it stands, so a task keeps those of the chunks it has seen, up to a bound, after which
     it begins anew.
@@ -99,11 +101,11 @@ def cut_documents(
                 starts = [0, *range(first, n, size)]
                 for k, start in enumerate(starts):
                     stop = starts[k + 1] if k + 1 < len(starts) else n
-                    row = (doc_id, copy, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]))
+                    row = (doc_id, copy, k, start, stop - start, ids[4 * start : 4 * stop])
                     for column, value in zip(rows, row, strict=True):
                         column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["doc_id", "copy", "piece", "start", "length", "ids_crc32"]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["doc_id", "copy", "piece", "start", "length", "ids"]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
 
     texts = documents(docs).withColumn("copy", F.monotonically_increasing_id())
@@ -165,7 +167,7 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return bins, offsets, np.array(fill, np.int64)
 
 
-PACKED_SCHEMA = PIECE_SCHEMA + ", bin long, offset long, part int, open boolean"
+PACKED_SCHEMA = PLACED_SCHEMA + ", bin long, offset long, part int, open boolean"
 
 
 def _pack(pieces: DataFrame, size: int, last: bool) -> DataFrame:
@@ -177,7 +179,7 @@ def _pack(pieces: DataFrame, size: int, last: bool) -> DataFrame:
         certified = len(fill) <= lower_bound(np.bincount(lengths, minlength=size + 1), size)
         with_room = fill < (min(size, fill.min() + 1) if certified else size)
         is_open = np.zeros(len(lengths), bool) if last else with_room[bins]
-        out = table.select(["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
+        out = table.select([*PIECE, "length"])
         part = table["part"].cast(pa.int32())
         for name, column in (("bin", bins), ("offset", offsets), ("part", part), ("open", is_open)):
             out = out.append_column(name, column if name == "part" else pa.array(column))
@@ -189,13 +191,15 @@ def _pack(pieces: DataFrame, size: int, last: bool) -> DataFrame:
 def pack_pieces(
     pieces: DataFrame, size: int = SEQUENCE, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS
 ) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``, in as few sequences as the rounds find.
+    """``pieces`` with ``offset`` and ``sequence_id``, in as few sequences as the rounds find.
 
+    ``(doc_id, copy, piece)`` tells pieces apart. The rounds exchange it and the lengths only; other
+    columns, such as ids, are exchanged once, to meet the places.
     Pieces are dealt at random to partitions of about ``partition_pieces``, so every partition holds
     a like mixture of lengths and a hot document's pieces are spread. Each round repacks only what the
     round before left in bins with room, in fewer partitions; the last round settles the rest.
     """
-    placed, left = None, pieces
+    placed, left = None, pieces.select(*PIECE, "length")
     for turn in range(rounds):
         n = left.count()
         parts = max(1, -(-n // partition_pieces))
@@ -214,16 +218,20 @@ def pack_pieces(
         .bitwiseOR(F.shiftleft(F.col("place.part").cast("long"), 26))
         .bitwiseOR(F.col("place.bin"))
     )
-    return placed.select("*", sequence.alias("sequence_id")).drop("place")
+    places = placed.select(*PIECE, "offset", sequence.alias("sequence_id"))
+    return pieces.join(places, all_same(pieces, places, PIECE)).select(pieces["*"], "offset", "sequence_id")
 
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, pattern: str, size: int = SEQUENCE, end_id: int = 0,
     partition_pieces: int = PARTITION_PIECES,
 ) -> DataFrame:
-    """``(doc_id, copy, piece, start, length, ids_crc32, offset, sequence_id)``, one row per piece.
+    """``(doc_id, copy, piece, start, length, ids, ids_crc32, offset, sequence_id)``, one row per piece.
 
+    A sequence is the ``ids`` of its pieces joined by ``offset``; ``ids_crc32`` is their checksum.
     A null text is empty: its one piece is the end token. Repeated rows are packed each; a null
     doc_id is kept; other columns are ignored. An empty table gives an empty result.
     """
-    return pack_pieces(stage(cut_documents(docs, tokenizer_path, pattern, size, end_id), "pieces"), size, partition_pieces)
+    pieces = stage(cut_documents(docs, tokenizer_path, pattern, size, end_id), "pieces")
+    packed = pack_pieces(pieces, size, partition_pieces)
+    return packed.select(*pieces.columns, F.crc32("ids").alias("ids_crc32"), "offset", "sequence_id")

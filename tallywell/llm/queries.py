@@ -77,7 +77,9 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         size=2048,
         end_id=0,
     )
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
 
 
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:

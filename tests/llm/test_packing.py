@@ -52,6 +52,23 @@ def test_pieces_and_places(spark, size, partition):
     assert len({(r["doc_id"], r["copy"], r["piece"]) for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("partition", [10_000, 40])
+def test_sequences_join_to_the_documents(spark, partition):
+    rng = random.Random(9)
+    data = pairs(rng) + [(400 + i, "word " * rng.randrange(0, 70)) for i in range(60)]
+    rows = K.pack_documents(frame(spark, data), JSON, P.PATTERN, 64, 0, partition).collect()
+    sequences = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        sequences[r["sequence_id"]] = sequences.get(r["sequence_id"], []) + np.frombuffer(r["ids"], "<u4").tolist()
+    found = {}
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        ids = sequences[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        found[r["doc_id"], r["copy"]] = found.get((r["doc_id"], r["copy"]), []) + ids
+    coder = Tokenizer.from_file(JSON)
+    want = [(i, coder.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in data]
+    assert sorted(((i, ids) for (i, _), ids in found.items()), key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(spark):
     assert K.pack_documents(frame(spark, EMPTY), JSON, P.PATTERN).count() == 0
 
