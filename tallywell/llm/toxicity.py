@@ -81,17 +81,19 @@ class Classifier:
 
 
 def marked_sample(docs: DataFrame, labels: DataFrame, max_marked: int) -> DataFrame:
-    """``(text, mark)`` of marked rows outside the held-out fold, at most ``max_marked``, chosen by a hash of doc_id."""
+    """``(text, mark)`` of marked rows of ``docs`` outside the held-out fold, at most ``max_marked``, chosen by a hash of doc_id."""
+    texts = documents(docs)
+    known = texts.select(F.col("doc_id").alias("_id"))
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("mark"))
         .where("mark in (0, 1) and _id is not null")
         .where(fold_of(F.col("_id")) != 0)
+        .join(known, "_id", "left_semi")
         .groupBy("_id")
         .agg(F.max("mark").alias("mark"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_marked)
     )
-    texts = documents(docs)
     return stage(texts.join(marks, texts["doc_id"] == marks["_id"]).select("text", "mark").limit(2 * max_marked), "marked")
 
 

@@ -50,6 +50,15 @@ def test_held_out_marks_teach_nothing(spark):
     assert all(a[k]["score"] == b[k]["score"] for k in a)
 
 
+def test_marks_of_absent_documents_take_no_place(spark):
+    rows = planted(random.Random(6), 60)
+    labels = [(i, mark) for i, _, _, mark in rows] + [(i, 1) for i in range(1000, 4000)]
+    docs, marks = frame(spark, [(i, t) for i, t, _, _ in rows]), spark.createDataFrame(labels, "doc_id long, toxic int")
+    taught = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, *_ in rows)
+    assert T.marked_sample(docs, marks, 60).count() == taught
+    assert T.marked_sample(docs, marks, 20).count() == 20
+
+
 def test_without_marks_or_rows(spark):
     rows = planted(random.Random(3), 30)
     assert {r["predicted"] for r in scores(spark, rows, []).values()} == {0}
