@@ -138,10 +138,11 @@ def read_quarantine(spark: SparkSession, root: str, dataset: str) -> DataFrame:
 
 
 def dedupe_stream(stream: DataFrame, message_id: str, ts: str, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keeps the first delivery of each message id under ``path``, however late it comes.
+    """Keeps the first delivery of each message id and day under ``path``, however late it comes.
 
     A redelivery has its message's time, so each batch is compared with the stored messages of its own
-    days only. A batch that runs again replaces what it wrote.
+    days only, and an id on two days is two messages, whatever the batch borders. Rows without an id
+    are all kept. A batch that runs again replaces what it wrote.
     """
     spark = stream.sparkSession
     stored_as = stream.withColumn("_day", F.to_date(ts)).schema
@@ -149,13 +150,17 @@ def dedupe_stream(stream: DataFrame, message_id: str, ts: str, path: str, checkp
     empty.write.mode("ignore").partitionBy("_batch", "_day").parquet(path)
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        first = latest_per_key(batch, [message_id], [F.asc(ts)]).withColumn("_day", F.to_date(ts))
+        dated = batch.withColumn("_day", F.to_date(ts))
+        named = dated.where(F.col(message_id).isNotNull())
+        first = latest_per_key(named, [message_id, "_day"], [F.asc(ts)])
         days = first.select(F.col("_day").alias("_touched")).distinct()
         stored = _stored(spark, path, stream.schema).where(F.col("_batch") != epoch)
         known = stored.join(days, stored["_day"].eqNullSafe(days["_touched"]), "left_semi")
-        known = known.select(F.col(message_id).alias("_known"))
-        fresh = first.join(known, first[message_id] == known["_known"], "left_anti")
-        out = fresh.withColumn("_batch", F.lit(epoch).cast("bigint")).write.mode("overwrite")
+        known = known.select(F.col(message_id).alias("_known"), F.col("_day").alias("_known_day"))
+        is_known = (first[message_id] == known["_known"]) & first["_day"].eqNullSafe(known["_known_day"])
+        fresh = first.join(known, is_known, "left_anti")
+        kept = fresh.unionByName(dated.where(F.col(message_id).isNull()))
+        out = kept.withColumn("_batch", F.lit(epoch).cast("bigint")).write.mode("overwrite")
         out.option("partitionOverwriteMode", "dynamic").partitionBy("_batch", "_day").parquet(path)
 
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)

@@ -64,6 +64,25 @@ def test_stream_drops_redeliveries_and_keeps_late_first_deliveries(spark, tmp_pa
     assert deliver(("older", -3 * 24 * 60, "")) == ["a", "b", "late", "older"]
 
 
+def test_dedupe_does_not_depend_on_batch_borders(spark, tmp_path):
+    day = 24 * 60
+    data = [("a", 5, ""), ("a", 5 + day, ""), (None, 9, ""), ("b", day, ""), ("a", 5, ""), (None, 9, ""), ("b", 0, "")]
+    results = []
+    for name, split in (("one", [7]), ("two", [3, 4]), ("each", [1] * 7)):
+        landing, out, left = str(tmp_path / name / "landing"), str(tmp_path / name / "out"), data
+        for n in split:
+            timed = batch(spark, *left[:n]).withColumn("ts", F.col("ts").cast("timestamp"))
+            timed.coalesce(1).write.mode("append").parquet(landing)
+            left = left[n:]
+            stream = spark.readStream.schema(timed.schema).parquet(landing)
+            writer = dedupe_stream(stream, "id", "ts", out, str(tmp_path / name / "checkpoint"))
+            writer.trigger(availableNow=True).start().awaitTermination()
+        results.append(rows(read_deduped(spark, out, timed.schema), "id", "ts"))
+    kept = batch(spark, *data[:4], *data[5:]).withColumn("ts", F.col("ts").cast("timestamp"))
+    want = rows(kept, "id", "ts")
+    assert results == [want] * 3
+
+
 def test_batch_borders_make_no_difference(spark, tmp_path):
     data = [("a", 5, "x"), ("a", 70, "y"), ("a", 5, "z"), ("b", 65, "x")]
     results = []
