@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import bpe, jaccard, lines, packing, resampling, simhash, suffixes, toxicity, vectors, warc
+from tallywell.llm import bpe, jaccard, lines, packing, resampling, sentencepieces, simhash, suffixes, toxicity, vectors, warc
 from tallywell.llm.common import table
 
 
@@ -91,6 +91,19 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepieces.encode_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "agreed",
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": _op1,
     "op2_warc": _op2,
@@ -102,6 +115,7 @@ QUERIES = {
     "op8_best_fit_packing": _op8,
     "op9_line_dedup": _op9,
     "op10_vector_graph": _op10,
+    "op13_sentencepiece": _op13,
 }
 
 ORACLES: dict[str, str] = {
