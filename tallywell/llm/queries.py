@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import bpe, jaccard, lines, packing, resampling, sentencepieces, simhash, suffixes, toxicity, vectors, warc
+from tallywell.llm import bpe, jaccard, lexical, lines, negatives, packing, resampling, sentencepieces, simhash, suffixes, toxicity, vectors, warc
 from tallywell.llm.common import table
 
 
@@ -91,6 +91,18 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), every=50, n_positives=5, n_negatives=3, low=50, high=95, label=label
+    )
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepieces.encode_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
@@ -115,6 +127,8 @@ QUERIES = {
     "op8_best_fit_packing": _op8,
     "op9_line_dedup": _op9,
     "op10_vector_graph": _op10,
+    "op11_lexical_search": _op11,
+    "op12_hard_negatives": _op12,
     "op13_sentencepiece": _op13,
 }
 
@@ -150,4 +164,53 @@ ORACLES: dict[str, str] = {
                case when page_id = first_id then 'response' else 'revisit' end as record_type,
                case when page_id = first_id then null else first_id end as refers_to
         from digests""",
+    "op12_hard_negatives": """
+        with vecs as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256 * cast(x as double))) as vec
+            from embeddings
+            where label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+                   cast(list_inner_product(a.vec, b.vec) as bigint) as score
+            from vecs a join vecs b on a.vec_id <> b.vec_id
+            where a.vec_id % 50 = 0),
+        positives as (
+            select anchor_id, other_id as positive_id, score as positive_score
+            from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+        select p.anchor_id, positive_id,
+               cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as int) as rank,
+               other_id as negative_id, positive_score, score as negative_score
+        from positives p join scored s on p.anchor_id = s.anchor_id
+        where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+        qualify rank <= 3""",
+    "op11_lexical_search": r"""
+        with found as (
+            select doc_id as id, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from documents),
+        counts as (select id, term, count(*) as tf from found group by all),
+        lengths as (select id, cast(sum(tf) as bigint) as n from counts group by id),
+        sizes as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from lengths),
+        normalisers as (select id, 75 + (25 * n * n_docs) // n_terms as m from lengths, sizes),
+        weights as (
+            select term, cast(floor(1000 * ln((2.0 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w
+            from counts, sizes group by term, n_docs),
+        asked as (
+            select item_id, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from benchmark),
+        wanted as (select item_id, term, count(*) as times from asked group by all),
+        scored as (
+            select item_id, id as doc_id,
+                   cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+            from wanted join weights using (term) join counts using (term) join normalisers using (id)
+            group by item_id, id)
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+        from scored where score > 0
+        qualify rank <= 20""",
 }

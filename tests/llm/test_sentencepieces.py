@@ -17,7 +17,7 @@ AGENDA = sentencepieces.Agenda(LIBRARY)
 
 
 def ids_of(text):
-    return [i for w in AGENDA.words(sentencepieces.normalised(text)) for i in AGENDA.encode(w)]
+    return [i for w in AGENDA.words(text) for i in AGENDA.encode(w)]
 
 
 @settings(max_examples=300, deadline=None)
@@ -28,9 +28,16 @@ def test_agenda_equals_the_library(text):
 
 def test_equal_scores_merge_leftmost_first():
     agenda = sentencepieces.Agenda(LIBRARY)
-    agenda.scores = {"aa": 0.0}
-    agenda.ids = {"aa": 5, "a": 6}
-    assert agenda.encode("aaaaa") == [5, 5, 6]
+    agenda.costs = {"aa": 0.0}
+    agenda.ids = {"aa": 5, "a": 6, sentencepieces.SPACE: 7}
+    assert agenda.encode("aaaaa") == [7, 5, 5, 6]
+    assert agenda.encode("a" * 101) == [7, *[5] * 50, 6]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("▁aethinrs.,\n"), min_size=1, max_size=40))
+def test_both_agendas_agree(word):
+    assert AGENDA._few(word) == AGENDA._many(word)
 
 
 def test_runs_without_a_border_of_words():
@@ -70,6 +77,19 @@ def test_whole_table(spark):
     assert all(r["agreed"] for r in rows)
 
 
+def test_check_finds_a_word_encoded_differently():
+    for words in ([" ".join(["cat", "dog"])], ["one\ntwo\n\nthree"], ["a  b"]):
+        memo = sentencepieces.Memo(AGENDA, 100)
+        parts = [p for w in words for p in AGENDA.words(w)]
+        for p in parts:
+            memo[p]
+        memo.check(LIBRARY)
+        assert not memo.differ and not memo.met
+    memo["wrong"], memo.met = b"\1\0\0\0", ["wrong"]
+    memo.check(LIBRARY)
+    assert memo.differ == {"wrong"}
+
+
 def test_other_normalisers_are_refused():
     class Other:
         def normalize(self, text):
