@@ -51,6 +51,8 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # a cut may fall within a character, whose rest then shows as a replacement character
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
