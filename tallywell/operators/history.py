@@ -7,7 +7,7 @@ the state that crosses a chunk border is exact.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +25,29 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def latest_snapshot(df: DataFrame, date_col: str) -> DataFrame:
-    """Rows of the greatest ``date_col``; a partition column is pruned by the scalar subquery."""
-    newest = df.select(F.max(date_col)).scalar()
-    return df.where(F.col(date_col) == newest)
+def latest_snapshot(df: DataFrame, date_col: str, newest: date | None = None) -> DataFrame:
+    """Rows of the greatest ``date_col``.
+
+    A caller that knows the ``newest`` date, from the folders or the ledger, spares the scan that
+    finds it and lets the plan list one partition.
+    """
+    at = df.select(F.max(date_col)).scalar() if newest is None else F.lit(newest)
+    return df.where(F.col(date_col) == at)
+
+
+def extend_scd2(
+    known: DataFrame, snapshots: DataFrame, key: str, date_col: str, tracked: list[str], since: date
+) -> DataFrame:
+    """``scd2`` of a whole history, from ``known``, its result so far, and the snapshots from ``since`` on.
+
+    Runs that ended before ``since`` stay as they are. A run that was open then goes on as a snapshot
+    of its first day, so only the snapshots from ``since`` on are read.
+    """
+    ended = F.coalesce(F.col("valid_to") < F.lit(since), F.lit(False))
+    known = known.where(F.col("valid_from") < F.lit(since))
+    carried = known.where(~ended).select(key, F.col("valid_from").alias(date_col), *tracked)
+    fresh = snapshots.where(F.col(date_col) >= F.lit(since)).select(key, date_col, *tracked)
+    return known.where(ended).unionByName(scd2(carried.unionByName(fresh), key, date_col, tracked))
 
 
 class NotYetCreated(ValueError):
@@ -79,13 +98,50 @@ def snapshots_over(
     Adds ``_window_start`` and ``_window_end``. Only a key's last version inside each window can be
     seen at a window end, so versions shrink to one per (key, window) before they are chained.
     """
-    keys = [key] if isinstance(key, str) else key
-    step = W.grain_interval(grain)
-    first_end, last_end = W.instant_lit(start) + step, W.instant_lit(end)
+    first_end = W.instant_lit(start) + W.grain_interval(grain)
     first = history.select(F.min(F.col(commit_ts).cast("timestamp")).alias("t"))
     if first.where(F.col("t") > first_end).take(1):
         raise NotYetCreated(f"window {W.to_utc(start):%Y-%m-%dT%H:%M} ends before the first commit")
+    return _chained(history, key, commit_ts, start, end, grain, tie_break, removed)
 
+
+def carried_snapshots(
+    stored: DataFrame,
+    history: DataFrame,
+    key: str | list[str],
+    commit_ts: str,
+    start: datetime,
+    end: datetime,
+    grain: str = W.DAY,
+    tie_break: list[str] | None = None,
+    removed: str | None = None,
+) -> DataFrame:
+    """``snapshots_over`` of ``[start, end)`` from ``stored``, the state at ``start``, and later versions only.
+
+    ``stored`` has the columns of a snapshot; those it lacks are null in rows that are carried on. The
+    lower bound on ``commit_ts`` is on the stored column, so it reaches the scan. A version committed
+    at or before ``start`` that turns up later is not seen: commit times must not be set back.
+    """
+    naive = dict(history.dtypes)[commit_ts] == "timestamp_ntz"
+    at = (W.naive_lit if naive else W.instant_lit)(start)
+    later = history.where(F.col(commit_ts) > at)
+    known = stored if commit_ts in stored.columns else stored.withColumn(commit_ts, at)
+    if removed is not None:
+        known = known.withColumn(removed, F.lit(False).cast(dict(history.dtypes)[removed]))
+    # Rows that are carried on take the types of the history, which ``conform`` narrows at the end.
+    types = dict(history.dtypes)
+    known = known.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in known.columns if c in types])
+    versions = later.unionByName(known, allowMissingColumns=True)
+    return _chained(versions, key, commit_ts, start, end, grain, tie_break, removed)
+
+
+def _chained(
+    history: DataFrame, key: str | list[str], commit_ts: str, start: datetime, end: datetime, grain: str,
+    tie_break: list[str] | None, removed: str | None,
+) -> DataFrame:
+    keys = [key] if isinstance(key, str) else key
+    step = W.grain_interval(grain)
+    first_end, last_end = W.instant_lit(start) + step, W.instant_lit(end)
     ts = F.col(commit_ts).cast("timestamp")
     floor = W.window_start(ts, grain)
     seen = F.when(ts == floor, floor).otherwise(floor + step)

@@ -63,7 +63,8 @@ def _domain(model: str, df: DataFrame, column: str, values: list[str], severity:
     return RowRule(f"{model}.accepted_values.{column}", df, ~F.col(column).isin(values), severity)
 
 
-def staging_checks(stg: dict[str, DataFrame]) -> list[Check]:
+def staging_checks(stg: dict[str, DataFrame], issues: DataFrame | None = None) -> list[Check]:
+    """``issues`` are all issues ever seen, if the snapshots at hand do not hold them all."""
     events, snapshots, history = stg["stg_events"], stg["stg_issue_snapshots"], stg["stg_issue_history"]
     return [
         *_keyed("stg_events", events, "event_id"),
@@ -81,7 +82,9 @@ def staging_checks(stg: dict[str, DataFrame]) -> list[Check]:
         *_keyed_parts("stg_label_snapshots", stg["stg_label_snapshots"], "issue_id", "label", "snapshot_date"),
         Assertion(
             "events_issue_id_exists",
-            A.relationships_before(events, "issue_id", "created_at", snapshots, "issue_id"),
+            A.relationships_before(
+                events, "issue_id", "created_at", snapshots if issues is None else issues, "issue_id"
+            ),
         ),
     ]
 

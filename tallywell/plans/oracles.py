@@ -178,6 +178,62 @@ ORACLES: dict[str, str] = {
              arg_max(event_type, (ts, event_id)) as event_type
       from (select unnest(range(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day)) as d), events
       where ts <= d + interval 1 day group by all having arg_max(event_type, (ts, event_id)) <> 'error'""",
+    "carried_snapshots": """
+      select user_id, d as window_start, arg_max(event_id, (ts, event_id)) as event_id,
+             arg_max(event_type, (ts, event_id)) as event_type
+      from (select unnest(range(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day)) as d), events
+      where ts <= d + interval 1 day group by all having arg_max(event_type, (ts, event_id)) <> 'error'""",
+    "compaction": """
+      with stored as (select *, hour(ts) < 6 and ts < timestamp '2024-01-10' as late from events)
+      select event_id, ts, event_type, case when late then timestamp '2024-02-02' else timestamp '2024-02-01' end as _extracted_at,
+             'raw/app/events/dt=' || strftime(ts, '%Y-%m-%d') || '/hh=' || strftime(ts, '%H') || '.parquet' as _source_file,
+             ts::date as dt, hour(ts) as hh, true as fewer_files
+      from stored where not (late and event_type = 'error')""",
+    "ledger_checkpoint": """
+      select h as window_start, count(event_id) as n_rows, true as few_files
+      from (select unnest(range(timestamp '2024-01-01', timestamp '2024-01-13', interval 1 hour)) as h)
+      left join events on date_trunc('hour', ts) = h group by 1""",
+    "partition_restore": """
+      select event_id, user_id,
+             case when ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-15' then timestamp '2024-02-02'
+                  else timestamp '2024-02-01' end as _extracted_at,
+             'raw/app/events/dt=' || strftime(ts, '%Y-%m-%d') || '/hh=' || strftime(ts, '%H') || '.parquet' as _source_file
+      from events where ts < timestamp '2024-01-31'""",
+    "mart_swap": """
+      select event_type, count(*) as n_events, ts::date as dt, 'lost' as second_build from events group by all""",
+    "incremental_run": """
+      with e as (
+        select *, timezone('UTC', timezone('Australia/Sydney', ts)) as utc_at from events
+        where ts < timestamp '2024-01-30 23:00:00'),
+      commits as (select * from events where ts < timestamp '2024-01-30 12:00:00'),
+      daily as (
+        select user_id, d, arg_max(event_type, ts) as status
+        from (select unnest(range(timestamp '2024-01-02', timestamp '2024-02-01', interval 1 day)) as d), events
+        where ts <= d group by user_id, d),
+      changes as (
+        select status is distinct from lag(status) over (partition by user_id order by d) as opens from daily),
+      dim as (select user_id, bool_or(ts = last and event_type = 'purchase') as closed, max(last) as last
+              from (select *, max(ts) over (partition by user_id) as last from events where ts <= timestamp '2024-01-31')
+              group by user_id),
+      hours as (
+        select date_trunc('hour', utc_at) as h, user_id % 7 as actor from e
+        union
+        select date_trunc('hour', ts), user_id % 7 from commits),
+      found as (
+        select 'dim_issues' as mart, null::date as dt, count(*) as n from dim
+        union all select 'dim_issues_scd2', null, count(*) from changes where opens
+        union all select 'fct_issue_events', ts::date, count(*) from e group by 2
+        union all
+        select 'mart_daily_throughput', dt, cast(sum(n) as bigint) from (
+          select timezone('Australia/Sydney', timezone('UTC', timestamp '2023-12-31' + to_minutes(user_id)))::date as dt, 0 as n from dim
+          union all
+          select timezone('Australia/Sydney', timezone('UTC', last))::date, 0 from dim where closed
+          union all
+          select ts::date, 1 from e) group by dt
+        union all
+        select 'mart_actor_activity_hourly', timezone('Australia/Sydney', timezone('UTC', h))::date, count(*) from hours group by 2
+        union all select 'mart_issue_mention_drift', null, count(*) from dim where user_id >= 2)
+      select *, true as same_as_rebuild from found""",
     "as_of_too_early": """
       select o_orderstatus, count(*) as n_orders, 'no commit at or before 1900-01-01 00:00:00 UTC' as message
       from orders group by 1""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -18,10 +19,13 @@ from tallywell.operators import oplog as O
 from tallywell.operators import windows as W
 from tallywell.plans import adapters as AD
 from tallywell.plans import build, marts, staging
+from tallywell.plans import incremental as INC
 from tallywell.session import apply_defaults, shared_dir
+from tallywell.sources import compaction as CP
 from tallywell.sources import mart_files, raw_layer as R
 from tallywell.sources.declarations import EVENT_LOG, SNAPSHOT, Source, Table, tracker_source
 from tallywell.sources.extract import conform, event_log_between
+from tallywell.sources.files import delete_dir
 from tallywell.streaming import refresh as ST
 from tallywell.streaming.refresh import dedupe_stream, landing_stream, read_deduped, refresh_stream
 
@@ -160,6 +164,20 @@ def daily_snapshots_with_removals(spark, events):
     return days.select("user_id", F.col("_window_start").alias("window_start"), "event_id", "event_type")
 
 
+@query("events")
+def carried_snapshots(spark, events):
+    """The first half of the month from the whole history, the second half from the state stored by the first."""
+    root, middle = shared_dir(spark, "carried"), datetime(2024, 1, 16)
+    flagged = events.withColumn("gone", F.col("event_type") == "error")
+    table = replace(APP.table("users"), removed_col="gone")
+    source = Source("app", timedelta(minutes=15), (table,))
+    for lo, hi in ((FIRST_DAY, middle), (middle, LAST_DAY)):
+        build.ingest(spark, source, lambda name: flagged, lambda t, b=(lo, hi): b, root, EXTRACTED, carry=True)
+    return R.read_raw(spark, root, R.RAW, "app/users", table.schema, W.DAY).select(
+        "user_id", F.col("_window_start").alias("window_start"), "event_id", "event_type"
+    )
+
+
 @query("orders")
 def as_of_too_early(spark, orders):
     """What a reader is told who asks for a state before the first commit, for each status."""
@@ -252,6 +270,61 @@ def raw_schema_union(spark, events):
     return R.read_raw(spark, root, R.RAW, "app/grown").select("event_id", "ts", "value", "dt")
 
 
+@query("events")
+def compaction(spark, events):
+    """Days before the 20th joined, then a late rewrite of all morning hours before the 10th, and joined again."""
+    root = shared_dir(spark, "compaction")
+    _write_events(spark, events, root, EXTRACTED)
+    before = _n_files(spark, root)
+    for _ in range(2):
+        CP.compact(spark, root, R.RAW, "app/events", _ddl(events), datetime(2024, 1, 20).date(), ("event_id",))
+        CP.drop_joined_hours(spark, root, R.RAW, "app/events", timedelta(0))
+        late = events.where("hour(ts) < 6 and event_type <> 'error'")
+        spine = W.spine(spark, FIRST_DAY, datetime(2024, 1, 10), W.HOUR).where("hour(window_start) < 6")
+        rows = W.assign_window(late.where("ts < timestamp_ntz'2024-01-10'"), "ts", W.HOUR)
+        R.write_windows(rows, root, R.RAW, "app/events", W.HOUR, spine, EXTRACTED_AGAIN, ("event_id",))
+    CP.compact(spark, root, R.RAW, "app/events", _ddl(events), datetime(2024, 1, 12).date(), ("event_id",))
+    CP.drop_joined_hours(spark, root, R.RAW, "app/events", timedelta(0))
+    fewer = 2 * _n_files(spark, root) < before
+    stored = R.read_raw(spark, root, R.RAW, "app/events", schema=_ddl(events), grain=W.HOUR)
+    return stored.select(
+        "event_id", "ts", "event_type", "_extracted_at", "_source_file", "dt", F.col("hh").cast("bigint").alias("hh"),
+        F.lit(fewer).alias("fewer_files"),
+    )
+
+
+def _n_files(spark, root: str) -> int:
+    return CP.layout(spark, root, R.RAW, "app/events").agg(F.sum("n_files")).first()[0]
+
+
+@query("events")
+def ledger_checkpoint(spark, events):
+    """A write per day, the ledger joined after every fourth: its records, and whether its files stay few."""
+    root = shared_dir(spark, "ledger_checkpoint")
+    for day in range(12):
+        lo = FIRST_DAY + timedelta(days=day)
+        rows = W.assign_window(event_log_between(events, "ts", lo, lo + timedelta(days=1)), "ts", W.HOUR)
+        R.write_windows(rows, root, R.RAW, "app/events", W.HOUR, W.spine(spark, lo, lo + timedelta(days=1), W.HOUR), EXTRACTED)
+        R.checkpoint_ledger(spark, root, at_least=4)
+    few = len(R.appended_files(spark, root)) < 8
+    return R.read_ledger(spark, root).select("window_start", F.col("rows").alias("n_rows"), F.lit(few).alias("few_files"))
+
+
+@query("events")
+def partition_restore(spark, events):
+    """All partitions of five days are lost and one backfill of these days brings them back."""
+    root = shared_dir(spark, "partition_restore")
+    reader = lambda name: events
+    source = Source("app", timedelta(minutes=15), APP.tables[:1])
+    build.backfill(spark, source, reader, FIRST_DAY, datetime(2024, 1, 30), root, extracted_at=EXTRACTED)
+    for day in range(10, 15):
+        delete_dir(spark, f"{R.dataset_path(root, R.RAW, 'app/events')}/dt=2024-01-{day}")
+    build.backfill(spark, source, reader, datetime(2024, 1, 10), datetime(2024, 1, 14), root, extracted_at=EXTRACTED_AGAIN)
+    return R.read_raw(spark, root, R.RAW, "app/events", APP.tables[0].schema, W.HOUR).select(
+        "event_id", "user_id", "_extracted_at", "_source_file"
+    )
+
+
 APP = Source(
     "app",
     timedelta(minutes=15),
@@ -316,6 +389,33 @@ def tracker_build(spark, events, conversations):
     return reduce(DataFrame.unionAll, counts).unionAll(passed.select(F.lit("passed assertions").alias("mart"), "n_rows"))
 
 
+@query("events", "conversations")
+def incremental_run(spark, events, conversations):
+    """A month built up to its 29th day, then one pass and the build of what it touched, beside a whole rebuild."""
+    root, source = shared_dir(spark, "incremental"), tracker_source()
+    tables = AD.tracker_tables(events, conversations)
+    first, second = datetime(2024, 1, 29, 12, 30), datetime(2024, 1, 30, 11, 30)
+
+    def known(name):
+        """What the source held at the first pass; the events' clock is eleven hours ahead."""
+        column = source.table(name).time_col
+        return tables[name].where(F.col(column) < W.naive_lit(first + timedelta(hours=11 * (name == "events"))))
+
+    bounds = lambda t: W.range_bounds(FIRST_DAY - timedelta(days=t.name == "events"), datetime(2024, 1, 28))
+    build.ingest(spark, source, known, bounds, root, extracted_at=first - timedelta(minutes=15))
+    INC.run(spark, source, known, first, root)
+    _, result = INC.run(spark, source, tables.__getitem__, second, root)
+    whole = build.build_marts(spark, source, root, second).marts
+    parts = []
+    for name, df in result.marts.items():
+        same = A.content_diff(df, whole[name]).agg(F.count(F.lit(1)) == 0).scalar()
+        n = F.sum("events") if name == "mart_daily_throughput" else F.count(F.lit(1))
+        dt = F.col("dt") if "dt" in df.columns else F.lit(None).cast("date")
+        counts = df.groupBy(dt.alias("dt")).agg(n.alias("n"))
+        parts.append(counts.select(F.lit(name).alias("mart"), "dt", "n", same.alias("same_as_rebuild")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("orders")
 def gate_failure(spark, orders):
     """What the gate says of a failing assertion."""
@@ -563,6 +663,22 @@ def mart_rebuild(spark, events):
     return spark.sql("select event_type, n_events, dt from m")
 
 
+@query("events")
+def mart_swap(spark, events):
+    """A mart whose second build fails in its last tasks: the first build stays, to the row."""
+    root = shared_dir(spark, "mart_swap")
+    per_day = events.groupBy(F.col("ts").cast("date").alias("dt"), "event_type").agg(F.count(F.lit(1)).alias("n_events"))
+    mart_files.write_mart(per_day, root, "m", "dt")
+    lost = F.raise_error(F.lit("lost")).cast("bigint")
+    broken = per_day.withColumn("n_events", F.when(F.col("event_type") == "purchase", lost).otherwise(0))
+    try:
+        mart_files.write_mart(broken, root, "m", "dt")
+        message = "written"
+    except Exception as e:  # noqa: BLE001 - whatever the engine makes of the error
+        message = "lost" if "lost" in str(e) else "another error"
+    return mart_files.read_mart(spark, root, "m").select("event_type", "n_events", "dt", F.lit(message).alias("second_build"))
+
+
 # Mentions
 
 

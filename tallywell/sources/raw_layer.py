@@ -1,21 +1,24 @@
 """The replayable raw layer: one partition per table and window, overwritten whole on a re-run.
 
 ``<root>/<zone>/<dataset>/dt=YYYY-MM-DD[/hh=HH]`` is a pure function of the window. The ledger at
-``<root>/ledger`` records every attempted window, quiet ones with zero rows.
+``<root>/ledger`` records every attempted window, quiet ones with zero rows. Days that ``compaction``
+has joined are listed in a manifest, which says for each day and hour where it is stored now.
 """
 
 from __future__ import annotations
 
 import re
 import time
-import uuid
-from datetime import datetime
+from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywell.operators import windows as W
+from tallywell.sources import manifest as MF
+from tallywell.sources.files import delete_dir, ensure_dir, names_in, storage_clock
 
 RAW, DERIVED = "raw", "derived"
 PROVENANCE = ("_extracted_at", "_window_start", "_window_end", "_source_file")
@@ -26,6 +29,8 @@ LEDGER_SCHEMA = (
     "extracted_at timestamp, duration_seconds double"
 )
 LEDGER_PARTITIONS = ("zone", "source", "table")
+LEDGER_FILES = 256  # appended files from which they are joined into a checkpoint
+MOST_PARTITIONS = 2000  # shuffle partitions of a write, however many windows it has
 
 _SEGMENT = re.compile(r"[a-z0-9_]+")
 
@@ -88,30 +93,6 @@ def partition_schema(grain: str) -> str:
     return "dt date, hh int" if grain == W.HOUR else "dt date"
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def ensure_dir(spark: SparkSession, path: str) -> None:
-    fs, p = _hadoop_path(spark, path)
-    fs.mkdirs(p)
-
-
-def delete_dir(spark: SparkSession, path: str) -> None:
-    fs, p = _hadoop_path(spark, path)
-    fs.delete(p, True)
-
-
-def storage_clock(spark: SparkSession, path: str) -> int:
-    """The storage's own time in milliseconds, read off a marker file."""
-    fs, p = _hadoop_path(spark, f"{path}/_clock-{uuid.uuid4().hex}")
-    fs.create(p, True).close()
-    millis = fs.getFileStatus(p).getModificationTime()
-    fs.delete(p, False)
-    return millis
-
-
 def write_windows(
     df: DataFrame,
     root: str,
@@ -130,8 +111,8 @@ def write_windows(
     ledger rows of this write. The rebalance hint gives each window one task unless it is large,
     when adaptive execution splits it, so a hot window does not meet in one task.
 
-    Windows that now have no rows lose their old partition, after the write has succeeded. Old files
-    show by their extraction time or, on a re-run of the same extraction, by their age.
+    Windows that now have no rows lose their old partition, after the write has succeeded and is in
+    the ledger. Old files show by their age on the storage's own clock.
     """
     spark = df.sparkSession
     began = time.monotonic()
@@ -155,10 +136,10 @@ def write_windows(
     lo, hi, n_windows = bounds.select(
         F.to_date("lo"), F.to_date(F.col("hi") - F.expr("interval 1 microsecond")), "n"
     ).first()
-    # One shuffle partition per window, so that only a large window is ever split; small ones are coalesced.
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_windows)
+    # A shuffle partition per window while they are few, so that only a large window is ever split.
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        stamped.hint("rebalance", partitions, *parts)
+        stamped.hint("rebalance", max(usual, min(n_windows, MOST_PARTITIONS)), *parts)
         .sortWithinPartitions(*parts, *sort_key)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -166,60 +147,68 @@ def write_windows(
         .parquet(path)
     )
 
-    # Read back what is stored for the planned windows: two columns, one driver row per window.
-    stored = (
-        spark.read.schema(f"{PROVENANCE_SCHEMA}, {partition_schema(grain)}")
-        .parquet(path)
-        .where(F.col("dt").between(lo, hi))
+    stored = stored_windows(spark, path, grain, lo, hi, started).persist()
+    try:
+        wanted = spine.select("window_start")
+        stale = stored.where(~F.col("fresh")).join(wanted, "window_start", "left_semi").select("dt", "hh").collect()
+        source, _, table = dataset.partition("/")
+        per_window = stored.where("fresh").select("window_start", "n", "size")
+        records = spine.join(per_window, "window_start", "left").select(
+            F.coalesce("n", F.lit(0)).alias("rows"),
+            F.coalesce("size", F.lit(0)).alias("bytes"),
+            "grain",
+            "window_start",
+            "window_end",
+        )
+        written = append_ledger(
+            records,
+            root,
+            run_id=run_id or f"{dataset}@{W.to_utc(extracted_at):%Y-%m-%dT%H:%M:%S.%f}",
+            source=source,
+            table=table or dataset,
+            zone=zone,
+            attempt=attempt,
+            error=None,
+            extracted_at=extracted_at,
+            duration_seconds=time.monotonic() - began,
+        )
+    finally:
+        stored.unpersist()
+    for row in stale:
+        delete_dir(spark, f"{path}/dt={row['dt']}" + (f"/hh={row['hh']:02d}" if grain == W.HOUR else ""))
+    if grain == W.HOUR:
+        reopen(spark, root, zone, dataset, spine)
+    return written
+
+
+def stored_windows(spark: SparkSession, path: str, grain: str, lo: date, hi: date, since: int) -> DataFrame:
+    """Rows and bytes of each stored window of the days ``lo`` to ``hi``, by whether its files are newer than ``since``.
+
+    Only those days are listed, and the scan has no column: rows are counted from the files' footers.
+    """
+    schema = "window_start timestamp, dt date, hh int, fresh boolean, n bigint, size bigint"
+    days = [n for n in sorted(names_in(spark, path)) if f"dt={lo}" <= n <= f"dt={hi}"]
+    if not days:
+        return spark.createDataFrame([], schema)
+    start = F.col("dt").cast("timestamp")
+    if grain == W.HOUR:
+        start = start + F.make_interval(hours=F.col("hh"))
+    return (
+        spark.read.schema(partition_schema(grain))
+        .option("basePath", path)
+        .parquet(*[f"{path}/{d}" for d in days])
         .select(
-            F.col("_window_start").alias("window_start"),
-            (
-                (F.col("_extracted_at") == W.instant_lit(extracted_at))
-                & (F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(started)))
-            ).alias("fresh"),
+            "dt",
+            (F.col("hh") if grain == W.HOUR else F.lit(None).cast("int")).alias("hh"),
+            (F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(since))).alias("fresh"),
             "_metadata.file_path",
             "_metadata.file_size",
         )
-        .groupBy("window_start", "fresh", "file_path")
+        .groupBy("dt", "hh", "fresh", "file_path")
         .agg(F.count(F.lit(1)).alias("n"), F.max("file_size").alias("size"))
-        .groupBy("window_start", "fresh")
+        .groupBy("dt", "hh", "fresh")
         .agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-        .join(spine, "window_start", "left_semi")
-        .select(
-            F.date_format("window_start", "yyyy-MM-dd").alias("dt"),
-            F.date_format("window_start", "HH").alias("hh"),
-            F.unix_micros("window_start").alias("micros"),
-            "fresh",
-            "n",
-            "size",
-        )
-        .collect()
-    )
-    for row in stored:
-        if not row["fresh"]:
-            delete_dir(spark, f"{path}/dt={row['dt']}" + (f"/hh={row['hh']}" if "hh" in parts else ""))
-    per_window = spark.createDataFrame(
-        [(r["micros"], r["n"], r["size"]) for r in stored if r["fresh"]], "micros bigint, n bigint, size bigint"
-    ).select(F.timestamp_micros("micros").alias("window_start"), "n", "size")
-    source, _, table = dataset.partition("/")
-    rows = spine.join(per_window, "window_start", "left").select(
-        F.coalesce("n", F.lit(0)).alias("rows"),
-        F.coalesce("size", F.lit(0)).alias("bytes"),
-        "grain",
-        "window_start",
-        "window_end",
-    )
-    return append_ledger(
-        rows,
-        root,
-        run_id=run_id or f"{dataset}@{W.to_utc(extracted_at):%Y-%m-%dT%H:%M:%S.%f}",
-        source=source,
-        table=table or dataset,
-        zone=zone,
-        attempt=attempt,
-        error=None,
-        extracted_at=extracted_at,
-        duration_seconds=time.monotonic() - began,
+        .select(start.alias("window_start"), "dt", "hh", "fresh", "n", "size")
     )
 
 
@@ -260,16 +249,111 @@ def append_ledger(
         *[constants.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in fields]
     )
     # A folder per table: tables append side by side, and two appends must not share one folder.
-    record.write.mode("append").parquet(f"{ledger_path(root)}/zone={zone}/source={source}/table={table}")
+    record.coalesce(1).write.mode("append").parquet(f"{ledger_path(root)}/zone={zone}/source={source}/table={table}")
     return read_ledger(spark, root).where(
         (F.col("run_id") == run_id) & (F.col("table") == table) & (F.col("attempt") == attempt)
     )
 
 
+def appended_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths, below the ledger's folder, of the files that writes have appended."""
+    base = ledger_path(root)
+    found, open_ = [], ["zone=", "source=", "table=", "part-"]
+
+    def walk(path: str, depth: int) -> None:
+        for name in sorted(names_in(spark, path)):
+            if name.startswith(open_[depth]):
+                inner = f"{path}/{name}"
+                found.append(inner.removeprefix(f"{base}/")) if depth == 3 else walk(inner, depth + 1)
+
+    walk(base, 0)
+    return found
+
+
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    ensure_dir(spark, ledger_path(root))
-    stored = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path(root))
-    return stored.select(*T.StructType.fromDDL(LEDGER_SCHEMA).fieldNames())
+    """The last checkpoint and all that was appended since."""
+    names = T.StructType.fromDDL(LEDGER_SCHEMA).fieldNames()
+    base = ledger_path(root)
+    known = MF.current(spark, f"{base}/checkpoint")
+    gone = set(known.notes.get("absorbed", []))
+    files = [f"{base}/{f}" for f in appended_files(spark, root) if f not in gone]
+    sides = [MF.read(spark, f"{base}/checkpoint", known, T.StructType.fromDDL(LEDGER_SCHEMA))] if known.parts else []
+    if files or not sides:
+        reader = spark.read.schema(LEDGER_SCHEMA).option("basePath", base)
+        sides.append(reader.parquet(*files) if files else spark.createDataFrame([], LEDGER_SCHEMA))
+    return reduce(DataFrame.unionByName, [d.select(*names) for d in sides])
+
+
+def checkpoint_ledger(spark: SparkSession, root: str, at_least: int = LEDGER_FILES) -> bool:
+    """Join the ledger's small files into a checkpoint once there are ``at_least``; true if it was done.
+
+    A file that a checkpoint has absorbed is named in its manifest, so it counts once, and is removed
+    by the checkpoint after, when no reader can still be planning with it. The number of files stays
+    below twice ``at_least`` plus the writes under way.
+    """
+    base = ledger_path(root)
+    known = MF.current(spark, f"{base}/checkpoint")
+    absorbed = set(known.notes.get("absorbed", []))
+    fresh = [f for f in appended_files(spark, root) if f not in absorbed]
+    if len(fresh) < max(1, at_least):
+        return False
+    names = T.StructType.fromDDL(LEDGER_SCHEMA).fieldNames()
+    added = spark.read.schema(LEDGER_SCHEMA).option("basePath", base).parquet(*[f"{base}/{f}" for f in fresh])
+    sides = [added.select(*names)]
+    if known.parts:
+        sides.append(MF.read(spark, f"{base}/checkpoint", known, T.StructType.fromDDL(LEDGER_SCHEMA)))
+    version = MF.new_version()
+    whole = reduce(DataFrame.unionByName, sides).hint("rebalance")
+    whole.write.parquet(MF.version_path(f"{base}/checkpoint", version))
+    MF.commit(spark, f"{base}/checkpoint", known, {"": version}, notes={"absorbed": fresh})
+    for f in absorbed:
+        delete_dir(spark, f"{base}/{f}")
+    MF.sweep(spark, f"{base}/checkpoint")
+    return True
+
+
+def compacted_path(root: str, zone: str, dataset: str) -> str:
+    return f"{root.rstrip('/')}/compacted/{zone}/{check_dataset(zone, dataset)}"
+
+
+def reopened_hours(known: MF.Manifest) -> list[tuple[str, int]]:
+    """``(day, hour)`` of hours written after their day was compacted."""
+    return [(day, hour) for day, hours in known.notes.get("reopened", {}).items() for hour in hours]
+
+
+def _is_one_of(hours: list[tuple[str, int]]) -> Column:
+    if not hours:
+        return F.lit(False)
+    return F.concat_ws(" ", F.date_format("dt", "yyyy-MM-dd"), F.col("hh").cast("string")).isin(
+        [f"{day} {hour}" for day, hour in hours]
+    )
+
+
+def reopen(spark: SparkSession, root: str, zone: str, dataset: str, spine: DataFrame) -> None:
+    """Read the hours of ``spine`` from their own partitions again, whatever a compacted day holds for them.
+
+    The manifest changes once, after the hours are written, so readers see all of them or none.
+    """
+    base = compacted_path(root, zone, dataset)
+    known = MF.current(spark, base)
+    if not known.parts:
+        return
+    days = [part.removeprefix("dt=") for part in known.parts]
+    day = F.date_format("window_start", "yyyy-MM-dd")
+    hours = spine.select(day.alias("day"), F.hour("window_start").alias("hour")).where(F.col("day").isin(days)).collect()
+    if hours:
+        open_ = {d: set(h) for d, h in known.notes.get("reopened", {}).items()}
+        for row in hours:
+            open_.setdefault(row["day"], set()).add(row["hour"])
+        notes = {**known.notes, "reopened": {d: sorted(h) for d, h in open_.items()}}
+        MF.commit(spark, base, known, known.parts, known.schema, notes)
+
+
+def newest_day(spark: SparkSession, root: str, zone: str, dataset: str) -> date | None:
+    """The last day that has rows, from the folders alone; windows without rows have none."""
+    known = MF.current(spark, compacted_path(root, zone, dataset))
+    names = {n for n in names_in(spark, dataset_path(root, zone, dataset)) if n.startswith("dt=2")} | set(known.parts)
+    return date.fromisoformat(max(names).removeprefix("dt=")) if names else None
 
 
 def read_raw(
@@ -278,11 +362,30 @@ def read_raw(
     """All windows of a dataset, united by column name; ``dt`` is the partition date.
 
     With a declared ``schema`` of the data columns no file is opened to plan the scan, and a column
-    an old file lacks reads as NULL. Without one the file schemas are merged.
+    an old file lacks reads as NULL. Without one the file schemas are merged. A compacted day is read
+    from its joined files, but for hours written since.
     """
     path = dataset_path(root, zone, dataset)
-    if schema is None:
-        return spark.read.option("mergeSchema", True).parquet(path)
-    ensure_dir(spark, path)
-    full = f"{schema}, {PROVENANCE_SCHEMA}, {partition_schema(grain or W.DAY)}"
-    return spark.read.schema(full).parquet(path)
+    base = compacted_path(root, zone, dataset)
+    known = MF.current(spark, base)
+    full = None if schema is None else f"{schema}, {PROVENANCE_SCHEMA}, {partition_schema(grain or W.DAY)}"
+
+    def reader():
+        return spark.read.option("mergeSchema", True) if full is None else spark.read.schema(full)
+
+    if full is not None:
+        ensure_dir(spark, path)
+    if not known.parts:
+        return reader().parquet(path)
+    open_hours = _is_one_of(reopened_hours(known))
+    days = [part.removeprefix("dt=") for part in known.parts]
+    joined = reader().option("basePath", base).parquet(
+        *[f"{MF.version_path(base, v)}/{part}" for part, v in sorted(known.parts.items())]
+    )
+    joined = joined.drop(MF.VERSION).where(~open_hours)
+    by_hour = names_in(spark, path)
+    if not any(n.startswith("dt=") for n in by_hour):
+        return joined
+    live = reader().parquet(path)
+    live = live.where(~F.date_format("dt", "yyyy-MM-dd").isin(days) | open_hours)
+    return live.unionByName(joined.select(*[c for c in live.columns if c in joined.columns]), allowMissingColumns=True)
