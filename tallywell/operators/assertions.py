@@ -239,6 +239,9 @@ def gate(results: DataFrame) -> DataFrame:
     return results
 
 
+COPIES_AT_ONCE = 1 << 16
+
+
 def content_diff(a: DataFrame, b: DataFrame, ignore: Iterable[str] = ("_extracted_at",)) -> DataFrame:
     """Rows of one side missing from the other, duplicates counted; zero rows means same content.
 
@@ -252,8 +255,14 @@ def content_diff(a: DataFrame, b: DataFrame, ignore: Iterable[str] = ("_extracte
     signed = a.select(*cols, F.lit(1).alias("_sign")).unionByName(b.select(*cols, F.lit(-1).alias("_sign")))
     left = signed.groupBy(*cols).agg(F.sum("_sign").alias("_n")).where("_n <> 0")
     side = F.when(F.col("_n") > 0, "left_only").otherwise("right_only")
-    copies = F.explode(F.array_repeat(side, F.abs("_n").cast("int")))
-    return left.select(*cols, copies.alias("side"))
+    # a row's copies come from two short sequences, however many they are
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.abs("_n") - 1) / COPIES_AT_ONCE)))
+    rest = F.least(F.lit(COPIES_AT_ONCE).cast("bigint"), F.abs("_n") - F.col("_block") * COPIES_AT_ONCE)
+    return (
+        left.select(*cols, side.alias("side"), "_n", blocks.alias("_block"))
+        .select(*cols, "side", F.explode(F.sequence(F.lit(1).cast("bigint"), rest)).alias("_copy"))
+        .drop("_copy")
+    )
 
 
 def content_hash(df: DataFrame, ignore: Iterable[str] = ("_extracted_at",)) -> DataFrame:

@@ -16,7 +16,10 @@ from tallywell.functions.text import ID_BODY, WORD, id_prefix, text_or_empty
 # The scanned text fields.
 TEXT_FIELDS = ["title", "description", "design", "acceptance_criteria", "notes", "close_reason"]
 
+RUNS = f"{WORD}+|[^{WORD[1:-1]}]+"
 SALTS = 16
+SMALL_BYTES = 8 << 20  # prefixes that a task may hold
+ROW_BYTES = 32
 
 
 def read_text_fields(df: DataFrame, key: str = "issue_id", fields: list[str] = TEXT_FIELDS) -> DataFrame:
@@ -44,47 +47,47 @@ def prefixes_of(df: DataFrame, key: str = "issue_id") -> DataFrame:
 def find_mentions(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
     """One row per match ``(key, field, mentioned, copies)`` in ``texts``.
 
-    Only suffixes up to the longest prefix are looked at, and only from word borders: these are
-    picked in place, before any row is made. The join is salted on the prefix side.
+    Only suffixes up to the longest prefix are looked at, and only from word borders, which are the ends
+    of runs of word characters. Prefixes of a proven small size go to the texts; any others meet the
+    candidates in a join, salted on the prefix side.
     """
-    longest = prefixes.select(F.coalesce(F.max(F.length("prefix")), F.lit(0))).first()[0]
+    longest, size = prefixes.select(
+        F.coalesce(F.max(F.length("prefix")), F.lit(0)),
+        F.coalesce(F.sum(F.octet_length("prefix") + ROW_BYTES), F.lit(0)),
+    ).first()
     segments = F.split("text", "-")
-
-    def is_word(left: Column, position: Column) -> Column:
-        inside = F.substring(left, position + 1, F.lit(1)).rlike(WORD)
-        return F.when(position >= 0, inside).otherwise(False)
-
-    def borders(left: Column) -> Column:
-        size = F.length(left)
-        places = F.sequence(F.greatest(size - longest, F.lit(0)), F.greatest(size - 1, F.lit(0)))
-        return F.filter(places, lambda i: (i < size) & (is_word(left, i) != is_word(left, i - 1)))
-
     around = F.zip_with(
         F.slice(segments, F.lit(1), F.size(segments) - 1),
         F.slice(segments, F.lit(2), F.size(segments) - 1),
-        lambda left, right: F.struct(left.alias("left"), F.regexp_extract(right, f"^{ID_BODY}", 0).alias("body")),
+        lambda left, right: F.struct(
+            # one character more than the longest prefix shows whether a border is before it
+            F.right(left, F.lit(longest + 1)).alias("tail"),
+            F.length(left).alias("size"),
+            F.regexp_extract(right, f"^{ID_BODY}", 0).alias("body"),
+        ),
     )
     dashes = (
         texts.where(F.instr("text", "-") > 0)
-        .select(key, "field", F.sha2("text", 256).alias("_text_id"), around.alias("_around"))
-        .select(key, "field", "_text_id", F.posexplode("_around").alias("_dash", "_p"))
-        .select(key, "field", "_text_id", "_dash", F.col("_p.left").alias("left"), F.col("_p.body").alias("body"))
-        .where((F.col("left") != "") & (F.col("body") != ""))
+        .select(key, "field", F.unhex(F.sha2("text", 256)).alias("_text_id"), F.posexplode(around).alias("_dash", "_p"))
+        .where("_p.size > 0 and _p.body <> ''")
+        .select(key, "field", "_text_id", "_dash", "_p.*", F.regexp_extract_all("_p.tail", F.lit(RUNS), F.lit(0)).alias("runs"))
     )
-    starts = dashes.withColumn("_start", F.explode(borders(F.col("left"))))
-    candidates = starts.select(
-        key,
-        "field",
-        "_text_id",
-        "_dash",
-        "_start",
-        F.expr("substring(left, _start + 1)").alias("prefix"),
-        "body",
-        F.pmod(F.xxhash64("_text_id", "_dash"), F.lit(SALTS)).alias("_salt"),
+    starts_a_word = (F.col("size") <= longest) & F.get("runs", F.lit(0)).rlike(WORD)
+    first = F.when(starts_a_word, 1).otherwise(2)
+    suffixes = F.transform(
+        F.filter(F.sequence(F.lit(1), F.size("runs")), lambda k: k >= first),
+        lambda k: F.array_join(F.slice("runs", k, F.size("runs")), ""),
     )
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    salted = prefixes.select("prefix", F.explode(salts).alias("_salt"))
-    known = candidates.join(salted, ["prefix", "_salt"], "left_semi")
+    candidates = dashes.select(
+        key, "field", "_text_id", "_dash", "size", "body", F.explode(suffixes).alias("prefix")
+    ).withColumn("_start", F.col("size") - F.length("prefix"))
+    if size <= SMALL_BYTES:
+        known = candidates.join(F.broadcast(prefixes), "prefix", "left_semi")
+    else:
+        salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+        salted = prefixes.select("prefix", F.explode(salts).alias("_salt"))
+        salt = F.pmod(F.xxhash64("_text_id", "_dash"), F.lit(SALTS))
+        known = candidates.withColumn("_salt", salt).join(salted, ["prefix", "_salt"], "left_semi")
     # Equal texts of one key give equal candidates; the count carries how often the text occurs.
     per_match = known.groupBy(key, "field", "_text_id", "_dash", "_start", "prefix", "body").agg(
         F.count(F.lit(1)).alias("copies")
@@ -101,35 +104,23 @@ def find_mentions(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
         )
     )
     # Left to right: one match per dash, and none that starts inside the body of the match before.
-    rejected = F.aggregate(
+    match = "struct<_dash:int,_start:int,used:int,mentioned:string,copies:bigint>"
+    nothing = F.expr(f"named_struct('dash', -2, 'used', 0, 'kept', cast(array() as array<{match}>))")
+    kept = F.aggregate(
         "_matches",
-        F.expr(
-            "named_struct('dash', -2, 'used', 0, 'rejected', cast(array() as array<struct<d:int,s:int>>))"
-        ),
+        nothing,
         lambda acc, m: F.when(
-            (m["_dash"] == acc["dash"]) | ((m["_dash"] == acc["dash"] + 1) & (m["_start"] < acc["used"])),
-            F.struct(
-                acc["dash"].alias("dash"),
-                acc["used"].alias("used"),
-                F.array_append(
-                    acc["rejected"], F.struct(m["_dash"].alias("d"), m["_start"].alias("s"))
-                ).alias("rejected"),
-            ),
+            (m["_dash"] == acc["dash"]) | ((m["_dash"] == acc["dash"] + 1) & (m["_start"] < acc["used"])), acc
         ).otherwise(
-            F.struct(m["_dash"].alias("dash"), m["used"].alias("used"), acc["rejected"].alias("rejected"))
-        ),
-        lambda acc: acc["rejected"],
-    )
-    kept = F.filter(
-        "_matches",
-        lambda m: ~F.array_contains(
-            F.col("_rejected"), F.struct(m["_dash"].alias("d"), m["_start"].alias("s"))
+            F.struct(
+                m["_dash"].alias("dash"), m["used"].alias("used"), F.array_append(acc["kept"], m).alias("kept")
+            )
         ),
+        lambda acc: acc["kept"],
     )
     return (
         per_match.groupBy(key, "field", "_text_id")
         .agg(ordered.alias("_matches"))
-        .withColumn("_rejected", rejected)
         .select(key, "field", F.explode(kept).alias("_m"))
         .select(key, "field", "_m.mentioned", "_m.copies")
     )

@@ -178,6 +178,30 @@ ORACLES: dict[str, str] = {
              arg_max(event_type, (ts, event_id)) as event_type
       from (select unnest(range(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day)) as d), events
       where ts <= d + interval 1 day group by all having arg_max(event_type, (ts, event_id)) <> 'error'""",
+    "database_windows": """
+      select event_id, ts, user_id, event_type from events
+      where ts >= timestamp '2024-01-10 11:00:00' and ts < timestamp '2024-01-20 11:00:00'""",
+    "current_value_changes": """
+      select o_orderkey, change, old_custkey, new_custkey, o_orderstatus as status, date '2024-01-02' as dt
+      from (
+        select o_orderkey, o_orderstatus,
+               case when o_orderkey % 10 <> 0 then o_custkey end as old_custkey,
+               case when o_orderkey % 10 <> 1 then o_custkey + case when o_orderkey % 7 = 0 then 1 else 0 end end as new_custkey,
+               case when o_orderkey % 10 = 0 then 'inserted' when o_orderkey % 10 = 1 then 'removed'
+                    when o_orderkey % 7 = 0 then 'changed' end as change
+        from orders)
+      where change is not null""",
+    "late_queue": """
+      with touched as (select distinct date_trunc('hour', ts) as h from events
+                       where event_type = 'click' and ts < timestamp '2024-01-20')
+      select event_id, event_type, date_trunc('hour', ts) as _window_start,
+             case when h is null then timestamp '2024-02-01' else timestamp '2024-02-02' end as _extracted_at,
+             0 as left_in_queue
+      from events left join touched on h = date_trunc('hour', ts) where event_type <> 'click' or h is not null""",
+    "duration_quantiles": """
+      select event_type as step, case when user_id % 2 = 0 then 'success' else 'failure' end as outcome, count(value) as n,
+             q as quantile, true as within_error
+      from events, (select unnest([0.5::double, 0.9::double, 0.99::double]) as q) group by all""",
     "carried_snapshots": """
       select user_id, d as window_start, arg_max(event_id, (ts, event_id)) as event_id,
              arg_max(event_type, (ts, event_id)) as event_type

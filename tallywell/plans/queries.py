@@ -19,13 +19,16 @@ from tallywell.operators import oplog as O
 from tallywell.operators import windows as W
 from tallywell.plans import adapters as AD
 from tallywell.plans import build, marts, staging
+from tallywell.plans import current as CUR
 from tallywell.plans import incremental as INC
 from tallywell.session import apply_defaults, shared_dir
 from tallywell.sources import compaction as CP
 from tallywell.sources import mart_files, raw_layer as R
-from tallywell.sources.declarations import EVENT_LOG, SNAPSHOT, Source, Table, tracker_source
+from tallywell.sources.database import Database, read_windows
+from tallywell.sources.declarations import CURRENT, EVENT_LOG, SNAPSHOT, Source, Table, tracker_source
 from tallywell.sources.extract import conform, event_log_between
 from tallywell.sources.files import delete_dir
+from tallywell.streaming import late as L
 from tallywell.streaming import refresh as ST
 from tallywell.streaming.refresh import dedupe_stream, landing_stream, read_deduped, refresh_stream
 
@@ -210,6 +213,37 @@ def conform_columns(spark, lineitem):
     )
 
 
+@query("events")
+def database_windows(spark, events):
+    """The log copied to an embedded database and read back by windows, a query per range."""
+    path = shared_dir(spark, "database").removeprefix("file:")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    database = Database(f"jdbc:derby:{path};create=true", {"fetchsize": "10000"})
+    table = Table("Event Log", W.HOUR, 24, EVENT_LOG, "ts", ("event_id",), "event_id bigint", time_zone=SYDNEY)
+    kept = events.select("event_id", "ts", "user_id", "event_type")
+    kept.repartition(4).write.jdbc(database.url, database.quoted(table.name))
+    found = read_windows(spark, database, table, datetime(2024, 1, 10), datetime(2024, 1, 20), {"ts": "DATETIME"}, parallel=16)
+    return found.select("event_id", "ts", "user_id", "event_type")
+
+
+@query("orders")
+def current_value_changes(spark, orders):
+    """Three polls of a table of current values, the last one in the window of the second."""
+    root = shared_dir(spark, "current_values")
+    table = Table("orders", W.DAY, 1, CURRENT, "", ("o_orderkey",), "o_orderkey bigint, o_custkey bigint, o_orderstatus string")
+    source = Source("shop", timedelta(hours=1), (table,))
+    first = orders.where("o_orderkey % 10 <> 0")
+    moved = orders.where("o_orderkey % 10 <> 1").withColumn(
+        "o_custkey", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    )
+    for rows, at in ((first, datetime(2024, 1, 1, 9)), (orders, datetime(2024, 1, 2, 9)), (moved, datetime(2024, 1, 2, 18))):
+        found = CUR.poll_current(spark, source, table, rows, at, root)
+    return found.select(
+        "o_orderkey", "change", F.col("old.o_custkey").alias("old_custkey"), F.col("new.o_custkey").alias("new_custkey"),
+        F.coalesce("new.o_orderstatus", "old.o_orderstatus").alias("status"), F.col("dt"),
+    )
+
+
 # Raw layer
 
 
@@ -492,6 +526,27 @@ def stream_late(spark, events):
     return read_deduped(spark, f"{root}/out", timed.schema)
 
 
+@query("events")
+def late_queue(spark, events):
+    """Clicks arrive after a pass: the windows it has left behind are queued, and a drain rebuilds just these."""
+    root = shared_dir(spark, "late_queue")
+    landing, dataset, mark = f"{root}/landing", "app/events", datetime(2024, 1, 20, 12)
+    _write_events(spark, events.where("event_type <> 'click'"), root, EXTRACTED)
+    L.mark_pass(spark, root, dataset, mark, W.HOUR, 13)
+    events.where("event_type = 'click'").repartition(4, "event_id").write.parquet(landing)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    queue = L.late_stream(stream, "ts", W.HOUR, root, dataset, f"{root}/checkpoint")
+    queue.trigger(availableNow=True).start().awaitTermination()
+    drained = [
+        L.drain(spark, lambda: events, "ts", W.HOUR, root, R.RAW, dataset, at, ("event_id",)).count()
+        for at in (EXTRACTED_AGAIN, EXTRACTED)  # the second drain finds nothing to do
+    ]
+    stored = R.read_raw(spark, root, R.RAW, dataset, schema=_ddl(events), grain=W.HOUR)
+    return stored.select(
+        "event_id", "event_type", "_window_start", "_extracted_at", F.lit(drained[1]).cast("bigint").alias("left_in_queue")
+    )
+
+
 @query("events")
 def stream_quarantine(spark, events):
     """Landed lines of errors are cut short and those of clicks lack a time: both are kept aside."""
@@ -870,6 +925,26 @@ def duration_histogram(spark, events):
     )
 
 
+@query("events")
+def duration_quantiles(spark, events):
+    """Quantiles from sketches per day, merged, and whether their ranks are within twice the stated error."""
+    steps = events.select(
+        F.col("event_type").alias("step"),
+        F.when(F.col("user_id") % 2 == 0, "success").otherwise("failure").alias("outcome"),
+        F.col("value").alias("duration_seconds"), F.col("ts").cast("date").alias("day"),
+    )
+    path = f"{shared_dir(spark, 'sketches')}/days"
+    O.duration_sketches(steps, F.col("day")).write.partitionBy("day").parquet(path)
+    found = O.sketched_quantiles(spark.read.parquet(path), [0.5, 0.9, 0.99])
+    below = F.count_if(F.col("duration_seconds") < F.col("seconds")) / F.first("n")
+    up_to = F.count_if(F.col("duration_seconds") <= F.col("seconds")) / F.first("n")
+    ranks = steps.join(found, ["step", "outcome"]).groupBy("step", "outcome", "n", "quantile").agg(
+        below.alias("below"), up_to.alias("up_to")
+    )
+    near = (F.col("below") <= F.col("quantile") + 2 * O.SKETCH_ERROR) & (F.col("up_to") >= F.col("quantile") - 2 * O.SKETCH_ERROR)
+    return ranks.select("step", "outcome", "n", "quantile", near.alias("within_error"))
+
+
 def _nodes(lineitem):
     spark = lineitem.sparkSession
     path = f"{shared_dir(spark, 'run_results')}/artefacts"
