@@ -68,7 +68,9 @@ def find_mentions(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
     )
     dashes = (
         texts.where(F.instr("text", "-") > 0)
-        .select(key, "field", F.unhex(F.sha2("text", 256)).alias("_text_id"), F.posexplode(around).alias("_dash", "_p"))
+        # in two steps, or each dash would carry and hash its whole text
+        .select(key, "field", F.unhex(F.sha2("text", 256)).alias("_text_id"), around.alias("_around"))
+        .select(key, "field", "_text_id", F.posexplode("_around").alias("_dash", "_p"))
         .where("_p.size > 0 and _p.body <> ''")
         .select(key, "field", "_text_id", "_dash", "_p.*", F.regexp_extract_all("_p.tail", F.lit(RUNS), F.lit(0)).alias("runs"))
     )
@@ -106,18 +108,29 @@ def find_mentions(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
     # Left to right: one match per dash, and none that starts inside the body of the match before.
     match = "struct<_dash:int,_start:int,used:int,mentioned:string,copies:bigint>"
     nothing = F.expr(f"named_struct('dash', -2, 'used', 0, 'kept', cast(array() as array<{match}>))")
-    kept = F.aggregate(
+
+    def clash(before: Column, dash: str, m: Column) -> Column:
+        return (m["_dash"] == before[dash]) | ((m["_dash"] == before[dash] + 1) & (m["_start"] < before["used"]))
+
+    n = F.size("_matches")
+    clashes = F.exists(
+        F.zip_with(
+            F.slice("_matches", F.lit(1), n - 1), F.slice("_matches", F.lit(2), n - 1), lambda a, b: clash(a, "_dash", b)
+        ),
+        lambda c: c,
+    )
+    folded = F.aggregate(
         "_matches",
         nothing,
-        lambda acc, m: F.when(
-            (m["_dash"] == acc["dash"]) | ((m["_dash"] == acc["dash"] + 1) & (m["_start"] < acc["used"])), acc
-        ).otherwise(
+        lambda acc, m: F.when(clash(acc, "dash", m), acc).otherwise(
             F.struct(
                 m["_dash"].alias("dash"), m["used"].alias("used"), F.array_append(acc["kept"], m).alias("kept")
             )
         ),
         lambda acc: acc["kept"],
     )
+    # most texts have no two matches that clash, and then all of them count
+    kept = F.when(clashes, folded).otherwise(F.col("_matches"))
     return (
         per_match.groupBy(key, "field", "_text_id")
         .agg(ordered.alias("_matches"))
