@@ -15,7 +15,8 @@ from tallywell.sources import raw_layer as R
 
 SF = "/root/testdata/sf0.001"
 WRITERS = ("raw_", "stream_", "content_hash", "mart_rebuild", "run_results", "build_totals", "backfill", "refresh",
-           "derived", "tracker", "assertion_results")
+           "derived", "tracker", "assertion_results", "compaction", "incremental", "carried", "ledger_checkpoint",
+           "partition_restore", "mart_swap", "database", "current_value", "late_queue", "duration_quantiles")
 PLANNED = sorted(n for n in QUERIES if not n.startswith(WRITERS))
 
 
