@@ -16,7 +16,7 @@ times are not set back, as both are for a log and for the history of a versioned
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, time, timedelta
 from functools import reduce
 from zoneinfo import ZoneInfo
@@ -32,8 +32,10 @@ from tallywell.plans import build, checks, marts
 from tallywell.session import apply_defaults
 from tallywell.sources import manifest as MF
 from tallywell.sources import raw_layer as R
-from tallywell.sources.declarations import Source
+from tallywell.sources.declarations import EVENT_LOG, Source
 from tallywell.sources.mart_files import mart_path, read_mart, sweep_marts, write_mart
+from tallywell.streaming import late as L
+from tallywell.streaming.refresh import merge_ranges
 
 ISSUE_DAYS = "idx_issue_days"
 UTC = ZoneInfo("UTC")
@@ -208,6 +210,28 @@ def first_build(
 def run(
     spark: SparkSession, source: Source, reader: build.Reader, now: datetime, root: str, **options
 ) -> tuple[DataFrame, build.BuildResult | None]:
-    """A scheduled run: lookback refresh, then the build of what it has touched."""
-    ledger = build.refresh(spark, source, reader, now, root, **{"extracted_at": now, **options})
+    """A scheduled run: lookback refresh, queued late windows, then the build of what was touched."""
+    options = {"extracted_at": now, **options}
+    ledger = build.refresh(spark, source, reader, now, root, **options)
+    drain_late(spark, source, reader, now, root, **options)
     return ledger, build_touched(spark, source, root, now)
+
+
+def drain_late(
+    spark: SparkSession, source: Source, reader: build.Reader, now: datetime, root: str, **options
+) -> dict[str, list[tuple[datetime, datetime]]]:
+    """Extract the queued late windows of every log anew and mark how far back the pass at ``now`` has looked.
+
+    Adjoining windows are one scan and one write, recorded in the ledger as part of the same run.
+    """
+    drained = {}
+    for table in (t for t in source.tables if t.shape == EVENT_LOG):
+        dataset, only = f"{source.name}/{table.name}", replace(source, tables=(table,))
+
+        def rebuild(bounds: list[tuple[datetime, datetime]], only: Source = only) -> None:
+            for span in merge_ranges(bounds):
+                build.ingest(spark, only, reader, lambda t, s=span: s, root, **options)
+
+        drained[table.name] = L.drain_with(spark, root, dataset, rebuild)
+        L.mark_pass(spark, root, dataset, now, table.grain, table.lookback)
+    return drained

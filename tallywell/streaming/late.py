@@ -83,11 +83,10 @@ def late_stream(
     ).option("checkpointLocation", checkpoint)
 
 
-def drain(
-    spark: SparkSession, source: Callable[[], DataFrame], ts: str, grain: str, root: str, zone: str, dataset: str,
-    extracted_at: datetime, key: tuple[str, ...] = (), order: list[Column] | None = None,
-) -> DataFrame:
-    """Rebuild every queued window from ``source`` and take the entries off the queue; returns the windows.
+def drain_with(
+    spark: SparkSession, root: str, dataset: str, rebuild: Callable[[list[tuple[datetime, datetime]]], object]
+) -> list[tuple[datetime, datetime]]:
+    """Give the queued windows to ``rebuild`` and take their entries off the queue; returns the windows.
 
     Entries leave the queue in one commit after the write has succeeded. A drain that fails before it
     starts over, and since a window's partition is replaced whole, it counts once all the same. An
@@ -96,13 +95,25 @@ def drain(
     base = queue_path(root, dataset)
     windows, entries = queued(spark, root, dataset)
     naive = windows.select(*[F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")])
-    bounds = [(W.to_utc(s), W.to_utc(e)) for s, e in naive.collect()]  # one driver row per late window
+    bounds = sorted((W.to_utc(s), W.to_utc(e)) for s, e in naive.collect())  # one driver row per late window
     if bounds:
-        rebuild_windows(source(), bounds, ts, grain, root, zone, dataset, extracted_at, key, order)
+        rebuild(bounds)
     if entries:
         known, present = MF.current(spark, base), _entries(spark, base)
         drained = {n: at for n, at in known.notes.get("drained", {}).items() if n in present}
         MF.commit(spark, base, known, {}, notes={**known.notes, "drained": drained | entries})
         for n in entries:
             files.delete_dir(spark, f"{base}/batches/{n}")
-    return spark.createDataFrame([(grain, *b) for b in sorted(bounds)], QUEUED)
+    return bounds
+
+
+def drain(
+    spark: SparkSession, source: Callable[[], DataFrame], ts: str, grain: str, root: str, zone: str, dataset: str,
+    extracted_at: datetime, key: tuple[str, ...] = (), order: list[Column] | None = None,
+) -> DataFrame:
+    """Rebuild every queued window from ``source``, whose ``ts`` is naive UTC or an instant; returns the windows."""
+
+    def rebuild(bounds: list[tuple[datetime, datetime]]) -> None:
+        rebuild_windows(source(), bounds, ts, grain, root, zone, dataset, extracted_at, key, order)
+
+    return spark.createDataFrame([(grain, *b) for b in drain_with(spark, root, dataset, rebuild)], QUEUED)

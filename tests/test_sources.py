@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helpers import rows
 from tallywell.operators import changes, oplog
 from tallywell.operators import windows as W
-from tallywell.plans import current
+from tallywell.plans import build, current, incremental
 from tallywell.sources import database as D
 from tallywell.sources import raw_layer as R
 from tallywell.sources.declarations import CURRENT, EVENT_LOG, SNAPSHOT, Source, Table
@@ -119,6 +119,23 @@ def test_late_queue_drains_once(spark, root):
     assert drain() == 1
 
 
+def test_a_pass_drains_the_queue_in_the_clock_of_the_table(spark, root):
+    table = Table("log", W.HOUR, 4, EVENT_LOG, "at", ("n",), "n int, at timestamp_ntz", time_zone="Australia/Sydney")
+    source = Source("app", timedelta(hours=1), (table,))
+    rows_ = [(h, DAY + timedelta(hours=10 + h)) for h in range(30)]  # ten hours ahead of UTC
+    log = spark.createDataFrame(rows_, "n int, at timestamp_ntz")
+    now = DAY + timedelta(hours=29, minutes=5)
+    build.ingest(spark, source, lambda t: log.where("n % 2 = 0"), lambda t: (DAY, DAY + timedelta(hours=30)), root, DAY)
+    assert incremental.drain_late(spark, source, lambda t: log, now, root) == {"log": []}
+    late = log.where("n in (3, 4, 9, 28)").withColumn("at", F.to_utc_timestamp("at", "Australia/Sydney"))
+    L.enqueue(late, 0, "at", W.HOUR, root, "app/log")
+    found = incremental.drain_late(spark, source, lambda t: log, now, root, extracted_at=now)
+    assert [w[0] for w in found["log"]] == [W.to_utc(DAY + timedelta(hours=h)) for h in (3, 4, 9)]
+    stored = R.read_raw(spark, root, R.RAW, "app/log", table.schema, W.HOUR)
+    assert sorted(r["n"] for r in stored.collect()) == sorted([*range(0, 30, 2), 3, 9])
+    assert incremental.drain_late(spark, source, lambda t: log, now, root) == {"log": []}
+
+
 def test_sketches_merge_over_days(spark):
     steps = spark.range(20_000).select(
         F.lit("s").alias("step"), F.lit("ok").alias("outcome"), (F.hash("id") % 10_000).cast("double").alias("duration_seconds"),
