@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from tallywell.session import shared_dir
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,10 +22,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the cluster's shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if _made.get() is not None:
+        _made.get().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(build, spark: SparkSession, name: str) -> DataFrame:
+    """``build()`` staged; the tables that it staged on the way are deleted once that is written.
+
+    A build that fails leaves its tables, as a build that is retried makes its own.
+    """
+    token = _made.set([])
+    try:
+        result, made = build(), _made.get()
+    finally:
+        _made.reset(token)
+    result = stage(result, name)
+    delete(spark, made)
+    return result
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Folders of staged tables deleted through Hadoop's file system; nobody may read them any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Only ``(doc_id, text)``; a null text is empty. Columns of other names never reach an operator.
 

@@ -11,26 +11,29 @@ sets link when ``intersection / union >= percent / 100``.
 3. Sets with the same size and prefix are one group. Groups meet on a shingle, under the size and
    position filters and a signature: 256 parity bits of a set, of which no more can differ between two
    sets than shingles do. A group adds how far its members' bits lie from its first member's.
-4. Each group's members are verified against the group's first member. Then, a few times over, one
-   of the group pairs of each group that still lies between two components is verified. At last the
-   members of all pairs whose components still differ are expanded and verified. What is one
-   component already is never expanded, so a large group of near copies does not become all its pairs.
+4. Each group's members are verified against the group's first member. Then, twice over, each group is
+   verified against one head of the buckets of its shingles: one row per entry, never a bucket's pairs.
+5. Of each group what is one component by now is a part. Only parts of different components meet on a
+   shingle, and never two of the component that has most of its entries. One pair of each part is
+   verified first; the members of pairs still apart are expanded, filtered by their own bits, and
+   verified. A large group of near copies that link does not become all its pairs.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import all_same, documents, stage
+from tallywell.llm.common import all_same, documents, settled, stage
 from tallywell.llm.components import components
 from tallywell.llm.simhash import shingle_hashes
 
 NODE = ["doc_id", "digest"]
 GROUP = ["n", "g1", "g2"]
-TRIES = 3
+TRIES = 2
 WORDS = range(4)  # of the parity bits
 
 
@@ -92,32 +95,98 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     ).where(F.size("prefix") > 0).join(_parity(tokens), "id")
 
 
-def _group_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of group centres that the filters leave, each pair once: ``(long, short)``."""
-    bits = [f"b{w}" for w in WORDS]
-    entries = groups.select(F.col("centre").alias("id"), "n", "radius", *bits, F.explode("prefix").alias("p")).select(
-        "id", "n", "radius", *bits, "p.token", "p.pos"
-    )
-    long_side = entries.select(
-        F.col("id").alias("long"), F.col("n").alias("n1"), F.col("pos").alias("p1"), "token",
-        F.col("radius").alias("r1"), *[F.col(b).alias(f"l{b}") for b in bits],
+def _entries(rows: DataFrame, percent: int) -> DataFrame:
+    """One row per shingle of each long prefix: its position, whether the short prefix holds it, a band of sizes."""
+    n = F.col("n")
+    band = F.floor(F.log(n) / -math.log(percent / 100)) if percent < 100 else n
+    return rows.select("*", band.cast("int").alias("band"), F.explode("prefix").alias("p")).select(
+        *[c for c in rows.columns if c != "prefix"], "band", "p.token", "p.pos",
+        (F.col("p.pos") <= n - least_overlap(2 * n, percent) + 1).alias("short"),
     )
-    short_prefix = F.col("n") - least_overlap(2 * F.col("n"), percent) + 1
-    short_side = entries.where(F.col("pos") <= short_prefix).select(
-        F.col("id").alias("short"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("token").alias("t2"),
-        F.col("radius").alias("r2"), *[F.col(b).alias(f"s{b}") for b in bits],
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of their id, which is the id itself where it has no link yet."""
+    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels of the components that ``links (a, b)`` make of the components so far."""
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))
+    return stage(components(links), "labels")
+
+
+def _head_pairs(entries: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For each centre the most alike head among those of its shingles' buckets: ``(a, b)``.
+
+    A bucket is one shingle and one band of sizes; its head is first in an order that all buckets
+    share. Each entry meets one head, so the rows are as many as the entries, however large a bucket.
+    """
+    bits = [f"b{w}" for w in WORDS]
+    rows = _labelled(entries, labels)
+    first = F.min_by(F.struct("id", "n", "label", *bits), F.xxhash64(F.lit(turn), "id")).alias("h")
+    heads = rows.groupBy("token", "band").agg(first).select(
+        "token", "band", F.col("h.id").alias("head"), F.col("h.n").alias("hn"), F.col("h.label").alias("hl"),
+        *[F.col(f"h.{b}").alias(f"h{b}") for b in bits],
     )
-    n1, n2 = F.col("n1"), F.col("n2")
-    bound = 1 + F.least(n1 - F.col("p1"), n2 - F.col("p2"))
-    met = long_side.join(
-        short_side,
-        (F.col("token") == F.col("t2"))
-        & ((n2 < n1) | ((n2 == n1) & (F.col("long") < F.col("short"))))
-        & (n2 * 100 >= n1 * percent)
-        & (bound >= least_overlap(n1 + n2, percent))
-        & (_apart("lb", "sb") <= n1 + n2 - 2 * least_overlap(n1 + n2, percent) + F.col("r1") + F.col("r2")),
+    n, hn, apart = F.col("n"), F.col("hn"), _apart("b", "hb")
+    met = rows.join(heads, ["token", "band"]).where(
+        (F.col("label") != F.col("hl"))
+        & (F.least(n, hn) * 100 >= F.greatest(n, hn) * percent)
+        & (apart <= n + hn - 2 * least_overlap(n + hn, percent))
     )
-    return met.select("long", "short").distinct()
+    return met.groupBy(F.col("id").alias("a")).agg(F.min_by("head", F.struct(apart, "head")).alias("b"))
+
+
+def _parts(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of a group that are one component already, as one part, and which part each member is in.
+
+    A part goes by its first member and adds how far its members' bits lie from that one's.
+    """
+    bits = [f"b{w}" for w in WORDS]
+    rows = stage(_labelled(groups, labels), "labelled")
+    firsts = rows.groupBy("centre", "label").agg(
+        F.min(F.struct("id", *bits)).alias("first"), F.count(F.lit(1)).alias("members")
+    ).select("centre", "label", "members", F.col("first.id").alias("part"), *[F.col(f"first.{b}").alias(f"c{b}") for b in bits])
+    placed = stage(rows.join(firsts, ["centre", "label"]), "placed")
+    own = ["part", "centre", "label", "n", "members", *[f"c{b}" for b in bits]]
+    parts = placed.groupBy(*own).agg(F.max(_apart("b", "cb")).alias("radius"))
+    return parts.withColumnsRenamed({f"c{b}": b for b in bits}), placed.select("part", "id", "n", *bits)
+
+
+def _part_pairs(parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of parts of different components that the filters leave: ``(x, y)`` and how many members both have.
+
+    Entries of the component that has most of a shingle's entries never meet each other: the rest
+    of the bucket meets all of it.
+    """
+    bits = [f"b{w}" for w in WORDS]
+    entries = stage(_entries(parts, percent), "entries")
+    per = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count(F.lit(1)).alias("ls"))
+    mixed = stage(mixed.where("ls > 1").select("token", "major"), "mixed")
+    bucket = entries.join(mixed, "token")
+    names = ["part", "label", "n", "pos", "short", "members", "radius", *bits]
+    minor = bucket.where("label <> major").select("token", *[F.col(c).alias(f"x_{c}") for c in names])
+    every = bucket.select(F.col("token").alias("t"), *[F.col(c).alias(f"y_{c}") for c in names])
+    xn, yn = F.col("x_n"), F.col("y_n")
+    need = least_overlap(xn + yn, percent)
+    x_longer = (xn > yn) | ((xn == yn) & (F.col("x_part") < F.col("y_part")))
+    met = minor.join(
+        every,
+        (F.col("token") == F.col("t"))
+        & (F.col("x_label") != F.col("y_label"))
+        & (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent)
+        & F.when(x_longer, F.col("y_short")).otherwise(F.col("x_short"))
+        & (1 + F.least(xn - F.col("x_pos"), yn - F.col("y_pos")) >= need)
+        & (_apart("x_b", "y_b") <= xn + yn - 2 * need + F.col("x_radius") + F.col("y_radius")),
+    )
+    return met.select(
+        F.least("x_part", "y_part").alias("x"),
+        F.greatest("x_part", "y_part").alias("y"),
+        (F.col("x_members") + F.col("y_members")).alias("members"),
+    ).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -131,68 +200,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not yet in one component."""
-    for end, label in (("long", "l1"), ("short", "l2")):
-        pairs = pairs.join(labels.select(F.col("id").alias(end), F.col("label").alias(label)), end, "left").withColumn(
-            label, F.coalesce(label, end)
-        )
-    return pairs.where("l1 <> l2").select("long", "short")
+    for end, label in (("x", "lx"), ("y", "ly")):
+        ends = labels.select(F.col("id").alias(end), F.col("label").alias(label))
+        pairs = pairs.join(ends, end, "left").withColumn(label, F.coalesce(label, end))
+    return pairs.where("lx <> ly").select("x", "y", "members")
 
 
 def _one_each(pairs: DataFrame, turn: int) -> DataFrame:
-    """One of the pairs of every id, as first of each side by a hash that differs from turn to turn: ``(a, b)``."""
-    ordered = pairs.withColumn("o", F.xxhash64(F.lit(turn), "long", "short"))
-    by_long = ordered.groupBy("long").agg(F.min_by("short", "o").alias("short"))
-    by_short = ordered.groupBy("short").agg(F.min_by("long", "o").alias("long"))
-    both = by_long.unionByName(by_short).distinct()
-    return both.select(F.col("long").alias("a"), F.col("short").alias("b"))
-
-
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes that connect every component: ``(a, b)``."""
-    members = stage(
-        _prefixes(sets, percent).select(
-            "id",
-            "n",
-            "prefix",
-            *[f"b{w}" for w in WORDS],
-            F.xxhash64("prefix").alias("g1"),
-            F.xxhash64(F.lit(1), "prefix").alias("g2"),
-        ),
-        "prefixes",
-    )
-    centres = members.groupBy(*GROUP).agg(F.min("id").alias("centre"))
+    """One of the pairs of every part, as first of each side by a hash that differs from turn to turn: ``(a, b)``."""
+    order = F.xxhash64(F.lit(turn), "x", "y")
+    by_x = pairs.groupBy("x").agg(F.min_by("y", order).alias("y")).select("x", "y")
+    by_y = pairs.groupBy("y").agg(F.min_by("x", order).alias("x")).select("x", "y")
+    return by_x.unionByName(by_y).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _member_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The members of paired parts whose own bits allow a link: ``(a, b)``."""
     bits = [f"b{w}" for w in WORDS]
-    groups = stage(members.select("id", *GROUP, *bits).join(centres, GROUP), "groups")
-    first_bits = groups.where("id = centre").select("centre", *[F.col(b).alias(f"c{b}") for b in bits])
-    radius = groups.join(first_bits, "centre").groupBy("centre").agg(F.max(_apart("b", "cb")).alias("radius"))
-    heads = members.join(radius.withColumn("id", F.col("centre")), "id")
-    pairs = stage(_group_pairs(heads, percent), "group-pairs")
+    sides = [
+        members.select(F.col("part").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ["id", "n", *bits]]) for end in "xy"
+    ]
+    room = F.col("x_n") + F.col("y_n") - 2 * least_overlap(F.col("x_n") + F.col("y_n"), percent)
+    left = pairs.join(sides[0], "x")
+    both = left.join(sides[1], (left["y"] == sides[1]["y"]) & (_apart("x_b", "y_b") <= room))
+    return both.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
 
+
+def _labels(sets: DataFrame, percent: int) -> DataFrame:
+    """``(id, label)`` of the classes that have links: the smallest id of their component."""
+    bits = [f"b{w}" for w in WORDS]
+    hashes = [F.xxhash64("prefix").alias("g1"), F.xxhash64(F.lit(1), "prefix").alias("g2")]
+    members = stage(_prefixes(sets, percent).select("id", "n", "prefix", *bits, *hashes), "prefixes")
+    centres = members.groupBy(*GROUP).agg(F.min("id").alias("centre"))
+    groups = stage(members.select("id", *GROUP, *bits).join(centres, GROUP).select("id", "n", "centre", *bits), "groups")
     stars = groups.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    links = stage(_verified(stars, sets, percent), "links")
+    labels = _joined(None, _verified(stars, sets, percent))
+
+    heads = members.join(groups.where("id = centre").select("id"), "id", "left_semi")
+    entries = stage(_entries(heads.drop("g1", "g2"), percent), "entries")
     for turn in range(TRIES):
-        labels = stage(components(links), "labels")
-        tried = _one_each(_still_apart(pairs, labels), turn)
-        links = links.unionByName(stage(_verified(tried, sets, percent), "links"))
-    labels = components(links)
-    labelled = stage(
-        groups.join(labels, "id", "left").select(
-            "centre", "id", F.coalesce("label", "id").alias("label")
-        ),
-        "labelled",
-    )
-    parts = labelled.select("centre", "label").distinct()
-    all_pairs = pairs.unionByName(groups.select(F.col("centre").alias("long"), F.col("centre").alias("short")).distinct())
-    x = parts.select(F.col("centre").alias("long"), F.col("label").alias("lx"))
-    y = parts.select(F.col("centre").alias("short"), F.col("label").alias("ly"))
-    apart = (
-        all_pairs.join(x, "long").join(y, "short")
-        .where((F.col("lx") != F.col("ly")) & ((F.col("long") != F.col("short")) | (F.col("lx") < F.col("ly"))))
-    )
-    left = labelled.select(F.col("centre").alias("long"), F.col("label").alias("lx"), F.col("id").alias("a"))
-    right = labelled.select(F.col("centre").alias("short"), F.col("label").alias("ly"), F.col("id").alias("b"))
-    expanded = apart.join(left, ["long", "lx"]).join(right, ["short", "ly"]).select("a", "b")
-    return links.unionByName(_verified(expanded.distinct(), sets, percent))
+        labels = _joined(labels, _verified(_head_pairs(entries, labels, turn, percent), sets, percent))
+
+    parts, placed = _parts(groups, labels)
+    prefixes = heads.select(F.col("id").alias("centre"), "prefix")
+    pairs = stage(_part_pairs(parts.join(prefixes, "centre").drop("centre"), percent), "part-pairs")
+    for turn in range(TRIES):
+        pairs = stage(_still_apart(pairs, labels), "part-pairs") if turn else pairs
+        labels = _joined(labels, _verified(_one_each(pairs, turn), sets, percent))
+    # what is left: pairs of single sets as they are, larger parts by their members
+    pairs = stage(_still_apart(pairs, labels), "part-pairs")
+    single = pairs.where("members = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    several = _member_pairs(pairs.where("members > 2").select("x", "y"), placed, percent)
+    return _joined(labels, _verified(single.unionByName(several), sets, percent))
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -202,8 +261,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     ``words`` words is one shingle, a text without words (or null) none, and links with nothing.
     ``component_id`` is the smallest doc_id reachable by links. ``digest`` tells texts of one doc_id
     apart; equal rows are reported once. A null doc_id takes part, and names no component unless its
-    component has no other. Other columns are ignored.
+    component has no other. Other columns are ignored. An empty table gives an empty result.
+
+    The result tells components, not links: pairs that are in one component already are not verified.
+    It is a written table; all tables made on the way are deleted.
     """
+    return settled(lambda: _found(docs, words, percent), docs.sparkSession, "components")
+
+
+def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
     texts = documents(docs).withColumn("digest", F.xxhash64("text"))
     loners = stage(_loners(_tokens(texts, words), percent, band_share(percent)), "loners")
     rest = texts.join(loners, all_same(texts, loners, NODE), "left_anti")
@@ -224,7 +290,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
         .withColumn("id", F.monotonically_increasing_id())
     )
     classes = stage(chosen, "classes")
-    found = components(_links(classes.select("id", "n", "tokens"), percent))
+    found = _labels(classes.select("id", "n", "tokens"), percent)
     lows = (
         found.join(classes.select("id", "low"), "id")
         .groupBy("label").agg(F.min("low").alias("least"))

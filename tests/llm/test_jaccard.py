@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -60,6 +61,33 @@ def test_equals_brute_force(spark, words, percent, seed):
     )
 
 
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
+def test_large_group_on_both_sides_of_the_bound(spark, words, percent):
+    """Copies edited less and more than a link allows, exact copies among them, and a second family near by."""
+    rng = random.Random(words)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    data = []
+    for k in range(90):
+        copy = list(base) + (["tail"] * 12 if k % 3 == 0 else [])
+        for _ in range(k % 7):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        data.append((1000 - k, " ".join(copy)))
+    data += [(2000 + i, t) for i, t in data[::5]]
+    got = J.jaccard_components(frame(spark, data), words, percent)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute_force(
+        data, words, percent
+    )
+
+
+def test_tables_made_on_the_way_are_deleted(spark):
+    """Only the result is left in the shared folder."""
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    J.jaccard_components(frame(spark, [(1, "a b c d"), (2, "a b c d"), (3, "x")]))
+    assert [name.split("-")[0] for name in set(os.listdir(shared)) - before] == ["components"]
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(frame(spark, EMPTY)).count() == 0
 
