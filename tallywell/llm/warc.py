@@ -22,6 +22,8 @@ from tallywell.llm.common import same, stage
 from tallywell.session import shared_dir
 
 ARCHIVE_BYTES = 1 << 30
+TASK_BYTES = 128 << 20  # fetched by one reading task
+LEAST_TASK_BYTES = 1 << 20
 READ_BYTES = 8 << 20
 READ_GAP = 64 << 10
 INDEX_SCHEMA = (
@@ -160,10 +162,14 @@ def read_records(index: DataFrame, root: str, read_bytes: int = READ_BYTES, gap:
     """The records that the rows of ``index`` select, read back from the archives.
 
     Rows are range-partitioned and sorted by place, so a large archive is shared by tasks, and
-    neighbouring records are fetched in one read of at most ``read_bytes`` (or one record).
+    neighbouring records are fetched in one read of at most ``read_bytes`` (or one record). Tasks
+    are as many as the bytes to fetch ask for, since the index rows themselves are small.
     """
     places = index.select("archive", "offset", "length")
-    sorted_places = places.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    at_hand = min(2 * index.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_TASK_BYTES))
+    tasks = max(1, at_hand, -(-total // TASK_BYTES))
+    sorted_places = places.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def flush(fs, folder: str, run: list[tuple[str, int, int]]) -> list[dict]:
         name, start = run[0][0], run[0][1]
