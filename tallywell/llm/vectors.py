@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallywell.llm.common import stage
 
+TASKS_A_SHARD = 2  # so that few shards meet in one task by their hashes
 SHARD_SIZE = 4096
 QUERY_BLOCK = 4096
 DEGREE = 32
@@ -169,7 +170,10 @@ def build_index(
             "neighbours": pa.array(list(graph.astype(np.int32)), pa.list_(pa.int32())),
         })
 
-    return stage(dealt.groupBy("dim", "shard").applyInArrow(build, GRAPH_SCHEMA), "graph")
+    # a stated number of partitions: shards are few bytes and much work, so none may be joined by size
+    shards = counts.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+    apart = dealt.repartition(max(1, TASKS_A_SHARD * shards), "dim", "shard")
+    return stage(apart.groupBy("dim", "shard").applyInArrow(build, GRAPH_SCHEMA), "graph")
 
 
 def search(
