@@ -31,7 +31,7 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = simhash.with_near_counts(simhash.edited_fingerprints(table(spark, sf_dir, "documents")))
     return found.select(
         "doc_id",
         "n_chars",
@@ -40,6 +40,7 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_near",
     )
 
 

@@ -133,6 +133,24 @@ def near_fingerprints(
     return pairs.select("query_fp", "fp", near.alias("distance"))
 
 
+def with_near_counts(found: DataFrame, every: int = 100, radius: int = 3, blocks: int = 4, bits: int = BITS) -> DataFrame:
+    """``found (doc_id, fp, ...)`` with ``n_near``: how many other fingerprints lie within ``radius``.
+
+    Asked are the rows whose doc_id is divisible by ``every``, against the distinct fingerprints of
+    all rows; ``n_near`` of other rows, and of rows without doc_id, is null. The default radius of 3
+    of 128 bits finds texts that differ in a word or two. A table of ``blocks - radius`` of the blocks as its key
+    holds every fingerprint once.
+    """
+    is_asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    asked = found.where(is_asked)
+    near = near_fingerprints(asked.select("fp"), found.select("fp"), radius, blocks, bits)
+    counts = near.where("distance > 0").groupBy("query_fp").agg(F.count(F.lit(1)).alias("n_near"))
+    counted = asked.join(counts, asked["fp"] == counts["query_fp"], "left").select(
+        *found.columns, F.coalesce("n_near", F.lit(0)).alias("n_near")
+    )
+    return counted.unionByName(found.where(~is_asked).withColumn("n_near", F.lit(None).cast("long")))
+
+
 def next_documents(texts: DataFrame) -> DataFrame:
     """``(doc_id, next_id, need)``: the next lower doc_id, after the lowest the highest, and half the code points.
 

@@ -64,3 +64,29 @@ def test_block_tables_find_all_within_the_radius(spark):
     distinct = sorted({tuple(words(v)): v for v in values}.items())
     want = sorted((a, b, (x ^ y).bit_count()) for a, x in distinct for b, y in distinct if (x ^ y).bit_count() <= 3)
     assert got == want and len(want) > len(distinct)
+
+
+def test_near_counts_equal_brute_force(spark):
+    """Every asked row against all fingerprints; copies count once, rows not asked and without id get null."""
+    rng = random.Random(4)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(200))
+    data = [(i, base if i % 3 == 0 else " ".join(base.split()[: 200 - i % 5])) for i in range(40)]
+    data += [(50, "other words here and more of them"), (None, base), (60, None), (70, "")]
+    found = S.edited_fingerprints(frame(spark, data))
+    rows = S.with_near_counts(found, every=10, radius=6, blocks=8).collect()
+    values = {tuple(r["fp"]) for r in rows}
+
+    def apart(a, b):
+        return sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True))
+
+    for r in rows:
+        asked = r["doc_id"] is not None and r["doc_id"] % 10 == 0
+        own = tuple(r["fp"])
+        assert r["n_near"] == (sum(0 < apart(own, v) <= 6 for v in values) if asked else None)
+    assert len(rows) == 44 and max(r["n_near"] or 0 for r in rows) > 0
+
+
+def test_likeness_is_the_share_of_equal_bits(spark):
+    """``near_edited`` and ``near_next`` of the query are this measure."""
+    df = spark.createDataFrame([([3, -1], [0, 0]), ([5, 5], [5, 5])], "a array<long>, b array<long>")
+    assert [r[0] for r in df.select(S.likeness(F.col("a"), F.col("b"))).collect()] == [1 - 66 / 128, 1.0]
