@@ -32,7 +32,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     document are one group together.
     """
     alike = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    groups = stage(alike.select(*lines.ROW, F.col("component_id").alias("group")), "line-groups")
+    groups = alike.select(*lines.ROW, F.col("component_id").alias("group"))
     return unpacked(lines.drop_frequent_lines(docs, LINE_DOCUMENTS, groups=groups), docs, "kept")
 
 
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without doc_id that link with no named document all stay.
     """
-    found = stage(jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "components")
+    found = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *jaccard.NODE)).alias("first")
     chosen = found.where("component_id is not null").groupBy("component_id").agg(first).select("first.*")
     chosen = chosen.unionByName(found.where("component_id is null").select(F.lit(True).alias("unnamed"), *jaccard.NODE))
