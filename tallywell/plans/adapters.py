@@ -186,6 +186,7 @@ def tracker_tables(events: DataFrame, conversations: DataFrame) -> dict[str, Dat
         *[F.lit(x) for pair in (("view", "open"), ("click", "in_progress"), ("purchase", "closed"),
                                 ("error", "blocked"), ("signup", "deferred")) for x in pair]
     )[F.col("event_type")]
+    created = F.lit("2023-12-31").cast("timestamp_ntz") + F.make_interval(mins=user.cast("int"))
     issue = [
         usr.alias("id"),
         F.concat(F.lit("user "), user).alias("title"),
@@ -193,9 +194,10 @@ def tracker_tables(events: DataFrame, conversations: DataFrame) -> dict[str, Dat
         F.lit("task").alias("issue_type"),
         (user % 5).alias("priority"),
         actor.alias("assignee"),
-        (F.lit("2023-12-31").cast("timestamp_ntz") + F.make_interval(mins=user.cast("int"))).alias("created_at"),
+        created.alias("created_at"),
         F.col("ts").alias("updated_at"),
-        F.when(F.col("event_type") == "purchase", F.col("ts")).alias("closed_at"),
+        # many users, and some are created after the month: one is never closed before that
+        F.when(F.col("event_type") == "purchase", F.greatest("ts", created)).alias("closed_at"),
         null.alias("close_reason"),
         F.concat(F.lit("like usr-"), user * 2, F.lit(".")).alias("description"),
         null.alias("design"),
