@@ -1,13 +1,16 @@
 """Mentions of other ids in free text.
 
-The known prefixes come from the ids themselves. Neither a prefix nor an id body holds a ``-``, so a
-match at a dash lies in the segments around it: a suffix of one and the start of the next. Suffixes
-that begin at a word border are the candidates; they meet the prefixes in a join, and each text keeps
-its leftmost matches that do not overlap. The way is the same for any number of prefixes.
+The known prefixes come from the ids themselves. While they are few, one pattern holds them all and
+finds the mentions of a text where it stands. Any number of them is met in a join: neither a prefix nor
+an id body holds a ``-``, so a match at a dash lies in the segments around it, a suffix of one and the
+start of the next. Suffixes that begin at a word border are the candidates, and each text keeps its
+leftmost matches that do not overlap. Both ways find the same.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from tallywell.functions.text import ID_BODY, WORD, id_prefix, text_or_empty
 TEXT_FIELDS = ["title", "description", "design", "acceptance_criteria", "notes", "close_reason"]
 
 RUNS = f"{WORD}+|[^{WORD[1:-1]}]+"
+FEW_PREFIXES = 64  # prefixes, and characters of one, that a pattern may hold
 SALTS = 16
 SMALL_BYTES = 8 << 20  # prefixes that a task may hold
 ROW_BYTES = 32
@@ -44,7 +48,28 @@ def prefixes_of(df: DataFrame, key: str = "issue_id") -> DataFrame:
     return df.select(id_prefix(F.col(key)).alias("prefix")).where("prefix <> ''").distinct()
 
 
-def find_mentions(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
+def few_prefixes(prefixes: DataFrame) -> list[str] | None:
+    """The prefixes if they are few and short, else None."""
+    seen = prefixes.select(F.left("prefix", F.lit(FEW_PREFIXES + 1)).alias("prefix")).limit(FEW_PREFIXES + 1).collect()
+    found = sorted(r["prefix"] for r in seen)
+    return found if len(found) <= FEW_PREFIXES and all(len(p) <= FEW_PREFIXES for p in found) else None
+
+
+def mention_pattern(prefixes: list[str]) -> str:
+    """A regular expression whose matches are the mentions; no two prefixes match at one place."""
+
+    def literal(prefix: str) -> str:
+        return "".join(c if c.isalnum() or not c.isascii() else f"\\{c}" for c in prefix)
+
+    # a border lies before a word character without one before it, and the other way round
+    at_word = [literal(p) for p in prefixes if re.match(WORD, p)]
+    others = [literal(p) for p in prefixes if not re.match(WORD, p)]
+    sides = [(f"(?<!{WORD})", at_word), (f"(?<={WORD})", others)]
+    starts = "|".join(f"{border}(?:{'|'.join(side)})" for border, side in sides if side)
+    return f"(?:{starts})-{ID_BODY}"
+
+
+def join_mentions(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
     """One row per match ``(key, field, mentioned, copies)`` in ``texts``.
 
     Only suffixes up to the longest prefix are looked at, and only from word borders, which are the ends
@@ -139,12 +164,44 @@ def find_mentions(texts: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
     )
 
 
-def issue_mentions(dim: DataFrame, fields: list[str] = TEXT_FIELDS, key: str = "issue_id") -> DataFrame:
-    """``(key, mentioned_<key>, field, mention_count)`` over all text fields, self-mentions excluded."""
-    texts = unpivot_text(dim, key, fields).where("text <> ''")
-    found = find_mentions(texts, key, prefixes_of(dim, key))
-    return (
-        found.where(F.col("mentioned") != F.col(key))
-        .groupBy(key, F.col("mentioned").alias(f"mentioned_{key}"), "field")
-        .agg(F.sum("copies").alias("mention_count"))
+def mention_matches(dim: DataFrame, fields: list[str] = TEXT_FIELDS, key: str = "issue_id") -> DataFrame:
+    """``(key, mentioned_<key>, field, mention_count)``, as ``issue_mentions`` but not yet summed."""
+    prefixes = prefixes_of(dim, key)
+    few = few_prefixes(prefixes)
+    if few is None:
+        texts = unpivot_text(dim, key, fields).where("text <> ''")
+        found = join_mentions(texts, key, prefixes).where(F.col("mentioned") != F.col(key))
+    elif not few:
+        nothing = unpivot_text(dim, key, fields).where("false")
+        found = nothing.select(key, F.col("text").alias("mentioned"), "field", F.lit(1).alias("copies"))
+    else:
+        pattern = F.lit(mention_pattern(few))
+
+        def matches_of(name: str) -> Column:
+            found_in = F.filter(F.regexp_extract_all(F.col(name), pattern, F.lit(0)), lambda m: m != F.col(key))
+            return F.transform(
+                found_in, lambda m: F.struct(m.alias("mentioned"), F.lit(name).alias("field"), F.lit(1).alias("copies"))
+            )
+
+        found = read_text_fields(dim, key, fields).select(key, F.inline(F.concat(*[matches_of(f) for f in fields])))
+    return found.select(
+        key,
+        F.col("mentioned").alias(f"mentioned_{key}"),
+        "field",
+        F.col("copies").cast("bigint").alias("mention_count"),
     )
+
+
+def issue_mentions(
+    dim: DataFrame, fields: list[str] = TEXT_FIELDS, key: str = "issue_id", partitions: int | None = None
+) -> DataFrame:
+    """``(key, mentioned_<key>, field, mention_count)`` over all text fields, self-mentions excluded.
+
+    Few mentions of one row are equal, so they are exchanged before they are summed and no task holds a
+    table of its input's ids. ``partitions`` is for ids of many kilobytes: adaptive execution joins
+    partitions by their compressed size, which tells little of such ids.
+    """
+    by = [key, f"mentioned_{key}", "field"]
+    matches = mention_matches(dim, fields, key)
+    dealt = matches.repartition(partitions, *by) if partitions else matches.repartition(*by)
+    return dealt.groupBy(*by).agg(F.sum("mention_count").alias("mention_count"))

@@ -700,7 +700,8 @@ def hourly_actor_activity(spark, events):
 def mention_drift(spark, lineitem, orders):
     edges = AD.line_edges(lineitem).withColumn("dt", F.lit("2001-12-31").cast("date"))
     dim = orders.select(F.concat(F.lit("ord-"), "o_orderkey").alias("issue_id"))
-    mentions = M.issue_mentions(AD.line_texts(lineitem))
+    # the mart sums the matches of a pair itself
+    mentions = M.mention_matches(AD.line_texts(lineitem))
     return marts.mention_drift(mentions, staging.stg_dependency_snapshots(edges), dim)
 
 
@@ -770,12 +771,13 @@ def mentions_many_prefixes(spark, documents):
 
 @query("supplier")
 def mentions_deep_ids(spark, supplier):
-    """Ids of 20,000 dotted levels."""
-    issues = supplier.select(
+    """Ids of 20,000 dotted levels, 40 KB each, so a task is given a thousand of them."""
+    parts = supplier.count() // 1000 + 1
+    issues = supplier.repartition(parts, "s_suppkey").select(
         F.concat(F.lit("sup-"), "s_suppkey").alias("issue_id"),
         F.concat(F.lit("see sup-"), F.col("s_suppkey") + 1, F.repeat(F.lit(".1"), 20_000), F.lit(", please")).alias("title"),
     )
-    return M.issue_mentions(issues)
+    return M.issue_mentions(issues, partitions=parts)
 
 
 # Assertions

@@ -91,3 +91,28 @@ def test_reads_by_name_and_tolerates_columns(spark):
 def test_prefixes(spark):
     dim = spark.sql("select explode(array('a-1', 'a-2-3', 'b-1', 'none', '-x')) issue_id")
     assert rows(M.prefixes_of(dim)) == [("a",), ("b",)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_join_finds_what_the_pattern_finds(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    pieces = ["tsk", "job", "my.p", ".q", "é", "-", "-", ".", " ", "1", "ab", "A", "_", "tsk-1", "a\\E-1", "p|q-2"]
+    ids = ["tsk-1", "job-2", "my.p-4", ".q-5", "a\\E-1", "p|q-2", "é-3", "-odd", None]
+    data = [(rng.choice(ids), "".join(rng.choice(pieces) for _ in range(rng.randrange(60)))) for _ in range(60)]
+    dim = spark.createDataFrame(data, "issue_id string, title string")
+    by_pattern = rows(M.issue_mentions(dim, ["title"]))
+    monkeypatch.setattr(M, "FEW_PREFIXES", 0)
+    assert by_pattern and rows(M.issue_mentions(dim, ["title"])) == by_pattern
+
+
+def test_a_small_dim_exchanges_only_matches(spark):
+    """Texts and candidates stay where they are: an exchange for the prefixes aside, one for the sums."""
+    dim = spark.sql("select concat('a-', id) issue_id, concat('see a-', id + 1) title from range(100)")
+    plan = M.issue_mentions(dim, ["title"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_long_ids_are_dealt_as_stated(spark):
+    dim = spark.sql("select concat('a-', id) issue_id, concat('see a-', id + 1, repeat('.1', 9)) title from range(100)")
+    found = M.issue_mentions(dim, ["title"], partitions=7)
+    assert found.count() == 100 and found.rdd.getNumPartitions() == 7
