@@ -314,10 +314,13 @@ def store_assertions(spark: SparkSession, assertions: list[checks.Check], root:
 def materialise(
     df: DataFrame, root: str, name: str, bounds: tuple[datetime, datetime], extracted_at: datetime
 ) -> DataFrame:
-    """Write a transform's rows as one derived window; a failed transform writes nothing."""
+    """Write a transform's rows as one derived window; a failed transform writes nothing.
+
+    All rows are of one window, so they are written where the transform's last exchange has left them.
+    """
     rows = df.withColumns({"_window_start": W.instant_lit(bounds[0]), "_window_end": W.instant_lit(bounds[1])})
     plan = W.spine(df.sparkSession, *bounds, W.DAY)
-    return R.write_windows(rows, root, R.DERIVED, name, W.DAY, plan, extracted_at, tuple(df.columns))
+    return R.write_windows(rows, root, R.DERIVED, name, W.DAY, plan, extracted_at, tuple(df.columns), dealt=True)
 
 
 def freshness(spark: SparkSession, source: Source, root: str, now: datetime) -> DataFrame:

@@ -104,12 +104,14 @@ def write_windows(
     sort_key: tuple[str, ...] = (),
     attempt: int = 1,
     run_id: str | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Replace every window of ``spine`` with the rows of ``df`` and append the ledger.
 
     ``df`` carries ``_window_start`` and ``_window_end``; rows outside the spine raise. Returns the
     ledger rows of this write. The rebalance hint gives each window one task unless it is large,
-    when adaptive execution splits it, so a hot window does not meet in one task.
+    when adaptive execution splits it, so a hot window does not meet in one task. Rows that are
+    ``dealt`` to tasks of a fair size already, all of few windows, stay where they are.
 
     Windows that now have no rows lose their old partition, after the write has succeeded and is in
     the ledger. Old files show by their age on the storage's own clock.
@@ -138,9 +140,9 @@ def write_windows(
     ).first()
     # A shuffle partition per window while they are few, so that only a large window is ever split.
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealing = stamped if dealt else stamped.hint("rebalance", max(usual, min(n_windows, MOST_PARTITIONS)), *parts)
     (
-        stamped.hint("rebalance", max(usual, min(n_windows, MOST_PARTITIONS)), *parts)
-        .sortWithinPartitions(*parts, *sort_key)
+        dealing.sortWithinPartitions(*parts, *sort_key)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from tallywell.operators import windows as W
-from tallywell.plans import marts
+from tallywell.plans import build, marts
 from tallywell.plans.queries import QUERIES
 from tallywell.sources import raw_layer as R
 
@@ -114,3 +114,12 @@ def test_the_latest_snapshot_prunes_partitions(spark, tmp_path):
     df = latest_snapshot(spark.read.parquet(path), "dt")
     assert df.count() == 1
     assert "PartitionFilters: [isnotnull(dt" in plan_of(df) and "Subquery" in plan_of(df)
+
+
+def test_a_transform_is_written_where_its_exchange_left_it(spark, root):
+    rows_ = spark.range(3000).select(F.concat(F.lit("a-"), "id").alias("issue_id")).repartition(3, "issue_id")
+    day = (datetime(2026, 9, 14), datetime(2026, 9, 15))
+    ledger = build.materialise(rows_, root, "names", day, day[1])
+    stored = R.read_raw(spark, root, R.DERIVED, "names", "issue_id string", W.DAY)
+    assert stored.count() == 3000 and rows(ledger, "rows") == [(3000,)]
+    assert stored.select("_metadata.file_path").distinct().count() == 3
