@@ -950,7 +950,9 @@ def duration_quantiles(spark, events):
 def _nodes(lineitem):
     spark = lineitem.sparkSession
     path = f"{shared_dir(spark, 'run_results')}/artefacts"
-    AD.line_build_documents(lineitem).write.text(path)
+    # artefacts repeat themselves; files of a bounded number of them are read side by side
+    compact = {"compression": "gzip", "maxRecordsPerFile": 200_000}
+    AD.line_build_documents(lineitem).write.options(**compact).text(path)
     return O.explode_results(O.read_run_results(spark, path, one_per_line=True))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from tallywell.operators import windows as W
-from tallywell.plans import build, marts
+from tallywell.plans import build, marts, queries
 from tallywell.plans.queries import QUERIES
 from tallywell.sources import raw_layer as R
 
@@ -123,3 +123,10 @@ def test_a_transform_is_written_where_its_exchange_left_it(spark, root):
     stored = R.read_raw(spark, root, R.DERIVED, "names", "issue_id string", W.DAY)
     assert stored.count() == 3000 and rows(ledger, "rows") == [(3000,)]
     assert stored.select("_metadata.file_path").distinct().count() == 3
+
+
+def test_build_artefacts_are_stored_compressed(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    nodes = queries._nodes(lines)
+    assert nodes.count() == 2 * lines.count()
+    assert nodes.inputFiles() and all(f.endswith(".txt.gz") for f in nodes.inputFiles())
