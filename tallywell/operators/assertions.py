@@ -114,7 +114,8 @@ def no_overlap(history: DataFrame, key: str) -> DataFrame:
         .where(F.col("_a._end") > F.col("valid_from"))
         .select(key, "valid_from", "_a")
     )
-    return rows.join(inside, [key, "valid_from"]).select(
+    # both sides come from well packed files whose size says little of their rows: neither is broadcast
+    return rows.hint("merge").join(inside, [key, "valid_from"]).select(
         key,
         F.col("_a.valid_from").alias("a_valid_from"),
         F.col("_a._end").alias("a_valid_to"),

@@ -122,3 +122,13 @@ def test_content_diff_counts_duplicates_and_hash_sees_nulls(spark):
     swapped = a.select(F.lit(None).cast("string").alias("y"), "x", "_extracted_at")
     assert A.content_hash(a).first() == A.content_hash(a.orderBy(F.desc("x")).select("y", "x", "_extracted_at")).first()
     assert A.content_hash(a).first() != A.content_hash(swapped).first()
+
+
+def test_overlaps_are_found_without_a_broadcast(spark):
+    history = spark.sql(
+        "select id % 50 k, date'2026-01-01' + cast(id div 50 as int) valid_from,"
+        " date'2026-01-02' + cast(id div 50 as int) + cast(id = 7 as int) valid_to from range(500)"
+    )
+    found = A.no_overlap(history, "k")
+    assert [(r["k"], str(r["b_valid_from"])) for r in found.collect()] == [(7, "2026-01-02")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
