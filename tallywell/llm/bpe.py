@@ -1,34 +1,33 @@
 """Byte-level BPE encoding and decoding.
 
-A word is an array of byte strings. Spark's higher-order functions fold it: one pair at a time, the
-leftmost adjacent pair of lowest rank is merged until no pair is ranked. Ranks come from one literal,
-an array of small maps addressed by a hash of the bytes, so that a lookup costs the same for any
-vocabulary.
+A word is a row of byte strings. ``fold`` merges one pair at a time, the leftmost adjacent pair of lowest
+rank, until no pair is ranked.
 
 Words repeat, so distinct words are folded rather than occurrences: the ``memo_words`` most frequent
-ones of the corpus once, into a broadcast table whose size the parameter bounds, and any other word
-where it stands. Results do not depend on which words the memo holds. Documents are never shuffled:
-a task splits a text and looks its words up, folds what is left, and puts the ids in their places.
+ones of the corpus once, by tasks over the table of counted words, into a broadcast table whose size the
+parameter bounds, and any other word where it stands, once in a slice of documents. Results do not depend
+on which words the memo holds. Documents are never shuffled: a task splits a text, looks its words up and
+folds what is left.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-import zlib
+import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import documents, let, stage
+from tallywell.llm.common import documents, stage
 
 MEMO_WORDS = 1 << 19
 MEMO_MAX_CHARS = 48
-NO_RANK = 2**31 - 1
 SLICE_ROWS = 256  # documents handled at once in a task
 
 
@@ -59,87 +58,39 @@ def unicode_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-class HashedConstant:
-    """A constant lookup table: entries dealt by CRC-32 to an array of small maps, one literal in the plan.
-
-    Use it once in a plan, bound by ``let``; ``get`` then reads the bound variable.
-    """
-
-    def __init__(self, entries: dict[str, object], value_type: str):
-        self.size = max(1, len(entries))
-        buckets: list[dict] = [{} for _ in range(self.size)]
-        for key, value in entries.items():
-            buckets[zlib.crc32(key.encode()) % self.size][key] = value
-        text = json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
-        self.literal = F.from_json(F.lit(text), f"array<map<string,{value_type}>>")
-
-    def get(self, bound: Column, key: Column) -> Column:
-        """The value of ``key``, or null."""
-        bucket = F.pmod(F.crc32(key.cast("binary")), F.lit(self.size)).cast("int")
-        return F.try_element_at(F.get(bound, bucket), key)
-
-
 def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(unicode_pattern(pattern)), F.lit(0))
 
 
-def fold(word: Column, rank: HashedConstant, bound: Column) -> Column:
-    """Ids of one word by ranked merges; a word that is a token itself needs none.
+def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: while a pair of neighbours is ranked, the leftmost of lowest rank is merged.
 
-    ``word`` holds one character for each byte, as the keys of ``rank`` do.
+    A word that is a token itself needs none. A heap keeps the pairs, so the work follows the length of the
+    word but for a logarithm. Part ``i`` is ``word[i : after[i]]``; a pair whose parts have since been
+    merged with others does not end where it did, and is passed over.
     """
-
-    def ranked(left: Column, right: Column) -> Column:
-        return F.coalesce(rank.get(bound, F.concat(left, right)), F.lit(NO_RANK))
-
-    def merge(acc: Column, at: Column) -> Column:
-        """``acc`` with the parts at ``at`` and ``at + 1`` (from 1) merged and the ranks beside them renewed."""
-        parts, ranks = acc["parts"], acc["ranks"]
-        n = F.size(parts)
-
-        def around(merged: Column) -> Column:
-            none = F.array().cast("array<int>")
-            before = F.when(at > 1, F.array(ranked(F.get(parts, at - 2), merged))).otherwise(none)
-            after = F.when(at + 1 < n, F.array(ranked(merged, F.get(parts, at + 1)))).otherwise(none)
-            rest = F.greatest(n - at - 1, F.lit(0))
-            return F.struct(
-                F.concat(
-                    F.slice(parts, F.lit(1), at - 1), F.array(merged), F.slice(parts, at + 2, rest)
-                ).alias("parts"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                    before,
-                    after,
-                    F.slice(ranks, at + 2, F.greatest(rest - 1, F.lit(0))),
-                ).alias("ranks"),
-            )
-
-        return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), around)
-
-    def step(acc: Column, _: Column) -> Column:
-        def apply(least: Column) -> Column:
-            done = least.isNull() | (least == NO_RANK)
-            return F.when(done, acc).otherwise(
-                let(F.array_position(acc["ranks"], least).cast("int"), lambda at: merge(acc, at))
-            )
-
-        return let(F.array_min(acc["ranks"]), apply)
-
-    def start(parts: Column) -> Column:
-        ranks = F.transform(
-            F.slice(parts, F.lit(2), F.size(parts) - 1), lambda right, i: ranked(F.get(parts, i), right)
-        )
-        return F.struct(parts.alias("parts"), ranks.alias("ranks"))
-
-    merged = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))),
-        let(F.split(word, ""), start),
-        step,
-        lambda acc: F.transform(acc["parts"], lambda p: rank.get(bound, p)),
-    )
-    return let(
-        rank.get(bound, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged)
-    )
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    n = len(word)
+    after = [*range(1, n + 1), -1, -1]  # n follows the last part, n + 1 a part that is merged into the one before
+    before = list(range(-1, n))
+    pairs = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapify(pairs)
+    while pairs:
+        _, i, end = heappop(pairs)
+        middle = after[i]
+        if after[middle] != end:
+            continue
+        after[i], after[middle], before[end] = end, n + 1, i
+        if (left := before[i]) >= 0 and (rank := ranks.get(word[left:end])) is not None:
+            heappush(pairs, (rank, left, end))
+        if (right := after[end]) > 0 and (rank := ranks.get(word[i:right])) is not None:
+            heappush(pairs, (rank, i, right))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return ids
 
 
 def frequent_words(texts: DataFrame, pattern: str, most: int) -> DataFrame:
@@ -165,11 +116,6 @@ def frequent_words(texts: DataFrame, pattern: str, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("octave") >= least).select("word")
 
 
-def byte_chars(text: Column) -> Column:
-    """One character for each UTF-8 byte."""
-    return F.decode(text.cast("binary"), "ISO-8859-1")
-
-
 class BytePairEncoder:
     """Encodes and decodes texts by a rank file and a splitting pattern. Special tokens are ordinary text.
 
@@ -177,75 +123,50 @@ class BytePairEncoder:
     """
 
     def __init__(self, ranks_path: str, pattern: str):
-        ranks = read_ranks(ranks_path)
-        self.pattern = pattern
-        self.rank = HashedConstant({token.decode("latin-1"): rank for token, rank in ranks.items()}, "int")
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
+        self.pattern, self.ranks = pattern, read_ranks(ranks_path)
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
             self.tokens[rank] = token
 
-    def fold_words(self, words: Column) -> Column:
-        """Ids (``array<int>``) of every word of an array of words."""
-        return let(
-            self.rank.literal, lambda ranks: F.transform(words, lambda w: fold(byte_chars(w), self.rank, ranks))
-        )
-
-    def memo(self, texts: DataFrame, memo_words: int) -> dict[str, bytes]:
+    def memo(self, texts: DataFrame, memo_words: int, ranks: Broadcast) -> dict[str, bytes]:
         """Ids of the most frequent distinct words of ``texts``; at most ``memo_words`` rows reach the driver."""
-        words = frequent_words(texts, self.pattern, memo_words)
-        folded = words.select("word", F.get(self.fold_words(F.array("word")), F.lit(0)).alias("ids")).toArrow()
+
+        def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = [packed(fold(w.encode(), ranks.value)) for w in batch["word"].to_pylist()]
+                yield pa.record_batch([batch["word"], pa.array(ids, pa.binary())], names=["word", "ids"])
+
+        words = frequent_words(texts, self.pattern, memo_words).mapInArrow(folded, "word string, ids binary").toArrow()
         memo: dict[str, bytes] = {}
-        for batch in folded.to_batches():
-            ids, ends = batch["ids"], batch["ids"].offsets.to_numpy() * 4
-            raw = ids.values.to_numpy().astype("<u4").tobytes()
-            memo.update(
-                (w, raw[a:b]) for w, a, b in zip(batch["word"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-            )
+        for batch in words.to_batches():
+            memo.update(zip(batch["word"].to_pylist(), batch["ids"].to_pylist(), strict=True))
         return memo
 
     def encode(self, texts: DataFrame, memo_words: int = MEMO_WORDS, decode: bool = False) -> DataFrame:
         """``(doc_id, ids)`` of ``(doc_id, text)``; with ``decode`` also ``decoded``, from the ids."""
-        memo = texts.sparkSession.sparkContext.broadcast(self.memo(texts, memo_words))
+        context = texts.sparkSession.sparkContext
+        ranks = context.broadcast(self.ranks)
+        memo = context.broadcast(self.memo(texts, memo_words, ranks))
         pattern, decoded = self.pattern, self._decoded
 
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, ids_of = regex.compile(pattern).findall, memo.value.get
+        def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find, known, rank_of = regex.compile(pattern).findall, memo.value.get, ranks.value
             for batch in slices(batches):
-                known, cuts, rare = [], [], []
+                out, rare = [], {}  # each rare word of the slice is folded once
                 for text in batch["text"].to_pylist():
                     words = find(text)
-                    parts = list(map(ids_of, words))
-                    missing = [i for i, p in enumerate(parts) if p is None]
-                    rare.append([words[i] for i in missing])
-                    for i in missing:
-                        parts[i] = b""
-                    sizes = np.fromiter(map(len, parts), "int64", len(parts))
-                    cuts.append((np.cumsum(sizes) - sizes)[missing].astype("int32"))
-                    known.append(b"".join(parts))
-                yield pa.record_batch(
-                    [batch["doc_id"], pa.array(known, pa.binary()), pa.array(cuts, pa.list_(pa.int32())),
-                     pa.array(rare, pa.list_(pa.string()))],
-                    names=["doc_id", "known", "cuts", "rare"],
-                )
-
-        def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                out = []
-                columns = (batch[c].to_pylist() for c in ("known", "cuts", "folded"))
-                for known, cuts, folded in zip(*columns, strict=True):
-                    parts, at = [], 0
-                    for cut, ids in zip(cuts, folded, strict=True):
-                        parts += [known[at:cut], np.array(ids, "<u4").tobytes()]
-                        at = cut
-                    out.append(b"".join([*parts, known[at:]]))
+                    parts = list(map(known, words))
+                    if None in parts:
+                        for i, word in enumerate(words):
+                            if parts[i] is None:
+                                if (ids := rare.get(word)) is None:
+                                    ids = rare[word] = packed(fold(word.encode(), rank_of))
+                                parts[i] = ids
+                    out.append(b"".join(parts))
                 ids = pa.record_batch([batch["doc_id"], pa.array(out, pa.binary())], names=["doc_id", "ids"])
                 yield decoded(ids) if decode else ids
 
-        looked_up = texts.select("doc_id", "text").mapInArrow(
-            look_up, "doc_id long, known binary, cuts array<int>, rare array<string>"
-        )
-        folded = looked_up.select("doc_id", "known", "cuts", self.fold_words(F.col("rare")).alias("folded"))
-        return folded.mapInArrow(put_in, "doc_id long, ids binary" + ", decoded binary" * decode)
+        return texts.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids binary" + ", decoded binary" * decode)
 
     @property
     def _decoded(self):
@@ -271,6 +192,11 @@ class BytePairEncoder:
         return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids binary, decoded binary")
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit little-endian numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``SLICE_ROWS``, which bounds what a task holds."""
     for batch in batches:
