@@ -11,8 +11,9 @@ sets link when ``intersection / union >= percent / 100``.
 3. Sets with the same size and prefix are one group. Groups meet on a shingle, under the size and
    position filters and a signature: 256 parity bits of a set, of which no more can differ between two
    sets than shingles do. A group adds how far its members' bits lie from its first member's.
-4. Each group's members are verified against the group's first member. Then, twice over, each group is
-   verified against one head of the buckets of its shingles: one row per entry, never a bucket's pairs.
+4. Each group's members are verified against the group's first member. Then, twice over, that one and the
+   members that don't link with it are verified against one head of the buckets of their shingles, at first
+   the least edited: one row per entry, never a bucket's pairs.
 5. Of each group what is one component by now is a part. Only parts of different components meet on a
    shingle, and never two of the component that has most of its entries. One pair of each part is
    verified first; the members of pairs still apart are expanded, filtered by their own bits, and
@@ -77,7 +78,11 @@ def _apart(a: str, b: str) -> Column:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``(id, n, prefix, b0, ...)``: the shared shingles of the long prefix with their positions, rarest first."""
+    """``(id, n, prefix, rare, b0, ...)``: the shared shingles of the long prefix with their positions, rarest first.
+
+    ``rare`` counts the set's own shingles and, by their shares in them, those it shares with few: the least
+    edited of near copies has the least.
+    """
     tokens = sets.select("id", "n", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     found = tokens.join(shared, "token").groupBy("id", "n").agg(
@@ -85,13 +90,12 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     )
     own = F.col("n") - F.size("shared")
     long_prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    first = F.slice("shared", F.lit(1), F.greatest(long_prefix - own, F.lit(0)))
     return found.select(
         "id",
         "n",
-        F.transform(
-            F.slice("shared", F.lit(1), F.greatest(long_prefix - own, F.lit(0))),
-            lambda s, i: F.struct(s["token"].alias("token"), (own + i + 1).alias("pos")),
-        ).alias("prefix"),
+        F.transform(first, lambda s, i: F.struct(s["token"].alias("token"), (own + i + 1).alias("pos"))).alias("prefix"),
+        F.aggregate(first, own.cast("double"), lambda total, s: total + 1 / s["df"]).alias("rare"),
     ).where(F.size("prefix") > 0).join(_parity(tokens), "id")
 
 
@@ -114,18 +118,21 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels of the components that ``links (a, b)`` make of the components so far."""
     if labels is not None:
         links = links.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))
-    return stage(components(links), "labels")
+    return settled(lambda: components(links), links.sparkSession, "labels")
 
 
 def _head_pairs(entries: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each centre the most alike head among those of its shingles' buckets: ``(a, b)``.
 
-    A bucket is one shingle and one band of sizes; its head is first in an order that all buckets
-    share. Each entry meets one head, so the rows are as many as the entries, however large a bucket.
+    A bucket is one shingle and one band of sizes; its head is at first the least edited, which most near
+    copies link with, later one by a hash that differs from bucket to bucket, so that a centre tries as many
+    heads as it has shingles. Each entry meets one head, so the rows are as many as the entries, however
+    large a bucket.
     """
     bits = [f"b{w}" for w in WORDS]
     rows = _labelled(entries, labels)
-    first = F.min_by(F.struct("id", "n", "label", *bits), F.xxhash64(F.lit(turn), "id")).alias("h")
+    order = F.xxhash64(F.lit(turn), "token", "id") if turn else F.struct("rare", "id")
+    first = F.min_by(F.struct("id", "n", "label", *bits), order).alias("h")
     heads = rows.groupBy("token", "band").agg(first).select(
         "token", "band", F.col("h.id").alias("head"), F.col("h.n").alias("hn"), F.col("h.label").alias("hl"),
         *[F.col(f"h.{b}").alias(f"h{b}") for b in bits],
@@ -230,19 +237,20 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
     """``(id, label)`` of the classes that have links: the smallest id of their component."""
     bits = [f"b{w}" for w in WORDS]
     hashes = [F.xxhash64("prefix").alias("g1"), F.xxhash64(F.lit(1), "prefix").alias("g2")]
-    members = stage(_prefixes(sets, percent).select("id", "n", "prefix", *bits, *hashes), "prefixes")
+    members = stage(_prefixes(sets, percent).select("id", "n", "prefix", "rare", *bits, *hashes), "prefixes")
     centres = members.groupBy(*GROUP).agg(F.min("id").alias("centre"))
     groups = stage(members.select("id", *GROUP, *bits).join(centres, GROUP).select("id", "n", "centre", *bits), "groups")
     stars = groups.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
     labels = _joined(None, _verified(stars, sets, percent))
 
-    heads = members.join(groups.where("id = centre").select("id"), "id", "left_semi")
-    entries = stage(_entries(heads.drop("g1", "g2"), percent), "entries")
+    # members that don't link with their group's first one look for a head themselves
+    apart = _labelled(groups, labels).where("id = centre or label <> centre").select("id")
+    entries = stage(_entries(members.join(apart, "id", "left_semi").drop("g1", "g2"), percent), "entries")
     for turn in range(TRIES):
         labels = _joined(labels, _verified(_head_pairs(entries, labels, turn, percent), sets, percent))
 
     parts, placed = _parts(groups, labels)
-    prefixes = heads.select(F.col("id").alias("centre"), "prefix")
+    prefixes = members.join(groups.where("id = centre").select("id"), "id", "left_semi").select(F.col("id").alias("centre"), "prefix")
     pairs = stage(_part_pairs(parts.join(prefixes, "centre").drop("centre"), percent), "part-pairs")
     for turn in range(TRIES):
         pairs = stage(_still_apart(pairs, labels), "part-pairs") if turn else pairs

@@ -100,3 +100,21 @@ def test_components_of_chains_stars_and_cycles(spark):
     want = {i: 0 for i in range(51)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200, 202: 200, 290: 290, 300: 290}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_of_one_text_meet_it_and_not_each_other(spark, monkeypatch):
+    """Copies edited apart link with the text they come from only: no pairs of copies are to be made."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    data = [(500, " ".join(base))]
+    for k in range(80):
+        copy = list(base)
+        for at in rng.sample(range(10, 140, 6), 2):
+            copy[at] = f"own{k}x{at}"
+        data.append((k, " ".join(copy)))
+    made, one_each = [], J._one_each
+    monkeypatch.setattr(J, "_one_each", lambda pairs, turn: (made.append(pairs.count()), one_each(pairs, turn))[1])
+    got = J.jaccard_components(frame(spark, data), 5, 80)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute_force(data, 5, 80)
+    assert made[0] < 20
