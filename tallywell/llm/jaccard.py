@@ -254,9 +254,14 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
     pairs = stage(_part_pairs(parts.join(prefixes, "centre").drop("centre"), percent), "part-pairs")
     for turn in range(TRIES):
         pairs = stage(_still_apart(pairs, labels), "part-pairs") if turn else pairs
-        labels = _joined(labels, _verified(_one_each(pairs, turn), sets, percent))
+        chosen = _one_each(pairs, turn)
+        if pairs.isEmpty():
+            return labels
+        labels = _joined(labels, _verified(chosen, sets, percent))
     # what is left: pairs of single sets as they are, larger parts by their members
     pairs = stage(_still_apart(pairs, labels), "part-pairs")
+    if pairs.isEmpty():
+        return labels
     single = pairs.where("members = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
     several = _member_pairs(pairs.where("members > 2").select("x", "y"), placed, percent)
     return _joined(labels, _verified(single.unionByName(several), sets, percent))

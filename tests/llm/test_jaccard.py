@@ -118,3 +118,15 @@ def test_copies_of_one_text_meet_it_and_not_each_other(spark, monkeypatch):
     got = J.jaccard_components(frame(spark, data), 5, 80)
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute_force(data, 5, 80)
     assert made[0] < 20
+
+
+def test_nothing_is_joined_once_no_pairs_are_left(spark, monkeypatch):
+    """Texts without near copies: after the heads, no further links are looked for."""
+    made, stage = [], J.stage
+    monkeypatch.setattr(J, "stage", lambda df, name: (made.append(name), stage(df, name))[1])
+    rng = random.Random(2)
+    data = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(40))) for i in range(20)]
+    data += [(100 + i, data[0][1] + f" tail{i}") for i in range(3)]
+    got = J.jaccard_components(frame(spark, data), 3, 90)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute_force(data, 3, 90)
+    assert made.count("part-pairs") == 1
