@@ -1,15 +1,16 @@
-from tallywell.llm.common import stage
-
-
-def test_staging_gives_the_drivers_heap_back(spark):
-    """Garbage that has let the heap grow beyond half of its limit does not hold it there."""
-    runtime = spark.sparkContext._jvm.Runtime.getRuntime()
-    block = runtime.maxMemory() // 16
-    held = []
-    while runtime.totalMemory() - runtime.freeMemory() < 0.7 * runtime.maxMemory():
-        held.append(spark.sparkContext._jvm.java.nio.ByteBuffer.allocate(block))
-    grown = runtime.totalMemory()
-    assert grown > runtime.maxMemory() // 2
-    held.clear()
-    assert stage(spark.range(10), "few").count() == 10
-    assert runtime.totalMemory() < 0.8 * grown
+from tallywell.llm import common
+
+
+def test_staging_collects_the_drivers_garbage_once_its_heap_is_large(spark, monkeypatch):
+    """Whole collections, after which the heap shrinks: one for a heap over the share, none below it."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+
+    def collections_at(share):
+        monkeypatch.setattr(common, "HEAP_SHARE", share, raising=False)
+        before = sum(b.getCollectionCount() for b in whole)
+        assert common.stage(spark.range(10), "few").count() == 10
+        return sum(b.getCollectionCount() for b in whole) - before
+
+    assert collections_at(0.0) >= 1
+    assert collections_at(1.0) == 0
