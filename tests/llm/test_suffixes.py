@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -6,6 +7,7 @@ import pytest
 
 from awkward import EMPTY, frame, pairs
 from tallywell.llm import suffixes as X
+from tallywell.llm.queries import QUERIES
 
 
 def brute_force(data, length):
@@ -75,3 +77,17 @@ def test_multikey_order():
         a, b = ordered[k - 1], ordered[k]
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert common[k] == n
+
+
+def test_the_query_removes_from_400_bytes_on(spark, tmp_path):
+    rng = random.Random(400)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    passages = [prose(70)[:n] for n in (399, 400, 401)]
+    assert all(len(p.split()) > 50 for p in passages)
+    data = [(k, f"{prose(40)} {k}{passages[k // 2]}{'UVWXYZ'[k]} {prose(40)}") for k in range(6)]
+    data += [(6, None), (7, ""), (8, "é" * 250)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op4_suffix_dedup"](spark, str(tmp_path))
+    rows = sorted(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+    assert rows == [(i, n, n - len(k), len(s), hashlib.sha256(k).hexdigest()) for i, n, s, k in brute_force(data, 400)]
+    assert [r[2] for r in rows] == [0, 0, 400, 400, 401, 401, 0, 0, 500]
